@@ -32,7 +32,7 @@ CHUNKS = re.compile(r" *[^ ]+| +")
 #: Longer words than this take the agenda with a heap.
 WIDEST = 64
 #: Segmentations that a worker remembers, and characters encoded at a time.
-CACHE, CHARS = 400_000, 1_000_000
+CACHE, CHARS = 600_000, 600_000
 UNKNOWN, FILLER = -1, -2
 
 
@@ -106,9 +106,11 @@ class Pieces:
             if len(name) == 1:
                 char_ids[ord(name)] = i
         char_ids[ord(" ")], char_ids[ord(SPACE)] = char_ids[ord(SPACE)], UNKNOWN  # the sign itself goes as bytes, so that it comes back
+        lone = np.flatnonzero(char_ids[:128] == UNKNOWN)  # such as line ends: a byte piece, which joins with nothing
+        char_ids[lone] = byte_ids[lone]
         joined = [(plain[a] << 32 | plain[b], i) for name, i in plain.items() for k in range(1, len(name)) if (a := name[:k]) in plain and (b := name[k:]) in plain]
         keys, values = np.array(joined, np.int64).reshape(-1, 2).T
-        return cls(bytes_of, np.array([sp.get_score(i) for i in range(n)]), byte_ids, char_ids, PairTable(np.ascontiguousarray(keys), values.astype(np.int32)))
+        return cls(bytes_of, np.array([sp.get_score(i) for i in range(n)], np.float32), byte_ids, char_ids, PairTable(np.ascontiguousarray(keys), values.astype(np.int32)))
 
     def decode(self, ids) -> str:
         """The text of a list of piece ids; the space before the first word goes."""
@@ -116,61 +118,64 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, seed: int = 0, dropout: float = 0.1, variants: int = 16):
+    def __init__(self, pieces: Pieces, seed: int = 0, dropout: float = 0.1, variants: int = 8):
         if not (0 <= dropout <= 1 and 1 <= variants <= 64):
             raise ValueError("dropout must be in 0..1, variants in 1..64")
         self.pieces, self.variants = pieces, variants if dropout else 1
-        self.seed = mix(np.uint64(seed & (2**64 - 1)))
+        self.seed = mix(np.array([seed & (2**64 - 1)], np.uint64))
         self.rate = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         self.marks = np.array([chr(0xE000 + v) for v in range(self.variants)])
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.starts, self.ends, self.flat = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64), np.zeros(0, np.int32)
+        self.starts, self.sizes, self.flat = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64), np.zeros(0, np.int32)
 
     def skipped(self, variant: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Which candidate merges the keyed hash drops."""
         key = (np.asarray(variant, np.uint64) << np.uint64(56)) ^ (np.asarray(start, np.uint64) << np.uint64(24)) ^ np.asarray(piece, np.int64).astype(np.uint64)
         return mix(key ^ self.seed) < self.rate
 
-    def _score(self, variant, start, piece) -> np.ndarray:
-        s = np.where(piece >= 0, self.pieces.scores[piece], -np.inf)
+    def _score(self, variant: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """The scores of candidate merges (flat arrays); minus infinity where there is no piece or the merge is skipped."""
+        s = np.full(len(piece), -np.inf, np.float32)
+        ok = np.flatnonzero(piece >= 0)
         if self.rate:
-            s[self.skipped(variant, start, piece)] = -np.inf
+            ok = ok[~self.skipped(variant[ok], start[ok], piece[ok])]
+        s[ok] = self.pieces.scores[piece[ok]]
         return s
 
-    def _rows(self, symbols: np.ndarray, variant: np.ndarray) -> list[np.ndarray]:
-        """The agenda for rows of symbols (padded with FILLER)."""
+    def _rows(self, symbols: np.ndarray, variant: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The agenda for rows of symbols (padded with FILLER): gives (rows, their symbols) as rows end; each round merges once in each row."""
         n, width = symbols.shape
-        out: list = [None] * n
         rows = np.arange(n)
-        start = np.broadcast_to(np.arange(width), (n, width)).copy()
-        joined = self.pieces.pairs.get(symbols[:, :-1], symbols[:, 1:])
-        score = self._score(variant[:, None], start[:, :-1], joined)
+        start = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width))
+        joined = np.full((n, width), -1, np.int32)
+        joined[:, :-1] = self.pieces.pairs.get(symbols[:, :-1], symbols[:, 1:])
+        score = self._score(np.repeat(variant, width), start.ravel(), joined.ravel()).reshape(n, width)
         while True:
-            best = score.argmax(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
-            going = score[np.arange(len(rows)), best] > -np.inf if width > 1 else np.zeros(len(rows), bool)
-            for i in np.flatnonzero(~going):
-                out[rows[i]] = symbols[i][symbols[i] != FILLER]
-            if not going.any():
-                return out
-            rows, symbols, start, joined, score, best, variant = (x[going] for x in (rows, symbols, start, joined, score, best, variant))
+            best = score.argmax(axis=1)
+            going = score[np.arange(len(rows)), best] > -np.inf
+            if not going.all():
+                yield rows[~going], symbols[~going]
+                if not going.any():
+                    return
+            on = np.flatnonzero(going)
+            rows, best, variant, width = rows[on], best[on], variant[on], width - 1
+            merged = joined[on, best]
+            # The symbol after the merged pair's first goes; the rest moves up.
+            cols = np.arange(width)
+            take = (on * (width + 1))[:, None] + cols + (cols > best[:, None])
+            symbols, start, joined, score = (x.take(take) for x in (symbols, start, joined, score))
             here = np.arange(len(rows))
-            symbols[here, best] = joined[here, best]
-            cols = np.arange(symbols.shape[1] - 1)
-            take = cols + (cols > best[:, None])
-            last = np.full((len(rows), 1), FILLER, symbols.dtype)
-            symbols = np.hstack([np.take_along_axis(symbols, take, 1), last])[:, : symbols.shape[1]]
-            start = np.hstack([np.take_along_axis(start, take, 1), start[:, -1:]])
-            pair = take[:, :-1]
-            joined = np.hstack([np.take_along_axis(joined, pair, 1), np.full((len(rows), 1), -1, joined.dtype)])
-            score = np.hstack([np.take_along_axis(score, pair, 1), np.full((len(rows), 1), -np.inf)])
+            symbols[here, best] = merged
             for at in (best - 1, best):  # pairs beside the new symbol
-                ok = (at >= 0) & (at < joined.shape[1])
+                ok = np.flatnonzero((at >= 0) & (at < width - 1))
                 i, j = here[ok], at[ok]
-                joined[i, j] = self.pieces.pairs.get(symbols[i, j], symbols[i, j + 1])
-                score[i, j] = self._score(variant[i], start[i, j], joined[i, j])
+                joined[i, j] = pair = self.pieces.pairs.get(symbols[i, j], symbols[i, j + 1])
+                score[i, j] = self._score(variant[i], start[i, j], pair)
+            end = np.flatnonzero(best == width - 1)
+            score[end, best[end]] = -np.inf
 
     def _long(self, symbols: np.ndarray, variant: int) -> np.ndarray:
         """The same agenda for one long word, with a heap and linked symbols."""
@@ -199,76 +204,77 @@ class Encoder:
 
     def _learn(self, keys: list[str]) -> None:
         """Segment words (each with its variant as last sign) and keep them."""
-        words = [k[:-1] for k in keys]
-        variant = np.array([ord(k[-1]) - 0xE000 for k in keys], np.uint64)
-        length = np.array([len(w) for w in words])
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols, begin = self.pieces.char_ids[points], np.cumsum(length) - length
-        done: list = [None] * len(words)
+        length = np.array(list(map(len, keys))) - 1
+        points = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.cumsum(length + 1) - length - 1
+        variant = (points[begin + length] - 0xE000).astype(np.uint64)
+        symbols = self.pieces.char_ids[points]
+        symbols[begin + length] = FILLER
+        strange = np.add.reduceat(symbols == UNKNOWN, begin) > 0
+        first, flats, base = len(self.at), [self.flat], len(self.flat)
+
+        def keep(words: np.ndarray, grid: np.ndarray) -> None:
+            nonlocal base
+            held = grid != FILLER
+            size = held.sum(axis=1)
+            self.starts[first + words], self.sizes[first + words] = base + np.cumsum(size) - size, size
+            flats.append(grid[held])
+            base += int(size.sum())
+
         low = 0
-        for width in (4, 8, 12, 16, 24, 32, WIDEST):
-            own = np.flatnonzero((length > low) & (length <= width))
+        for width in (4, 6, 8, 10, 12, 16, 24, 32, WIDEST):
+            own = np.flatnonzero((length > low) & (length <= width) & ~strange)
             low = width
             if len(own):
                 cols = np.arange(width)
-                inside = cols < length[own, None]
-                grid = np.where(inside, symbols[np.minimum(begin[own, None] + cols, len(symbols) - 1)], FILLER).astype(np.int32)
-                for i, ids in zip(own, self._rows(grid, variant[own])):
-                    done[i] = ids
-        for i in np.flatnonzero(length > WIDEST):
-            done[i] = self._long(symbols[begin[i] : begin[i] + length[i]], int(variant[i]))
-        unknown = points[symbols == UNKNOWN]
-        if len(unknown):  # their places come in order, as no merge takes them
-            for i in np.flatnonzero(np.add.reduceat(symbols == UNKNOWN, begin)):
-                signs = iter(points[begin[i] : begin[i] + length[i]][symbols[begin[i] : begin[i] + length[i]] == UNKNOWN].tolist())
-                done[i] = np.concatenate([self.pieces.byte_ids[list(chr(next(signs)).encode("utf-8", "replace"))] if s == UNKNOWN else np.array([s], np.int32) for s in done[i].tolist()])
-        sizes = np.array([len(d) for d in done])
-        first, base = len(self.at), len(self.flat)
-        self.ends[first : first + len(keys)] = base + np.cumsum(sizes)
-        self.starts[first : first + len(keys)] = base + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, *done])
+                grid = np.where(cols < length[own, None], symbols[np.minimum(begin[own, None] + cols, len(symbols) - 1)], FILLER)
+                for rows, grid in self._rows(grid, variant[own]):
+                    keep(own[rows], grid)
+        for i in np.flatnonzero((length > WIDEST) | strange):
+            ids = self._long(symbols[begin[i] : begin[i] + length[i]], int(variant[i]))
+            if strange[i]:  # unknown signs come in order, as no merge takes them; each becomes its bytes
+                own = points[begin[i] : begin[i] + length[i]]
+                signs = iter(own[self.pieces.char_ids[own] == UNKNOWN].tolist())
+                ids = np.concatenate([self.pieces.byte_ids[list(chr(next(signs)).encode("utf-8", "replace"))] if s == UNKNOWN else np.array([s], np.int32) for s in ids.tolist()])
+            keep(np.array([i]), ids[None, :])
+        self.flat = np.concatenate(flats)
         self.at.update(zip(keys, range(first, first + len(keys))))
 
-    def encode(self, doc_id: int | None, text: str | None) -> np.ndarray:
-        """Piece ids of a text; none for null and empty texts."""
-        if not text:
-            return np.zeros(0, np.int32)
-        words = CHUNKS.findall(" " + text)
-        out = []
-        for lo in range(0, len(words), CACHE // 4):
-            part = words[lo : lo + CACHE // 4]
-            number = np.arange(lo, lo + len(part), dtype=np.uint64)
-            drawn = mix(mix(np.uint64((doc_id or 0) & (2**64 - 1)) ^ self.seed) + number) % np.uint64(self.variants)
-            keys = list(map(add, part, self.marks[drawn].tolist()))
-            new = set(keys).difference(self.at)
-            if new:
-                if len(self.at) + len(new) > CACHE:
-                    self.reset()
-                    new = set(keys)
-                self._learn(sorted(new))
-            at = np.array(list(map(self.at.__getitem__, keys)))
-            start, size = self.starts[at], self.ends[at] - self.starts[at]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1])])
-        return np.concatenate(out)
-
-    def prepare(self, ids: list[int | None], texts: list[str | None]) -> None:
-        """Segment the words of many texts in one go."""
-        new: set[str] = set()
-        for doc_id, text in zip(ids, texts):
-            if text:
-                words = CHUNKS.findall(" " + text)
-                drawn = mix(mix(np.uint64((doc_id or 0) & (2**64 - 1)) ^ self.seed) + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)
-                new.update(map(add, words, self.marks[drawn].tolist()))
-        new.difference_update(self.at)
-        if len(new) <= CACHE // 2:
-            if len(self.at) + len(new) > CACHE:
-                self.reset()
-            if new:
-                self._learn(sorted(new))
-
-
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dropout: float = 0.1, variants: int = 16) -> DataFrame:
+    def encode(self, rows: list[tuple[int | None, str | None]]) -> list[np.ndarray]:
+        """Piece ids of each (doc_id, text); none for null and empty texts."""
+        keyed, out = [], []
+        for doc_id, text in rows:
+            words = CHUNKS.findall(" " + text) if text else []
+            drawn = mix(mix(np.array([(doc_id or 0) & (2**64 - 1)], np.uint64) ^ self.seed) + np.arange(len(words), dtype=np.uint64)) % np.uint64(self.variants)
+            keyed.append(list(map(add, words, self.marks[drawn].tolist())))
+        new = set().union(*keyed).difference(self.at)
+        whole = len(new) <= CACHE // 2
+        if new and whole:
+            self._make_room(len(new), new, keyed)
+        for keys in keyed:
+            if not keys:
+                out.append(np.zeros(0, np.int32))
+                continue
+            found = []
+            for lo in range(0, len(keys), CACHE // 4):
+                part = keys[lo : lo + CACHE // 4]
+                if not whole and (new := set(part).difference(self.at)):
+                    self._make_room(len(new), new, [part])
+                at = np.array(list(map(self.at.__getitem__, part)))
+                size = self.sizes[at]
+                ends = np.cumsum(size)
+                found.append(self.flat[np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1])])
+            out.append(np.concatenate(found))
+        return out
+
+    def _make_room(self, n: int, new: set[str], keyed: list[list[str]]) -> None:
+        if len(self.at) + n > CACHE:
+            self.reset()
+            new = set().union(*keyed)
+        self._learn(list(new))
+
+
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dropout: float = 0.1, variants: int = 8) -> DataFrame:
     """doc_id, ids, n_bytes (of the text), lossless of every row, from its whole text.
 
     Null and empty texts have no pieces.  lossless tells that the ids decode
@@ -282,8 +288,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dro
         table = shared.value.bytes_of
 
         def done(rows: list) -> pa.RecordBatch:
-            encoder.prepare([r[0] for r in rows], [r[1] for r in rows])
-            ids = [encoder.encode(*r) for r in rows]
+            ids = encoder.encode(rows)
             raw = [(t or "").encode() for _, t in rows]
             lossless = [b"".join(map(table.__getitem__, x.tolist()))[1:] == b for x, b in zip(ids, raw)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

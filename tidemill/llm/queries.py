@@ -54,7 +54,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_kd_sharding, op4_toxicity, op6_language_id, op7_secret_scans, op8_decontamination)}
+def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.piece_dropout import encode
+
+    out = encode(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "lossless")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_kd_sharding, op4_toxicity, op6_language_id, op7_secret_scans, op8_decontamination, op10_piece_dropout)}
 
 
 def _positions(kind: str, pattern: str, group: int, least: int, rank: int) -> str:

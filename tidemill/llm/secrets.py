@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import written
+
 #: The kinds in their order, the pattern of each, the group that is measured and its least length.
 RULES = [
     ("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
@@ -74,7 +76,8 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version:
     read.  Add scan_blobs() of the same input to the ledger to keep it current.
     """
     paths = blobs(docs)
-    known = scan_blobs(paths, ledger, rule_version).select("blob", "findings")
+    # Written, so that only the chosen paths' texts are scanned, and that once.
+    known = written(scan_blobs(paths, ledger, rule_version), "ledger").select("blob", "findings")
     if ledger is not None:
         known = known.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "findings"))
     hits = known.where(F.size("findings") > 0).groupBy("blob").agg(F.max("findings").alias("findings"))
