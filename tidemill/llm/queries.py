@@ -33,6 +33,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "neighbours")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.jaccard_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.language_id import languages
 
@@ -61,7 +67,7 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "lossless")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_kd_sharding, op4_toxicity, op6_language_id, op7_secret_scans, op8_decontamination, op10_piece_dropout)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_kd_sharding, op4_toxicity, op5_jaccard_join, op6_language_id, op7_secret_scans, op8_decontamination, op10_piece_dropout)}
 
 
 def _positions(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
