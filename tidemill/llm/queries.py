@@ -60,6 +60,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.piece_dropout import encode
 
@@ -67,7 +73,7 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "lossless")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_kd_sharding, op4_toxicity, op5_jaccard_join, op6_language_id, op7_secret_scans, op8_decontamination, op10_piece_dropout)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_kd_sharding, op4_toxicity, op5_jaccard_join, op6_language_id, op7_secret_scans, op8_decontamination, op9_suffix_dedup, op10_piece_dropout)}
 
 
 def _positions(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
