@@ -52,11 +52,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     by the rank of the place h further on, and h doubles.
     """
     n, keys = len(text), _keys(text)
-    order = np.argsort(keys)
+    # Suffixes of less than eight bytes come before longer ones with the same (zero-filled) key, shortest first.
+    tail = np.arange(n - 1, max(-1, n - 8), -1)
+    places = np.concatenate([tail, np.arange(n - len(tail))])
+    order = places[np.argsort(keys[places], kind="stable")]
     rank = np.empty(n, np.int64)
     at, sorted_keys, h = np.arange(n), keys[order], 8
+    short = order > n - 8
     while True:
         new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+        if h == 8:
+            new[1:] |= short[1:] | short[:-1]
         first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         rank[order[at]] = first
         tied = ~new
@@ -115,7 +121,7 @@ def repeats_in_shard(text: np.ndarray, starts: np.ndarray, length: int) -> tuple
     is_start[starts] = True
     at = np.flatnonzero(is_start[order])
     # Between two starts the common prefix is the least of those on the way.
-    low = np.minimum.reduceat(prefixes, np.concatenate([at[:1], at[:-1] + 1])) if len(at) else np.zeros(0, np.int64)
+    low = np.minimum.reduceat(prefixes[: at[-1] + 1], np.concatenate([at[:1], at[:-1] + 1])) if len(at) else np.zeros(0, np.int64)
     same = low >= length
     same[:1] = False
     hit = same.copy()
