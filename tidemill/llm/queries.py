@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import table
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.exact_dedup import exact_groups
 
@@ -73,7 +79,7 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "lossless")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_kd_sharding, op4_toxicity, op5_jaccard_join, op6_language_id, op7_secret_scans, op8_decontamination, op9_suffix_dedup, op10_piece_dropout)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_exact_dedup, op3_kd_sharding, op4_toxicity, op5_jaccard_join, op6_language_id, op7_secret_scans, op8_decontamination, op9_suffix_dedup, op10_piece_dropout)}
 
 
 def _positions(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
