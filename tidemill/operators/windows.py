@@ -45,7 +45,7 @@ def tumble(df: DataFrame, time: str, length: str, keys: list[str] = (), watermar
     With a watermark ('5 seconds') rows later than that are dropped in a stream.
     """
     if watermark and df.isStreaming:
-        df = df.withWatermark(time, watermark)
+        df = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
     grouped = df.groupBy(F.window(time, length).alias("_w"), *keys).agg(*[a.alias(n) for n, a in aggregates.items()])
     return grouped.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *keys, *aggregates)
 

@@ -56,7 +56,7 @@ def read_files(spark: SparkSession, table: Table) -> DataFrame:
         found = spark.read.format(kind).load(path)
         if all(c.startswith("_col") for c in found.columns):
             return found.select(*[F.col(found.columns[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(table.schema.fields)])
-        return spark.read.format(kind).schema(table.schema).load(path)
+        return spark.read.format(kind).schema(table.schema).load(path).select(*table.schema.names)
     return decode_lines(spark.read.text(path), table)
 
 
