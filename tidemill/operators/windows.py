@@ -33,7 +33,6 @@ def keyed_top1(df: DataFrame, keys: list[str], order: str, arrival: str | None =
         best = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("_row"))
         return best.select("_row.*")
     by = [F.col(c).desc_nulls_last() if asc else F.col(c).asc_nulls_first() for c, asc in signs]
-    by = [b if asc else F.col(c).asc_nulls_last() for b, (c, asc) in zip(by, signs)]
     if arrival:
         by.append(F.col(arrival).desc())
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_r = 1").drop("_r")
