@@ -2,7 +2,9 @@
 
 State lives in the session's state store (RocksDB with the library's
 settings) and is part of the query's checkpoint.  Timers fire between
-batches, so a delay is kept to within one trigger.
+batches, so a delay is kept to within one trigger.  Operators on processing
+time wait for their timers: run them with a trigger that goes on, as a run
+over "what is there" would not end.
 """
 
 from __future__ import annotations
@@ -218,6 +220,6 @@ def rolling_stream(stream: DataFrame, key: str, time: str, value: str, range_sec
     share a result.  Columns: the key, the time in ms, n, n_distinct, max_value.
     """
     timed = stream.withWatermark(time, watermark)
-    rows = timed.select(key, time, F.unix_millis(time).alias("_ms"), F.col(value).cast("double").alias(value))
+    rows = timed.select(key, time, F.unix_millis(time).alias("time_ms"), F.col(value).cast("double").alias(value))
     kind = dict(stream.dtypes)[key]
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=_Rolling("_ms", value, int(range_seconds * 1000), key), outputStructType=f"{key} {kind}, _ms long, n long, n_distinct long, max_value double", outputMode="Append", timeMode="EventTime").withColumnRenamed("_ms", "time_ms")
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=_Rolling("time_ms", value, int(range_seconds * 1000), key), outputStructType=f"{key} {kind}, time_ms long, n long, n_distinct long, max_value double", outputMode="Append", timeMode="EventTime")
