@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import held_out
 
 WORDS = re.compile(r"[^\W\d_]+")
-PREFIXES = (5, 6, 7)
+PREFIXES = (5,)
 #: Bounds of the fitted model: labelled examples of each class, and indexed terms.
-PER_CLASS, TERMS = 8000, 400
+PER_CLASS, TERMS = 2500, 400
 #: Least likelihood ratio statistic and least count of an indexed term.
 LEAST_G2, LEAST_DOCS = 25.0, 4
 NEIGHBOURS, BLOCK = 15, 32
@@ -61,7 +61,7 @@ class BlockMaxIndex:
     idf: np.ndarray
     weights: np.ndarray  # vectors x (clean, toxic)
     ids: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(repr=False)  # by term: vectors, weights
+    postings: np.ndarray = field(repr=False)  # terms x blocks x places in a block: weights, zero where a vector lacks the term
     tops: np.ndarray = field(repr=False)  # terms x blocks
     zero: np.ndarray  # (clean, toxic) weights of examples without indexed terms
 
@@ -77,16 +77,14 @@ class BlockMaxIndex:
             g = groups.setdefault(b, [doc_id, [0.0, 0.0]])
             g[1][toxic] += class_weight[toxic]
         bags = sorted(groups)  # alike vectors become neighbours, which makes the blocks' bounds tight
-        postings: list[list] = [[] for _ in idf]
+        blocks = -(-len(bags) // BLOCK)
+        postings = np.zeros((len(idf), blocks * BLOCK))
         for v, b in enumerate(bags):
             terms, w = cls._unit(b, idf)
-            for t, x in zip(terms, w):
-                postings[t].append((v, x))
-        lists = [(np.array([v for v, _ in p], np.int64), np.array([x for _, x in p])) for p in postings]
-        tops = np.zeros((len(idf), -(-len(bags) // BLOCK)))
-        for t, (v, x) in enumerate(lists):
-            np.maximum.at(tops[t], v // BLOCK, x)
-        return cls(idf, np.array([groups[b][1] for b in bags]).reshape(-1, 2), np.array([groups[b][0] for b in bags], np.int64), lists, tops, zero)
+            postings[terms, v] = w
+        postings = postings.reshape(len(idf), blocks, BLOCK)
+        tops = postings.max(axis=2) if blocks else np.zeros((len(idf), 0))
+        return cls(idf, np.array([groups[b][1] for b in bags]).reshape(-1, 2), np.array([groups[b][0] for b in bags], np.int64), postings, tops, zero)
 
     @staticmethod
     def _unit(b: tuple, idf: np.ndarray) -> tuple[list[int], np.ndarray]:
@@ -98,18 +96,15 @@ class BlockMaxIndex:
         """Vectors and cosines of the k nearest vectors and all that tie with the k-th, nearest first; cosines are rounded to 9 digits."""
         terms, w = self._unit(b, self.idf)
         bounds = w @ self.tops[terms]
-        best_v, best_c, floor = [], [], 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or bounds[block] < floor - 1e-6:
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(terms, w):
-                v, y = self.postings[t]
-                lo, hi = np.searchsorted(v, (block * BLOCK, (block + 1) * BLOCK))
-                scores[v[lo:hi] - block * BLOCK] += x * y[lo:hi]
-            found = np.flatnonzero(scores > 0)
-            best_v.append(found + block * BLOCK)
-            best_c.append(np.round(scores[found], 9))
+        order = np.argsort(-bounds, kind="stable")
+        best_v, best_c, floor, at, step = [], [], 0.0, 0, 4
+        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= floor - 1e-6:
+            blocks = order[at : at + step]
+            at, step = at + step, step * 2
+            scores = np.round(np.tensordot(w, self.postings[np.ix_(terms, blocks)], 1), 9)
+            i, j = np.nonzero(scores)
+            best_v.append(blocks[i] * BLOCK + j)
+            best_c.append(scores[i, j])
             if sum(map(len, best_c)) >= k:
                 every = np.concatenate(best_c)
                 floor = np.partition(every, len(every) - k)[len(every) - k]
