@@ -111,6 +111,23 @@ def fn_transform_lambda(spark, sf_dir):
     return moved.select("o_orderkey", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
 
 
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersect(spark, sf_dir):
+    return read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).intersect(read(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+def set_except(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(read(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey"))
+
+
+@query("SELECT o_orderkey, greatest(o_orderkey, o_custkey) AS larger, CASE WHEN o_orderkey >= o_custkey THEN 'order' ELSE 'customer' END AS which FROM orders")
+def fn_greatest_struct(spark, sf_dir):
+    pair = F.greatest(F.struct(F.col("o_orderkey").alias("k"), F.lit("order").alias("which")), F.struct(F.col("o_custkey").alias("k"), F.lit("customer").alias("which")))
+    made = read(spark, sf_dir, "orders").select("o_orderkey", pair.alias("g"))
+    return made.select("o_orderkey", F.col("g.k").alias("larger"), "g.which")
+
+
 # ---- joins ----
 
 
