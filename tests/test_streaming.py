@@ -123,3 +123,11 @@ def test_rolling_stream_matches_the_batch(spark, folder):
 def test_upserts_only(spark):
     df = spark.createDataFrame([("+I", 1), ("-U", 1), ("+U", 2), ("-D", 2)], "op string, v int")
     assert [r.v for r in upserts_only(df).collect()] == [1, 2]
+
+
+def test_processing_time_tumble(spark, folder):
+    path = f"{folder}/in"
+    put(spark, path, [("a",), ("a",), ("b",)], "k string")
+    out = windows.tumble_processing_time(replay(spark, path, "k string"), "1 hour", ["k"], n=F.count(F.lit(1)))
+    collect_stream(out, "proc", f"{folder}/check", "update").awaitTermination()
+    assert {r.k: r.n for r in spark.table("proc").collect()} == {"a": 2, "b": 1}
