@@ -249,8 +249,13 @@ def _file(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts with a hash of their bytes; the bytes go along once in a partition."""
-    sent: set[tuple[int, bytes]] = set()
+    """Contexts with a hash of their bytes.
+
+    The first of equal contexts of a partition takes along the bytes and
+    counts one; a last row without a text counts the others.
+    """
+    seen: dict[tuple[int, bytes], int] = {}
+    rows = lambda out: pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r)) for r in out], _CUT)
     for batch in batches:
         out: list[tuple] = []
         for k, fp, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
@@ -259,18 +264,20 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             for start, size, key in zip(*(fields.field(i).to_pylist() for i in range(3))):
                 held = data[start : start + size + length - 1]
                 digest = xxhash.xxh3_128_digest(held)
-                new = (key, digest) not in sent
-                if new:
-                    sent.add((key, digest))
-                out.append((k, fp, start, size, key, digest, bytes(held) if new else None))
+                before = seen.get((key, digest), 0)
+                seen[key, digest] = before + 1
+                out.append((k, fp, start, size, key, digest, 0 if before else 1, None if before else bytes(held)))
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r)) for r in out], _CUT)
+                yield rows(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r)) for r in out], _CUT)
+            yield rows(out)
+    more = [(None, None, None, None, key, digest, n - 1, None) for (key, digest), n in seen.items() if n > 1]
+    for i in range(0, len(more), 20_000):
+        yield rows(more[i : i + 20_000])
 
 
-_CUT = pa.schema([("k", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("digest", pa.binary()), ("bytes", pa.binary())])
+_CUT = pa.schema([("k", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bytes", pa.binary())])
 
 
 def _flags(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -320,12 +327,13 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     filed = written(texts.select("k", "fp", "text").mapInArrow(lambda it: _file(it, length), "k long, fp long, start int, size int, key long, places int"), "contexts")
     again = filed.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
     kept = filed.join(again, "key").groupBy("k", "fp").agg(F.collect_list(F.struct("start", "size", "key")).alias("places"))
-    cut = texts.join(kept, ["k", "fp"]).select("k", "fp", "text", "places").mapInArrow(lambda it: _cut(it, length), "k long, fp long, start int, size int, key long, digest binary, bytes binary")
+    cut = texts.join(kept, ["k", "fp"]).select("k", "fp", "text", "places").mapInArrow(lambda it: _cut(it, length), "k long, fp long, start int, size int, key long, digest binary, n int, bytes binary")
     cut = written(cut, "cut")
-    once = cut.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
-    flags = once.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _flags(it, length), "key long, digest binary, flags binary")
+    # Dealt by key once; each partition has counted its own, so a common context comes at most twice from each.
+    once = cut.where("n > 0").select("key", "digest", "n", "bytes").repartition("key").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
+    flags = once.sortWithinPartitions("key").mapInArrow(lambda it: _flags(it, length), "key long, digest binary, flags binary")
     flags = written(flags, "flags")
-    hits = cut.select("k", "fp", "start", "key", "digest").join(flags, ["key", "digest"]).groupBy("k", "fp").agg(F.collect_list(F.struct("start", "flags")).alias("found"))
+    hits = cut.where("k is not null").select("k", "fp", "start", "key", "digest").join(flags, ["key", "digest"]).groupBy("k", "fp").agg(F.collect_list(F.struct("start", "flags")).alias("found"))
     return hits.mapInArrow(lambda it: _spans(it, length), "k long, fp long, begins array<int>, ends array<int>")
 
 
