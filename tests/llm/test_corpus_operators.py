@@ -408,6 +408,25 @@ def test_dropout_is_lossless_seeded_and_varied(pieces, monkeypatch):
     assert [x.tolist() for x in piece_dropout.Encoder(pieces, 1, 0.3, 8).encode(rows)] == [x.tolist() for x in one]
 
 
+def test_every_occurrence_draws_its_own_merges(pieces, monkeypatch):
+    word = " international"
+    rows = [(i, (word * 20)[1:]) for i in range(30)] + [(200, "Ünternational 😀 " * 9 + "x" * 70)]
+    encoder = piece_dropout.Encoder(pieces, 17, 0.1)
+    got = [x.tolist() for x in encoder.encode(rows)]
+    assert [pieces.decode(x) for x in got] == [t for _, t in rows]
+    found, own = Counter(), []
+    for i in np.concatenate(got[:-1]).tolist():
+        own.append(i)
+        if b"".join(map(pieces.bytes_of.__getitem__, own)) == word.encode():
+            found[tuple(own)] += 1
+            own = []
+    assert sum(found.values()) == 600 and len(found) > 8  # with eight draws for all, there were eight at most
+    # What is remembered is what each occurrence's own agenda gives.
+    again = [x.tolist() for x in encoder.encode(rows)]
+    monkeypatch.setattr(piece_dropout, "WIDEST", 0)
+    assert got == again == [x.tolist() for x in piece_dropout.Encoder(pieces, 17, 0.1).encode(rows)]
+
+
 def test_encode_and_decode(odd):
     out = piece_dropout.encode(odd)
     rows = out.collect()
