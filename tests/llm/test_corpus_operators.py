@@ -295,6 +295,15 @@ def test_toxicity_finds_planted_documents(frame, spark, odd):
     assert toxicity.drop_toxic(docs, labels).count() == 350
 
 
+def test_toxicity_learns_from_all_labels_and_votes_in_tasks(frame, spark, monkeypatch):
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "vote", None)  # in the driver; tasks have their own
+    rows = [(i, f"w{i % 97} " + ("vilest words" if i % 2 else "kind words")) for i in range(7000)]
+    model = toxicity.fit(frame(rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert model.index.weights[:, 1].sum() + model.index.zero[1] == sum(i % 2 for i in learnt) > 2500
+    assert toxicity.terms_of("vileness") == ["vileness", "vilen*", "vilene*", "vilenes*"] and "viles*" in model.terms
+
+
 def test_licenses_of_planted_lines(frame, odd):
     lines = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "the general public read a license": "unknown", "plain words only": "unknown"}
     rows = list(enumerate(["first line\n" + x + "\nlast" for x in lines] + [None, ""]))

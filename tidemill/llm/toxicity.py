@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import held_out
+from tidemill.llm.common import held_out, written
 
 WORDS = re.compile(r"[^\W\d_]+")
-PREFIXES = (5,)
+PREFIXES = (5, 6, 7)
 #: Bounds of the fitted model: labelled examples of each class, and indexed terms.
-PER_CLASS, TERMS = 2500, 400
+PER_CLASS, TERMS = 8000, 400
 #: Least likelihood ratio statistic and least count of an indexed term.
 LEAST_G2, LEAST_DOCS = 25.0, 4
 NEIGHBOURS, BLOCK = 15, 32
@@ -54,6 +54,10 @@ def bag(text: str | None, terms: dict[str, int], cache: dict[str, tuple[int, ...
     return tuple(sorted(counts.items()))
 
 
+def _pairs(flat: list[int]) -> tuple[tuple[int, int], ...]:
+    return tuple(zip(flat[::2], flat[1::2]))
+
+
 @dataclass
 class BlockMaxIndex:
     """Distinct vectors of examples, each with the weights of its toxic and clean examples and the least doc_id among them."""
@@ -217,16 +221,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             found = [bag(t, shared.value, cache) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(1), "bag": pa.array([[x for tn in b for x in tn] for b in found], pa.list_(pa.int32()))})
 
-    examples = [(r["doc_id"], r["toxic"], tuple(zip(r["bag"][::2], r["bag"][1::2]))) for r in chosen.mapInArrow(bags, "doc_id long, toxic int, bag array<int>").collect()]  # bounded by per_class
+    held = written(chosen.mapInArrow(bags, "doc_id long, toxic int, bag array<int>"), "examples")
+    examples = [(r["doc_id"], r["toxic"], _pairs(r["bag"])) for r in held.collect()]  # bounded by per_class
     weight = (n[0] / neg, n[1] / pos)
     index = BlockMaxIndex.build(examples, idf, weight)
-    votes: dict = {}
-    for _, y, b in examples:
-        if (b, y) not in votes:
-            votes[b, y] = index.vote(b, (y, weight[y]))[0]
-    y = np.array([y for _, y, _ in examples])
-    x = _logit(np.array([votes[b, y] for _, y, b in examples]))
-    slope, shift = _calibration(x, y, np.where(y == 1, weight[1], weight[0]))
+    known_index = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_class and TERMS
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [known_index.value.vote(_pairs(b), (y, weight[y]))[0] for y, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64())], ["toxic", "n", "vote"])
+
+    distinct = held.groupBy("toxic", "bag").agg(F.count(F.lit(1)).alias("n")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    voted = sorted(tuple(r) for r in distinct.mapInArrow(votes, "toxic int, n long, vote double").collect())
+    y, times, vote = (np.array(x, float) for x in zip(*voted)) if voted else np.zeros((3, 0))
+    slope, shift = _calibration(_logit(vote), y, times * np.where(y == 1, weight[1], weight[0]))
     return Model(terms, index, slope, shift)
 
 
