@@ -1,15 +1,19 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-The labelled examples (a bounded sample) are kept in an inverted index whose
-posting lists are cut into blocks of examples, each block with the largest
-weight of every term.  A query takes blocks in order of their upper bound and
-stops when no block left can reach the k-th best cosine, so the neighbours
-are exact.  Neighbours vote with weights that fall with distance, and the vote is
+Terms are words, cut to their first STEM letters; every term of the labelled
+examples (a bounded sample) is indexed.  A term weighs (1 + ln tf) times its
+inverse document frequency in the whole corpus times its relevance, the
+likelihood ratio statistic of term and label in the sample: with whole
+vectors of plain TF-IDF, neighbours share a topic and not a tone (measured in
+the README).  Cosines run over all indexed terms.
+
+The examples are kept in an inverted index whose posting lists are cut into
+blocks of examples, each with the largest weight of the term in it.  A query
+adds up common terms, then rare ones in order of their impact, and stops when
+the block maxima of the others show which few examples can still be among
+the k nearest; those are compared in full, so the neighbours are exact.
+Neighbours vote with weights that fall with distance, and the vote is
 calibrated by leave-one-out votes of the examples themselves.
-
-Terms are words and leading parts of words.  Those that tell the classes
-apart in the sample (by likelihood ratio) are indexed; their document
-frequencies are counted over all documents.
 """
 
 from __future__ import annotations
@@ -21,133 +25,233 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import held_out, written
 
-WORDS = re.compile(r"[^\W\d_]+")
-PREFIXES = (5, 6, 7)
-#: Bounds of the fitted model: labelled examples of each class, and indexed terms.
-PER_CLASS, TERMS = 8000, 400
-#: Least likelihood ratio statistic and least count of an indexed term.
-LEAST_G2, LEAST_DOCS = 25.0, 4
-NEIGHBOURS, BLOCK = 15, 32
-CACHE = 300_000
+#: Letters of a term, and the pattern that takes so many of each word.
+STEM = 8
+WORDS = re.compile(r"([^\W\d_]{1,%d})[^\W\d_]*" % STEM)
+#: Bound of the fitted model: labelled examples of each class.
+PER_CLASS = 8000
+NEIGHBOURS, BLOCK = 15, 512
+#: Terms in more than one of so many examples are common; candidates that are compared in full.
+COMMON, FEW = 16, 100
+#: Stems that a worker remembers; documents scored at a time; slices of a count vector.
+CACHE, BATCH, SLICES = 300_000, 64, 64
+#: Sums in single precision are this close to the exact ones; examples of a stretch whose largest score bounds the floor.
+CLOSE, CHUNK = 1e-5, 64
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
+def term_counts(text: str | None) -> Counter:
+    """The terms of a text and how often each occurs."""
+    return Counter(WORDS.findall(text.lower()) if text else ())
 
 
-def bag(text: str | None, terms: dict[str, int], cache: dict[str, tuple[int, ...]]) -> tuple[tuple[int, int], ...]:
-    """(term, count) of the indexed terms in a text, in order of term."""
-    counts: Counter = Counter()
-    for w, n in Counter(WORDS.findall(text.lower()) if text else ()).items():
-        hit = cache.get(w)
-        if hit is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            hit = cache[w] = tuple(terms[t] for t in terms_of(w) if t in terms)
-        for t in hit:
-            counts[t] += n
-    return tuple(sorted(counts.items()))
+def term_hash(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term)
 
 
-def _pairs(flat: list[int]) -> tuple[tuple[int, int], ...]:
-    return tuple(zip(flat[::2], flat[1::2]))
+@dataclass
+class Terms:
+    """The indexed terms, by place in their sorted hashes."""
+
+    hashes: np.ndarray
+    known: dict[str, int] = field(default_factory=dict, repr=False)
+
+    def bags(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, counts) of the indexed terms in each text, in order of term."""
+        counts = [term_counts(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list({t for c in counts for t in c} - self.known.keys())
+        if new:
+            own = np.array([term_hash(t) for t in new], np.uint64)
+            at = np.searchsorted(self.hashes, own)
+            hit = at < len(self.hashes)
+            hit[hit] = self.hashes[at[hit]] == own[hit]
+            self.known.update(zip(new, np.where(hit, at, -1).tolist()))
+        out = []
+        for c in counts:
+            terms, n = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))
+            order = np.argsort(terms)[np.count_nonzero(terms < 0) :]
+            out.append((terms[order], n[order]))
+        return out
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of several slices, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Distinct vectors of examples, each with the weights of its toxic and clean examples and the least doc_id among them."""
+    """Distinct vectors of examples, each with the weights of its clean and toxic examples and the least doc_id among them.
+
+    Vectors are held by example (terms, values from begins) and by term
+    (places, weights from starts); common terms as rows of a matrix.  tops
+    are the largest weights of a term in each block it occurs in.
+    """
 
-    idf: np.ndarray
-    weights: np.ndarray  # vectors x (clean, toxic)
+    weight_of: np.ndarray
+    votes: np.ndarray
     ids: np.ndarray
-    postings: np.ndarray = field(repr=False)  # terms x blocks x places in a block: weights, zero where a vector lacks the term
-    tops: np.ndarray = field(repr=False)  # terms x blocks
-    zero: np.ndarray  # (clean, toxic) weights of examples without indexed terms
+    begins: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    weights: np.ndarray
+    top_starts: np.ndarray
+    top_blocks: np.ndarray
+    tops: np.ndarray
+    largest: np.ndarray
+    row_of: np.ndarray
+    rows: np.ndarray
+    zero: np.ndarray  # (clean, toxic) weights of examples without terms
 
     @classmethod
-    def build(cls, examples: list[tuple[int, int, tuple]], idf: np.ndarray, class_weight: tuple[float, float]) -> BlockMaxIndex:
-        """examples: (doc_id, toxic, bag)."""
+    def build(cls, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight_of: np.ndarray, class_weight: tuple[float, float]) -> BlockMaxIndex:
+        """examples: (doc_id, toxic, terms, counts); weight_of: the weight of each term at a count of one."""
         groups: dict[tuple, list] = {}
         zero = np.zeros(2)
-        for doc_id, toxic, b in sorted(examples):
-            if not b:
+        for doc_id, toxic, terms, counts in sorted(examples, key=lambda e: e[:2]):
+            if not len(terms):
                 zero[toxic] += class_weight[toxic]
                 continue
-            g = groups.setdefault(b, [doc_id, [0.0, 0.0]])
+            g = groups.setdefault((terms.tobytes(), counts.tobytes()), [doc_id, np.zeros(2), *cls.unit(terms, counts, weight_of)])
             g[1][toxic] += class_weight[toxic]
-        bags = sorted(groups)  # alike vectors become neighbours, which makes the blocks' bounds tight
-        blocks = -(-len(bags) // BLOCK)
-        postings = np.zeros((len(idf), blocks * BLOCK))
-        for v, b in enumerate(bags):
-            terms, w = cls._unit(b, idf)
-            postings[terms, v] = w
-        postings = postings.reshape(len(idf), blocks, BLOCK)
-        tops = postings.max(axis=2) if blocks else np.zeros((len(idf), 0))
-        return cls(idf, np.array([groups[b][1] for b in bags]).reshape(-1, 2), np.array([groups[b][0] for b in bags], np.int64), postings, tops, zero)
+        # Vectors with the same heaviest terms become neighbours, which makes the blocks' maxima tight.
+        held = sorted(groups.values(), key=lambda g: (*g[2][np.argsort(-g[3], kind="stable")[:3]].tolist(), g[0]))
+        n, n_terms = len(held), len(weight_of)
+        sizes = np.array([len(g[2]) for g in held], np.int64)
+        terms = np.concatenate([np.zeros(0, np.int64), *(g[2] for g in held)]).astype(np.int32)
+        values = np.concatenate([np.zeros(0), *(g[3] for g in held)])
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        order = np.argsort(terms, kind="stable")
+        by_term, places, weights = terms[order], example[order], values[order].astype(np.float32)
+        starts = np.searchsorted(by_term, np.arange(n_terms + 1))
+        block = places // BLOCK
+        cut = np.flatnonzero(np.concatenate([[True], (by_term[1:] != by_term[:-1]) | (block[1:] != block[:-1])])) if len(places) else np.zeros(0, np.int64)
+        tops = np.maximum.reduceat(weights, cut) if len(cut) else weights
+        top_starts = np.searchsorted(by_term[cut], np.arange(n_terms + 1))
+        largest = np.zeros(n_terms)
+        np.maximum.at(largest, by_term[cut], tops)
+        row_of = np.full(n_terms, -1, np.int32)
+        common = np.flatnonzero(np.diff(starts) > max(1, n // COMMON))
+        row_of[common] = np.arange(len(common))
+        rows = np.zeros((len(common), n), np.float32)
+        own = row_of[by_term] >= 0
+        rows[row_of[by_term[own]], places[own]] = weights[own]
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        return cls(weight_of, np.array([g[1] for g in held]).reshape(-1, 2), np.array([g[0] for g in held], np.int64), begins, terms, values, starts, places, weights, top_starts, block[cut], tops, largest, row_of, rows, zero)
 
     @staticmethod
-    def _unit(b: tuple, idf: np.ndarray) -> tuple[list[int], np.ndarray]:
-        terms = [t for t, _ in b]
-        w = (1 + np.log([n for _, n in b])) * idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
-
-    def nearest(self, b: tuple, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors and cosines of the k nearest vectors and all that tie with the k-th, nearest first; cosines are rounded to 9 digits."""
-        terms, w = self._unit(b, self.idf)
-        bounds = w @ self.tops[terms]
-        order = np.argsort(-bounds, kind="stable")
-        best_v, best_c, floor, at, step = [], [], 0.0, 0, 4
-        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= floor - 1e-6:
-            blocks = order[at : at + step]
-            at, step = at + step, step * 2
-            scores = np.round(np.tensordot(w, self.postings[np.ix_(terms, blocks)], 1), 9)
-            i, j = np.nonzero(scores)
-            best_v.append(blocks[i] * BLOCK + j)
-            best_c.append(scores[i, j])
-            if sum(map(len, best_c)) >= k:
-                every = np.concatenate(best_c)
-                floor = np.partition(every, len(every) - k)[len(every) - k]
-        if not best_v:
+    def unit(terms: np.ndarray, counts: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * weight_of[terms]
+        return terms, w / (np.sqrt((w * w).sum()) or 1.0)
+
+    def _exact(self, places: np.ndarray, terms: np.ndarray, w: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Cosines of a query with some examples, rounded to 9 digits; spread has a zero for every term."""
+        sizes = self.begins[places + 1] - self.begins[places]
+        at = _gather(self.begins[places], sizes)
+        spread[terms] = w
+        out = np.round(np.add.reduceat(spread[self.terms[at]] * self.values[at], np.cumsum(sizes) - sizes), 9)
+        spread[terms] = 0.0
+        return out
+
+    def nearest(self, bags: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each bag the vectors and cosines of the k nearest and all that tie with the k-th, nearest first.  Only cosines above zero count."""
+        units = [self.unit(*b, self.weight_of) for b in bags]
+        spread = np.zeros(len(self.weight_of))
+        wide = np.zeros((len(units), len(self.rows)), np.float32)
+        for i, (t, w) in enumerate(units):
+            own = self.row_of[t]
+            wide[i, own[own >= 0]] = w[own >= 0]
+        sums = wide @ self.rows
+        return [self._search(t, w, s, spread, k) for (t, w), s in zip(units, sums)]
+
+    def _search(self, terms: np.ndarray, w: np.ndarray, score: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(score)
+        rare = np.flatnonzero(self.row_of[terms] < 0)
+        impact = w[rare] * self.largest[terms[rare]]
+        rare = rare[np.argsort(-impact, kind="stable")]
+        impact = np.sort(impact)[::-1]
+        left = np.concatenate([np.cumsum(impact[::-1])[::-1], [0.0]])  # the most that terms from here on can add
+        blocks, done, floor, score = -(-n // BLOCK), 0, 0.0, score.astype(np.float64)
+        for part in (0.3, 0.1, 0.03, 0.01, 0.0):
+            upto = max(done, int(np.searchsorted(-left, -part * left[0])))
+            if upto > done:
+                t = terms[rare[done:upto]]
+                sizes = self.starts[t + 1] - self.starts[t]
+                at = _gather(self.starts[t], sizes)
+                score += np.bincount(self.places[at], np.repeat(w[rare[done:upto]], sizes) * self.weights[at], n)
+                done = upto
+            if n > CHUNK * k:  # the k-th largest score is no less than the k-th largest maximum of stretches
+                peaks = score[: n // CHUNK * CHUNK].reshape(-1, CHUNK).max(axis=1)
+                floor = max(floor, np.partition(peaks, len(peaks) - k)[len(peaks) - k])
+            best = score[score >= floor]
+            floor = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else floor
+            low = max(floor, 0.0) - CLOSE
+            if part == 0.0 or left[done] <= 0:
+                near = np.flatnonzero((score >= low) & (score > 0))
+                break
+            if left[done] >= floor:
+                continue
+            near = np.flatnonzero(score + left[done] >= low)
+            if len(near) <= FEW:
+                break
+            # What the terms left over can add in each block, by their largest weights there.
+            t = terms[rare[done:]]
+            sizes = self.top_starts[t + 1] - self.top_starts[t]
+            at = _gather(self.top_starts[t], sizes)
+            more = np.bincount(self.top_blocks[at], np.repeat(w[rare[done:]], sizes) * self.tops[at], blocks)
+            near = near[score[near] + more[near // BLOCK] >= low]
+            if len(near) <= FEW:
+                break
+        if not len(near):
             return np.zeros(0, np.int64), np.zeros(0)
-        v, c = np.concatenate(best_v), np.concatenate(best_c)
-        order = np.lexsort((v, -c))
-        v, c = v[order], c[order]
-        keep = c >= (c[k - 1] if len(c) > k else 0)
-        return v[keep], c[keep]
-
-    def vote(self, b: tuple, less: tuple[int, float] | None = None) -> tuple[float, list[int]]:
-        """Share of toxic votes, and the nearest examples.  less: (class, weight) of the example itself, for leave-one-out."""
-        prior = (self.weights.sum(axis=0) + self.zero + 1e-9).copy()
+        cosine = self._exact(near, terms, w, spread)
+        order = np.lexsort((near, -cosine))
+        near, cosine = near[order], cosine[order]
+        keep = (cosine > 0) & (cosine >= (cosine[k - 1] if len(cosine) > k else 0))
+        return near[keep], cosine[keep]
+
+    def vote(self, bags: list[tuple[np.ndarray, np.ndarray]], less: list[tuple[int, float]] | None = None) -> list[tuple[float, list[int]]]:
+        """For each bag the share of toxic votes and the nearest examples.  less: (class, weight) of the example itself, for leave-one-out."""
+        prior = self.votes.sum(axis=0) + self.zero + 1e-9
         prior /= prior.sum()
-        if not b:
-            votes, near = self.zero.copy(), []
-            if less:
-                votes[less[0]] -= less[1]
-        else:
-            v, c = self.nearest(b)
-            w = self.weights[v].copy()
+        out: list = [None] * len(bags)
+        filled = [i for i, b in enumerate(bags) if len(b[0])]
+        for i, b in enumerate(bags):
+            if not len(b[0]):
+                votes = self.zero.copy()
+                if less:
+                    votes[less[i][0]] = max(0.0, votes[less[i][0]] - less[i][1])
+                out[i] = (votes + prior, [])
+        found = self.nearest([bags[i] for i in filled]) if len(self.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * len(filled)
+        for i, (v, c) in zip(filled, found):
+            w = self.votes[v].copy()
             if less and len(c) and c[0] > 1 - 1e-8:
-                w[0, less[0]] = max(0.0, w[0, less[0]] - less[1])
-            votes, near = (w * (c**2)[:, None]).sum(axis=0), self.ids[v[:3]].tolist()
-        votes = votes + prior  # one vote by the base rate
-        return float(votes[1] / votes.sum()), near
+                w[0, less[i][0]] = max(0.0, w[0, less[i][0]] - less[i][1])
+            out[i] = ((w * (c**2)[:, None]).sum(axis=0) + prior, self.ids[v[:3]].tolist())  # one vote by the base rate
+        return [(float(votes[1] / votes.sum()), near) for votes, near in out]
 
 
 @dataclass
 class Model:
-    terms: dict[str, int]
+    terms: Terms
     index: BlockMaxIndex
     slope: float
     shift: float
 
-    def score(self, b: tuple) -> tuple[float, list[int]]:
-        p, near = self.index.vote(b)
-        return float(_sigmoid(self.slope * _logit(p) + self.shift)), near
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        found = self.index.vote(self.terms.bags(texts))
+        p = _sigmoid(self.slope * _logit(np.array([p for p, _ in found])) + self.shift)
+        return list(zip(p.tolist(), (near for _, near in found)))
 
 
 def _logit(p):
@@ -170,11 +274,55 @@ def _calibration(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, fl
     return max(0.05, float(beta[0])), float(beta[1])
 
 
+def relevance(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """Likelihood ratio statistic of terms that a of pos toxic and b of neg clean examples have."""
+    part = lambda k, e: k * np.log(np.where(k > 0, k, 1) / np.where(e > 0, e, 1))
+    rate = (a + b) / (pos + neg)
+    return np.maximum(0.0, 2 * (part(a, pos * rate) + part(b, neg * rate) + part(pos - a, pos * (1 - rate)) + part(neg - b, neg * (1 - rate))))
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and where each row begins."""
+    whole = column.combine_chunks()
+    whole = whole if isinstance(whole, pa.ListArray) else pa.concat_arrays(whole.chunks)
+    return whole.values.to_numpy(), whole.offsets.to_numpy()
+
+
+def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
+    """The number of rows, and how many of them have each term: one number a term from each partition, added by slices."""
+    shared, n = docs.sparkSession.sparkContext.broadcast(terms), len(terms.hashes)
+    step = -(-n // SLICES) or 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(n, np.int64), 0
+        own = Terms(shared.value.hashes)
+        for batch in batches:
+            rows += batch.num_rows
+            for at in range(0, batch.num_rows, BATCH):
+                found = [t for t, _ in own.bags(batch.column(0).slice(at, BATCH).to_pylist())]
+                total += np.bincount(np.concatenate(found), minlength=n)
+        slices = [total[i : i + step].tobytes() for i in range(0, n, step)]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([-1, *range(len(slices))], pa.int32()), "counts": pa.array([np.array([rows], np.int64).tobytes(), *slices], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[s] = sums.get(s, 0) + np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    schema = "slice int, counts binary"
+    parts = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in docs.select(F.col("text").cast("string")).mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()}
+    rows = int(parts.pop(-1, np.zeros(1))[0])
+    return rows, np.concatenate([parts[s] for s in sorted(parts)]) if parts else np.zeros(n, np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """Learn from about per_class labelled documents of each class, chosen by a hash of doc_id; None without labels of both classes.
 
-    Rows that are held out are never looked at for labels.  The document
-    frequencies of the indexed terms come from all of docs.
+    Rows that are held out are never looked at for labels.  Document
+    frequencies come from all of docs.  Rows that repeat a doc_id with other
+    texts are examples of their own; equal rows are one.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -182,85 +330,83 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         return None
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / n[1]))).otherwise(F.lit(min(1.0, per_class / n[0])))
     sample = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) < share)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # bounded by per_class
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, term = [], []
-            for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = {x for w in set(WORDS.findall((t or "").lower())) for x in terms_of(w)}
-                term += own
-                toxic += [y] * len(own)
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array(toxic, pa.int32()), "term": pa.array(term, pa.string())})
-
-    pos, neg = (float(max(1, min(n[y], per_class))) for y in (1, 0))
-    seen = chosen.mapInArrow(tokens, "toxic int, term string").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(F.lit(0.0))
-    a, b = F.least("a", F.lit(pos)), F.least("b", F.lit(neg))
-    rate = (a + b) / (pos + neg)
-    g2 = 2 * (part(a, pos * rate) + part(b, neg * rate) + part(pos - a, pos * (1 - rate)) + part(neg - b, neg * (1 - rate)))
-    top = seen.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (a / pos > b / neg)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS).collect()
-    terms = {r["term"]: i for i, r in enumerate(top)}
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        df: Counter = Counter()
-        for batch in batches:
-            df[-1] += batch.num_rows
-            for i in range(batch.num_rows):
-                df.update(t for t, _ in bag(batch.column(0)[i].as_py(), shared.value, cache))
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(df), pa.int32()), "n": pa.array(list(df.values()), pa.int64())})
-
-    counts = {r["term"]: r["n"] for r in docs.select(F.col("text").cast("string")).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + counts.get(-1, 0)) / (1 + counts.get(t, 0))) + 1 for t in range(len(terms))])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").distinct()  # the sample is bounded by per_class
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in batches:
-            found = [bag(t, shared.value, cache) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(1), "bag": pa.array([[x for tn in b for x in tn] for b in found], pa.list_(pa.int32()))})
+            found = [term_counts(t) for t in batch.column(2).to_pylist()]
+            hashes = [np.array([term_hash(t) for t in c], np.uint64).view(np.int64) for c in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(1), "terms": pa.array(hashes, pa.list_(pa.int64())), "counts": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))})
 
-    held = written(chosen.mapInArrow(bags, "doc_id long, toxic int, bag array<int>"), "examples")
-    examples = [(r["doc_id"], r["toxic"], _pairs(r["bag"])) for r in held.collect()]  # bounded by per_class
-    weight = (n[0] / neg, n[1] / pos)
-    index = BlockMaxIndex.build(examples, idf, weight)
-    known_index = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_class and TERMS
+    held = written(chosen.mapInArrow(bags, "doc_id long, toxic int, terms array<long>, counts array<int>"), "examples")
+    table = held.toArrow()  # bounded by per_class
+    if not {0, 1} <= set(table["toxic"].to_pylist()):
+        return None
+    (hashes, begins), (counts, _) = _lists(table["terms"]), _lists(table["counts"])
+    toxic, ids = table["toxic"].to_numpy(), table["doc_id"].to_numpy()
+    terms = Terms(np.unique(hashes.view(np.uint64)))
+    place = np.searchsorted(terms.hashes, hashes.view(np.uint64))
+    pos, neg = float((toxic == 1).sum()), float((toxic == 0).sum())
+    of = np.repeat(toxic, np.diff(begins))
+    size = len(terms.hashes)
+    weight = relevance(np.bincount(place[of == 1], minlength=size).astype(float), np.bincount(place[of == 0], minlength=size).astype(float), pos, neg)
+    rows_all, df = document_frequencies(docs, terms)
+    weight *= np.log((1 + rows_all) / (1 + df)) + 1
+    class_weight = (n[0] / neg, n[1] / pos)
+    examples = []
+    for i in range(len(ids)):
+        own = slice(begins[i], begins[i + 1])
+        order = np.argsort(place[own])
+        keep = order[weight[place[own][order]] > 0]
+        examples.append((int(ids[i]), int(toxic[i]), place[own][keep], counts[own][keep].astype(np.int64)))
+    index = BlockMaxIndex.build(examples, weight, class_weight)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, index))  # bounded by per_class
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, index = shared.value
         for batch in batches:
-            found = [known_index.value.vote(_pairs(b), (y, weight[y]))[0] for y, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64())], ["toxic", "n", "vote"])
-
-    distinct = held.groupBy("toxic", "bag").agg(F.count(F.lit(1)).alias("n")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    voted = sorted(tuple(r) for r in distinct.mapInArrow(votes, "toxic int, n long, vote double").collect())
-    y, times, vote = (np.array(x, float) for x in zip(*voted)) if voted else np.zeros((3, 0))
-    slope, shift = _calibration(_logit(vote), y, times * np.where(y == 1, weight[1], weight[0]))
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                own = []
+                for h, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    t = np.searchsorted(terms.hashes, np.array(h, np.int64).view(np.uint64))
+                    order = np.argsort(t)
+                    order = order[index.weight_of[t[order]] > 0]
+                    own.append((t[order], np.array(c, np.int64)[order]))
+                y = part.column(0).to_pylist()
+                found = index.vote(own, [(k, class_weight[k]) for k in y])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p for p, _ in found], pa.float64())], ["toxic", "vote"])
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    voted = held.select("toxic", "terms", "counts").repartition(tasks).mapInArrow(votes, "toxic int, vote double").toArrow()
+    y, vote = voted["toxic"].to_numpy().astype(float), voted["vote"].to_numpy()
+    order = np.lexsort((vote, y))
+    y, vote = y[order], vote[order]
+    slope, shift = _calibration(_logit(vote), y, np.where(y == 1, class_weight[1], class_weight[0]))
     return Model(terms, index, slope, shift)
 
 
+def _scored(texts: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[float, list[int]]]]]:
+    for at in range(0, len(texts), BATCH):
+        yield at, model.score(texts.slice(at, BATCH).to_pylist())
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score (0 to 1), neighbours (doc_ids of the nearest examples) of every row, from its whole text.
 
-    Null, empty and wordless texts take the rate of examples without indexed
-    terms.  Without a model every score is 0.
+    Null, empty and wordless texts, and those that share no term with any
+    example, take the rate of examples without terms and have no neighbours.
+    Without a model every score is 0.
     """
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("neighbours"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words, known = shared.value, {}, {}
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                b = bag(batch.column(1)[i].as_py(), model.terms, words)
-                if b not in known:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[b] = model.score(b)
-                out.append(known[b])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([near for _, near in out], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
+            for at, found in _scored(batch.column(1), shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, BATCH), pa.array([s for s, _ in found], pa.float64()), pa.array([near for _, near in found], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, neighbours array<long>")
 
@@ -272,6 +418,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns stay.  Rows without a doc_id stay."""
-    bad = score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """docs without the rows whose own text reaches the threshold; all columns stay.
+
+    Every row is judged by itself, whatever other rows share its doc_id, and
+    also without a doc_id.  Without a model nothing goes.
+    """
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+    shared, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [s < threshold for _, found in _scored(batch.column(at_text), shared.value) for s, _ in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
