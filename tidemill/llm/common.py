@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Up to so many rows of two numbers are broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
@@ -17,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests on one machine, a temporary
-    folder is made once and kept in the session.
+    Where the session names none and runs on one machine, as in tests, a
+    temporary folder is made once and kept in the session; on a cluster that
+    is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemill.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("tidemill.shared.dir", found)
     return found.rstrip("/")
@@ -46,7 +54,34 @@ def held_out(doc_id: Column | str) -> Column:
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small constant table, made by the JVM from one JSON literal."""
-    import json
-
     one = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r"))
     return one.select("r.*")
+
+
+def text_key(text: Column | str = "text") -> Column:
+    """A hash of a text; with the doc_id it tells rows apart, but for rows that repeat both.  Null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string"))
+
+
+def _keyed(docs: DataFrame, keys: DataFrame, rows: int, how: str) -> DataFrame:
+    """docs semi- or anti-joined with (doc_id, fp) under names of their own, so that no column of docs can clash."""
+    own = uuid.uuid4().hex
+    right = keys.select(F.col("doc_id").alias(f"i{own}"), F.col("fp").alias(f"f{own}"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"i{own}")) & (text_key(docs["text"]) == F.col(f"f{own}"))
+    return docs.join(maybe_broadcast(right, rows, BROADCAST_ROWS), same, how)
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """docs less the rows named by gone; of rows named by repeated, which are equal in doc_id and text, one of each is left.
+
+    gone, repeated: doc_id and fp (text_key); null ids are equal.  All columns of docs stay.
+    """
+    gone = written(gone.select("doc_id", "fp").distinct(), "gone")
+    kept = _keyed(docs, gone, gone.count(), "left_anti")
+    if repeated is None:
+        return kept
+    repeated = written(repeated.select("doc_id", "fp").distinct(), "repeated")
+    n = repeated.count()
+    if not n:
+        return kept
+    return _keyed(kept, repeated, n, "left_anti").unionByName(_keyed(kept, repeated, n, "left_semi").dropDuplicates(["doc_id", "text"]))

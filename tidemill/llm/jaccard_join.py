@@ -12,22 +12,27 @@ is entered under each of these.  The points under one shingle, sorted by size,
 are packed into boxes; pairs of boxes, then of points, that pass the bound are
 candidates, and candidates are verified on their whole sets.
 
-Equal sets are one point.  As only connectedness is asked for, a first round
-verifies one candidate for each entry and joins what it links; the second
-round verifies every candidate that is not yet known to be connected.
+Equal sets are one point, known by a hash of the set.  ``similar_pairs`` gives
+all links between points.  For ``similar_groups`` only connectedness counts:
+a first round verifies one candidate for each entry and joins what it links.
+Each later round verifies the best candidates between components that are
+still apart, a few for each pair of components under a shingle, and more of
+them each time until no candidate is left that was not looked at.  So what
+leaves a task grows with components and not with the square of a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import maybe_broadcast, written
+from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, text_key, without, written
 from tidemill.llm.components import components
 from tidemill.llm.hashing import shingles, utf8, words_by_row
 
@@ -37,8 +42,8 @@ DIMENSIONS, FINE_BITS = 256, 20
 FULL = 255
 #: Points of a box; points under one shingle that are joined in one piece; pairs whose bounds are taken at once.
 LEAF, TILE, PAIRS = 32, 2048, 100_000
-#: Up to so many ids of 8 bytes are broadcast.
-BROADCAST_ROWS = 200_000
+#: Candidates of a pair of components in the second round, and how many times more in each round after it.
+FEW, MORE = 16, 16
 
 
 def needed(a, b, percent: int):
@@ -79,29 +84,29 @@ def group_totals(docs: DataFrame, k: int) -> np.ndarray:
     return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
 
 
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    """A 128-bit hash of each set, which tells points apart."""
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+
+
 def points(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (a 128-bit hash of the set), vector, prefix."""
+    """doc_id, fp, n, p (a hash of the set), vector, prefix of docs with doc_id, text and fp."""
     totals = docs.sparkSession.sparkContext.broadcast(group_totals(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = totals.value
         for batch in batches:
-            n, d1, d2, vectors, prefixes = [], [], [], [], []
-            for s in _sets(batch, k):
-                n.append(len(s))
-                digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16)
-                a, b = np.frombuffer(digest, np.int64).tolist()
-                d1.append(a)
-                d2.append(b)
+            vectors, prefixes, sets = [], [], list(_sets(batch, k))
+            for s in sets:
                 vectors.append(np.minimum(np.bincount((s & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS), FULL).astype(np.uint8).tobytes())
                 size = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 rarest = np.lexsort((s, full[(s >> np.uint64(64 - FINE_BITS)).astype(np.int64)]))[:size]
                 prefixes.append(s[rarest].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(vectors, pa.binary()), prefix], ["doc_id", "n", "d1", "d2", "vector", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), _digests(sets), pa.array(vectors, pa.binary()), prefix], ["doc_id", "fp", "n", "p", "vector", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, vector binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, fp long, n long, p binary, vector binary, prefix array<long>")
 
 
 def shared_bound(vectors: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,52 +140,78 @@ def run_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, a - 1 - (np.arange(len(a)) - np.repeat(ahead, place))
 
 
-def passing(n: np.ndarray, vectors: np.ndarray, labels: np.ndarray, side: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], percent: int, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of places those with different labels whose bound is large enough; with first_only one partner for each point."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def passing(n: np.ndarray, vectors: np.ndarray, labels: np.ndarray, side: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of places those with different labels whose bound is large enough, and their bounds."""
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
     for a, b in pairs:
         ok = (labels[a] != labels[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         a, b = a[ok], b[ok]
         for i in range(0, len(a), PAIRS):
             x, y = a[i : i + PAIRS], b[i : i + PAIRS]
-            ok = shared_bound(vectors, x, y) >= needed(n[x], n[y], percent)
-            found.append((x[ok], y[ok]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*found))
-    if first_only and len(a):
-        order = np.lexsort((-b, a))  # the nearest in size
-        a, b = a[order], b[order]
-        keep = np.concatenate([[True], a[1:] != a[:-1]])
-        a, b = a[keep], b[keep]
-    return a, b
-
-
-def _join(batches: Iterator[pa.RecordBatch], percent: int, first_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (token, key, side, id, n, vector, label) come sorted by token, key and n; candidate pairs of ids leave.
+            bound = shared_bound(vectors, x, y)
+            ok = bound >= needed(n[x], n[y], percent)
+            found.append((x[ok], y[ok], bound[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def chosen(point: np.ndarray, label: np.ndarray, n: np.ndarray, found: tuple[np.ndarray, ...], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which candidates leave: (a, b, more), a and b places.
+
+    most 0: the partner nearest in size for each point.  Else up to `most`
+    of each pair of labels, best bounds first; more tells that there were
+    others.  None: all of them.  point, label: numbers for points and labels.
+    """
+    a, b, bound = found
+    if not len(a):
+        return a, b, np.zeros(0, bool)
+    low, high = np.minimum(point[a], point[b]), np.maximum(point[a], point[b])
+    _, once = np.unique(low * (len(point) + 1) + high, return_index=True)  # a pair that meets under several shingles here
+    a, b, bound = a[once], b[once], bound[once]
+    if most is None:
+        return a, b, np.zeros(len(a), bool)
+    if most == 0:
+        group, order = point[a], np.lexsort((point[b], np.abs(n[a] - n[b]), point[a]))
+    else:
+        group = np.minimum(label[a], label[b]) * (len(label) + 1) + np.maximum(label[a], label[b])
+        order = np.lexsort((high[once], low[once], -bound / (n[a] + n[b]), group))
+    group = group[order]
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    begin = np.flatnonzero(first)
+    rank = np.arange(len(group)) - begin[np.cumsum(first) - 1]
+    size = np.diff(np.concatenate([begin, [len(group)]]))[np.cumsum(first) - 1]
+    keep = rank < max(1, most)
+    return a[order][keep], b[order][keep], (size > max(1, most))[keep]
+
+
+def _join(batches: Iterator[pa.RecordBatch], percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (token, key, side, p, n, vector, label) come sorted by token, key and n; candidate pairs of points leave.
 
     Under one token and key are the points of one shingle, or of a tile of
     them against another.  Short runs are taken together, long ones by boxes.
     """
 
     def pairs(rows: list[tuple[np.ndarray, ...]], sizes: np.ndarray) -> pa.RecordBatch:
-        side, ids, n, label, vectors = (np.concatenate(x) for x in zip(*rows))
+        side, n, p, label, vectors = (np.concatenate(x) for x in zip(*rows))
         if len(sizes) == 1 and sizes[0] > LEAF:
-            order = np.lexsort((ids, n))
-            side, ids, n, label, vectors = side[order], ids[order], n[order], label[order], vectors[order]
+            order = np.argsort(n, kind="stable")
+            side, n, p, label, vectors = side[order], n[order], p[order], label[order], vectors[order]
             inside = box_pairs(n, vectors, percent)
         else:
             inside = iter([run_pairs(sizes)])
-        a, b = passing(n, vectors, label, side, inside, percent, first_only)
-        both = np.unique(np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])], axis=1), axis=0)
-        return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+        names, point = np.unique(p, return_inverse=True)
+        _, label = np.unique(label, return_inverse=True)
+        a, b, more = chosen(point, label, n, passing(n, vectors, label, side, inside, percent), most)
+        x, y = np.minimum(point[a], point[b]), np.maximum(point[a], point[b])
+        of = lambda i: pa.Array.from_buffers(pa.binary(16), len(i), [None, pa.py_buffer(names[i].tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([of(x), of(y), pa.array(more)], ["a", "b", "more"])
 
     held, current = [], None  # the run that may go on in the next batch
     for batch in batches:
         key = np.stack([batch.column(c).to_numpy() for c in (0, 1)], axis=1)
         if not len(key):
             continue
-        columns = [batch.column(c).to_numpy() for c in (2, 3, 4, 6)]
+        fixed = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "S16")  # noqa: B023, E731
+        columns = [batch.column(2).to_numpy(), batch.column(4).to_numpy(), fixed(3), fixed(6)]
         vectors = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
         cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
         part = lambda lo, hi: (*(c[lo:hi] for c in columns), vectors[lo:hi])  # noqa: B023, E731
@@ -209,35 +240,69 @@ def _join(batches: Iterator[pa.RecordBatch], percent: int, first_only: bool) ->
         yield pairs(held, np.array([sum(len(h[0]) for h in held)]))
 
 
-def _candidates(entries: DataFrame, percent: int, first_only: bool) -> DataFrame:
-    """Pairs (a, b) from entries (token, rank, count, id, n, vector, label).
+def _tile(name: str, tiles: Column) -> Column:
+    """A tile of a shingle's points; other shingles deal the same points differently, so that links cross tiles."""
+    return F.pmod(F.xxhash64(F.lit(name), "token", "p"), tiles)
+
+
+def _met(once: DataFrame, percent: int) -> DataFrame:
+    """Entries (token, p, n, total) of points under the shingles of their prefixes, where a point near in size is entered too.
 
-    A shingle with many points is cut into tiles; tiles meet in pairs, each
-    pair in its own group, so no group is larger than two tiles.  The first
-    round joins within tiles only.
+    Nothing is sorted or numbered by shingle: bands of sizes are counted, and
+    sizes that are similar enough lie in one band or in two that touch.
     """
-    tile = F.floor((F.col("rank") - 1) / TILE)
-    tiles = F.floor((F.col("count") - 1) / TILE)
-    if first_only:
-        met = F.array(F.struct(tile.alias("key"), F.lit(2).alias("side")))
-    else:
-        others = F.transform(F.sequence(F.lit(0).cast("long"), tiles), lambda o: F.struct((F.least(o, tile) * 1_000_003 + F.greatest(o, tile)).alias("key"), F.when(o == tile, 2).when(o > tile, 0).otherwise(1).alias("side")))
-        met = others
-    keyed = entries.select("token", F.explode(met).alias("m"), "id", "n", "vector", "label").select("token", F.col("m.key").cast("long").alias("key"), F.col("m.side").cast("int").alias("side"), "id", "n", "vector", "label")
-    return keyed.repartition("token", "key").sortWithinPartitions("token", "key", "n").mapInArrow(lambda it: _join(it, percent, first_only), "a long, b long").distinct()
+    step = max(math.log(100 / percent) * (1 + 1e-9), 1e-9)
+    entered = once.select("p", "n", F.explode("prefix").alias("token"), F.pmod(F.floor(F.log("n") / step), F.lit(64)).cast("int").alias("band"))
+    bands = entered.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"))
+    bit = "shiftleft(1L, band)"
+    known = bands.groupBy("token").agg(F.sum("c").alias("total"), F.expr(f"bit_or({bit})").alias("held"), F.expr(f"bit_or(if(c > 1, {bit}, 0L))").alias("twice")).where("total > 1")
+    beside = "((shiftrightunsigned(held, pmod(band + 1, 64)) | shiftrightunsigned(held, pmod(band + 63, 64)) | shiftrightunsigned(twice, band)) & 1L) = 1L"
+    return entered.join(known, "token").where(beside).select("token", "p", "n", "total")
+
+
+def _tiled(met: DataFrame) -> DataFrame:
+    """Entries of the first round: a shingle with many points is cut into tiles, which are joined each by itself."""
+    return met.select("token", _tile("own", F.ceil(F.col("total") / TILE)).alias("key"), F.lit(2).alias("side"), "p", "n", F.col("p").alias("label"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The candidate pairs whose whole sets are similar enough."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    texts = docs.join(maybe_broadcast(ids, ids.count(), BROADCAST_ROWS), "doc_id", "left_semi")
+def _opposed(labelled: DataFrame) -> DataFrame:
+    """Entries (token, p, n, total, label) as (token, key, side, p, n, label), so that all with different labels under a shingle meet.
+
+    Shingles whose points all have one label are done.  Where there are many
+    points, only those outside the largest component are tiled against all.
+    """
+    apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    open_ = labelled.join(apart, "token")
+    small = open_.where(F.col("total") <= TILE).select("token", F.lit(0).cast("long").alias("key"), F.lit(2).alias("side"), "p", "n", "label")
+    large = open_.where(F.col("total") > TILE)
+    counts = large.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.ceil((F.sum("c") - F.max("c")) / TILE).alias("others"), F.ceil(F.sum("c") / TILE).alias("all"))
+    large = large.join(main, "token")
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    ours = large.where(F.col("label") != F.col("main")).withColumn("i", _tile("others", F.col("others"))).withColumn("j", F.explode(to(F.col("all")))).withColumn("side", F.lit(0))
+    theirs = large.withColumn("j", _tile("all", F.col("all"))).withColumn("i", F.explode(to(F.col("others")))).withColumn("side", F.lit(1))
+    both = ours.unionByName(theirs).select("token", (F.col("i") * F.col("all") + F.col("j")).alias("key"), "side", "p", "n", "label")
+    return small.unionByName(both)
+
+
+def _candidates(entries: DataFrame, vectors: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (a, b, more) from entries (token, key, side, p, n, label)."""
+    full = entries.join(vectors, "p").select("token", "key", "side", "p", F.col("n").cast("long").alias("n"), "vector", "label")
+    met = full.repartition("token", "key").sortWithinPartitions("token", "key", "n").mapInArrow(lambda it: _join(it, percent, most), "a binary, b binary, more boolean")
+    return met.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of points whose whole sets are similar enough; holders: p, and doc_id and fp of a row with that set."""
+    ids = pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct()
+    rows = written(ids.join(holders, "p").select(F.col("p").alias("_p"), F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), "holders")
+    texts = docs.join(maybe_broadcast(rows, rows.count(), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))).select("doc_id", "text", "_p")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())], ["p", "set"])
 
-    held = texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"])
+    held = written(texts.mapInArrow(sets, "p binary, set binary").dropDuplicates(["p"]), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,50 +313,99 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    held = written(held, "sets")
-    one = held.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    two = held.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    one = held.select(F.col("p").alias("a"), F.col("set").alias("x"))
+    two = held.select(F.col("p").alias("b"), F.col("set").alias("y"))
+    return written(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "links")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("fp"))
+
+
+def _prepared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Points of all rows; of each class of equal sets its holder, its vector, and its entries."""
+    every = written(points(docs, k, percent), "points")
+    # Rows with equal sets collapse before the shuffle, so a set that fills the corpus moves once per partition.
+    filled = every.where("n > 0")
+    classes = written(filled.groupBy("p").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "fp")).alias("row")).select("p", "least", "row.doc_id", "row.fp"), "classes")
+    once = written(filled.groupBy("p").agg(F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("prefix").alias("prefix")), "once")
+    return every, classes, once.select("p", "vector"), written(_met(once, percent), "met")
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points of all rows, classes of equal sets, and the component (id, component) of every class with a link."""
+    every, classes, vectors, met = _prepared(docs, k, percent)
+    done = written(_candidates(_tiled(met), vectors, percent, 0).select("a", "b"), "pairs")
+    links, most, open_ = _verified(done, docs, classes, k, percent), FEW, None
+    labels = written(components(links), "labels")
+    while True:
+        labelled = met.join(labels.withColumnRenamed("id", "p"), "p", "left").select("token", "p", "n", "total", F.coalesce("component", "p").alias("label"))
+        if open_ is not None:
+            labelled = labelled.join(open_, "label", "left_semi")
+        found = _candidates(_opposed(labelled), vectors, percent, most)
+        found = written(found.join(done.withColumn("old", F.lit(True)), ["a", "b"], "left"), "pairs")
+        new = found.where("old is null").select("a", "b")
+        linked = _verified(new, docs, classes, k, percent)
+        if not linked.isEmpty():
+            links = written(links.union(linked), "links")
+            labels = written(components(links), "labels")
+        # Components between which candidates were left over, as far as they are still apart.
+        of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
+        left = found.where("more").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x <> y")
+        open_ = written(left.select(F.col("x").alias("label")).union(left.select("y")).distinct(), "open")
+        if open_.isEmpty():
+            return every, classes, labels
+        done, most = written(done.union(new), "pairs"), most * MORE
+
+
+def similar_pairs(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) of similar classes of equal sets, and the members (doc_id, fp, p, n) of every class.
+
+    Null and wordless texts have n 0 and no links.  The links of g texts that
+    are all alike are g * (g - 1) / 2 rows; similar_groups does without them.
+    """
+    docs = _rows(docs)
+    every, classes, vectors, met = _prepared(docs, k, percent)
+    pairs = written(_candidates(_opposed(met.withColumn("label", F.col("p"))), vectors, percent, None), "pairs")
+    return _verified(pairs, docs, classes, k, percent), every.select("doc_id", "fp", "p", "n")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, fp, n, p, c (the component's point, null without words), component_id of every row."""
+    every, classes, labels = _components(_rows(docs), k, percent)
+    known = classes.join(labels.withColumnRenamed("id", "p"), "p", "left").select("p", "least", F.coalesce("component", "p").alias("c"))
+    known = written(known, "components")
+    least = known.groupBy("c").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "c").select(F.col("p").alias("_p"), "c", "component_id")
+    return every.select("doc_id", "fp", "n", "p").join(known, (F.col("p") == F.col("_p")) & (F.col("n") > 0), "left").drop("_p")
 
 
 def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, links of every row.
+    """doc_id, n_shingles, component_id of every row.
 
     Words are runs of non-space bytes, A-Z lowered; a set has the distinct
     k-word shingles, or the whole sequence if there are fewer words.  Sets
     link when 100 * overlap >= percent * union; component_id is the least
-    doc_id that links lead to.  Null and wordless texts have empty sets and link with
-    nothing.  Rows with equal sets are linked with each other.  links counts
-    the verified links of the row's set to other sets that were needed to
-    connect the component.  Rows that repeat a doc_id are one document each.
+    doc_id that links lead to (rows without one link as others do, but give no
+    id).  Null and wordless texts have empty sets and link with nothing.  Rows
+    with equal sets are linked with each other.  Rows that repeat a doc_id are
+    one document each, with a set of its own.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = written(points(docs, k, percent), "points")
-    classes = every.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    once = every.where("n > 0").join(classes, (every.doc_id == classes.id) & (every.d1 == classes.d1) & (every.d2 == classes.d2)).select("id", "n", "vector", "prefix")
-    # Points under a shingle, by size: who has no neighbour near in size has no partner there.
-    by_size = Window.partitionBy("token").orderBy("n", "id")
-    entered = once.select(F.explode("prefix").alias("token"), "id", "n")
-    near = entered.withColumn("lower", F.lag("n").over(by_size)).withColumn("upper", F.lead("n").over(by_size))
-    fits = lambda a, b: 100 * a >= percent * b
-    met = written(near.where(F.coalesce(fits(F.col("lower"), F.col("n")), F.lit(False)) | F.coalesce(fits(F.col("n"), F.col("upper")), F.lit(False))).select("token", "id", "n"), "met")
-    size = Window.partitionBy("token")
-    ranked = met.withColumn("rank", F.row_number().over(by_size)).withColumn("count", F.count(F.lit(1)).over(size))
-    entries = written(ranked.join(once.select("id", "vector").dropDuplicates(["id"]), "id"), "entries")
-    first = _verified(_candidates(entries.withColumn("label", F.col("id")), percent, True), docs, k, percent)
-    labels = components(first)
-    labelled = entries.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    second = _verified(_candidates(labelled, percent, False), docs, k, percent)
-    links = first.union(second)
-    final = components(links).withColumnRenamed("component", "_component")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    known = classes.join(final, "id", "left").join(degree, "id", "left")
-    known = known.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("_component", "id").alias("_c"), F.coalesce("links", F.lit(0)).alias("_links"))
-    out = every.select("doc_id", "n", "d1", "d2").join(known, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("links"))
+    out = _grouped(docs, k, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """docs with one row of each group, that of the least doc_id; all columns stay.  Rows without a doc_id stay."""
-    gone = similar_groups(docs.where(F.col("doc_id").isNotNull()), k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each group, that of the least doc_id; all columns stay.
+
+    Rows without a doc_id come last in their group.  Of rows of the group that
+    share the least doc_id the one with the least hash of its text stays, and
+    of rows equal in both any one.  Rows without words all stay.
+    """
+    rows = written(_grouped(docs, k, percent).where("n > 0").select("doc_id", "fp", "c"), "grouped")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")
+    best = rows.groupBy("c").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("c", "_c")
+    of = rows.join(best, F.col("c") == F.col("_c"))
+    gone = of.where(place != F.col("best"))
+    repeated = rows.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return without(docs, gone, repeated)
