@@ -22,10 +22,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,9 +89,56 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+@dataclass
+class Examples:
+    """Distinct bags of the examples, each with the weights of its clean and toxic examples and the least doc_id among them.
+
+    This is what executors are sent; each worker builds its index from it once.
+    """
+
+    hashes: np.ndarray
+    weight_of: np.ndarray  # of each term, at a count of one
+    votes: np.ndarray
+    ids: np.ndarray
+    begins: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    zero: np.ndarray  # (clean, toxic) weights of examples without terms
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, weight_of: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], class_weight: tuple[float, float]) -> Examples:
+        """examples: (doc_id, toxic, terms, counts)."""
+        groups: dict[tuple, list] = {}
+        zero = np.zeros(2)
+        for doc_id, toxic, terms, counts in sorted(examples, key=lambda e: e[:2]):
+            if not len(terms):
+                zero[toxic] += class_weight[toxic]
+                continue
+            key = (terms.tobytes(), counts.tobytes())
+            if key not in groups:
+                heavy = terms[np.argsort(-(1 + np.log(counts)) * weight_of[terms], kind="stable")[:3]]
+                groups[key] = [(*heavy.tolist(), doc_id), np.zeros(2), terms.astype(np.int32), counts]
+            groups[key][1][toxic] += class_weight[toxic]
+        # Bags with the same heaviest terms become neighbours, which makes the blocks' maxima tight.
+        held = sorted(groups.values(), key=lambda g: g[0])
+        join = lambda i, kind: np.concatenate([np.zeros(0, kind), *(g[i] for g in held)])
+        begins = np.concatenate([[0], np.cumsum([len(g[2]) for g in held])]).astype(np.int64)
+        counts = join(3, np.int64)
+        counts = counts.astype(np.min_scalar_type(counts.max() if len(counts) else 0))
+        return cls(hashes, weight_of, np.array([g[1] for g in held]).reshape(-1, 2), np.array([g[0][-1] for g in held], np.int64), begins, join(2, np.int32), counts, zero)
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        return BlockMaxIndex.build(self)
+
+    @cached_property
+    def lookup(self) -> Terms:
+        return Terms(self.hashes)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Distinct vectors of examples, each with the weights of its clean and toxic examples and the least doc_id among them.
+    """The vectors of examples, and what their votes weigh.
 
     Vectors are held by example (terms, values from begins) and by term
     (places, weights from starts); common terms as rows of a matrix.  tops
@@ -114,25 +163,15 @@ class BlockMaxIndex:
     zero: np.ndarray  # (clean, toxic) weights of examples without terms
 
     @classmethod
-    def build(cls, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weight_of: np.ndarray, class_weight: tuple[float, float]) -> BlockMaxIndex:
-        """examples: (doc_id, toxic, terms, counts); weight_of: the weight of each term at a count of one."""
-        groups: dict[tuple, list] = {}
-        zero = np.zeros(2)
-        for doc_id, toxic, terms, counts in sorted(examples, key=lambda e: e[:2]):
-            if not len(terms):
-                zero[toxic] += class_weight[toxic]
-                continue
-            g = groups.setdefault((terms.tobytes(), counts.tobytes()), [doc_id, np.zeros(2), *cls.unit(terms, counts, weight_of)])
-            g[1][toxic] += class_weight[toxic]
-        # Vectors with the same heaviest terms become neighbours, which makes the blocks' maxima tight.
-        held = sorted(groups.values(), key=lambda g: (*g[2][np.argsort(-g[3], kind="stable")[:3]].tolist(), g[0]))
-        n, n_terms = len(held), len(weight_of)
-        sizes = np.array([len(g[2]) for g in held], np.int64)
-        terms = np.concatenate([np.zeros(0, np.int64), *(g[2] for g in held)]).astype(np.int32)
-        values = np.concatenate([np.zeros(0), *(g[3] for g in held)])
+    def build(cls, x: Examples) -> BlockMaxIndex:
+        n, n_terms = len(x.ids), len(x.weight_of)
+        sizes = np.diff(x.begins)
         example = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        order = np.argsort(terms, kind="stable")
-        by_term, places, weights = terms[order], example[order], values[order].astype(np.float32)
+        raw = (1 + np.log(x.counts)) * x.weight_of[x.terms]
+        norm = np.sqrt(np.bincount(example, raw * raw, n))
+        values = raw / norm[example]
+        order = np.argsort(x.terms, kind="stable")
+        by_term, places, weights = x.terms[order], example[order], values[order].astype(np.float32)
         starts = np.searchsorted(by_term, np.arange(n_terms + 1))
         block = places // BLOCK
         cut = np.flatnonzero(np.concatenate([[True], (by_term[1:] != by_term[:-1]) | (block[1:] != block[:-1])])) if len(places) else np.zeros(0, np.int64)
@@ -146,8 +185,7 @@ class BlockMaxIndex:
         rows = np.zeros((len(common), n), np.float32)
         own = row_of[by_term] >= 0
         rows[row_of[by_term[own]], places[own]] = weights[own]
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        return cls(weight_of, np.array([g[1] for g in held]).reshape(-1, 2), np.array([g[0] for g in held], np.int64), begins, terms, values, starts, places, weights, top_starts, block[cut], tops, largest, row_of, rows, zero)
+        return cls(x.weight_of, x.votes, x.ids, x.begins, x.terms, values, starts, places, weights, top_starts, block[cut], tops, largest, row_of, rows, x.zero)
 
     @staticmethod
     def unit(terms: np.ndarray, counts: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,15 +281,21 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    terms: Terms
-    index: BlockMaxIndex
+    """What was learnt; shared is the same on the executors."""
+
+    examples: Examples
     slope: float
     shift: float
+    shared: Broadcast | None = None
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        found = self.index.vote(self.terms.bags(texts))
-        p = _sigmoid(self.slope * _logit(np.array([p for p, _ in found])) + self.shift)
-        return list(zip(p.tolist(), (near for _, near in found)))
+        return _scores(self.examples, self.slope, self.shift, texts)
+
+
+def _scores(examples: Examples, slope: float, shift: float, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+    found = examples.index.vote(examples.lookup.bags(texts))
+    p = _sigmoid(slope * _logit(np.array([p for p, _ in found])) + shift)
+    return list(zip(p.tolist(), (near for _, near in found)))
 
 
 def _logit(p):
@@ -360,17 +404,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         order = np.argsort(place[own])
         keep = order[weight[place[own][order]] > 0]
         examples.append((int(ids[i]), int(toxic[i]), place[own][keep], counts[own][keep].astype(np.int64)))
-    index = BlockMaxIndex.build(examples, weight, class_weight)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, index))  # bounded by per_class
+    learnt = Examples.of(terms.hashes, weight, examples, class_weight)
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)  # bounded by per_class
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, index = shared.value
+        terms, index = shared.value.hashes, shared.value.index
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 own = []
                 for h, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    t = np.searchsorted(terms.hashes, np.array(h, np.int64).view(np.uint64))
+                    t = np.searchsorted(terms, np.array(h, np.int64).view(np.uint64))
                     order = np.argsort(t)
                     order = order[index.weight_of[t[order]] > 0]
                     own.append((t[order], np.array(c, np.int64)[order]))
@@ -384,12 +428,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     order = np.lexsort((vote, y))
     y, vote = y[order], vote[order]
     slope, shift = _calibration(_logit(vote), y, np.where(y == 1, class_weight[1], class_weight[0]))
-    return Model(terms, index, slope, shift)
+    return Model(learnt, slope, shift, shared)
 
 
-def _scored(texts: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple[float, list[int]]]]]:
+def _scored(texts: pa.Array, shared: Broadcast, slope: float, shift: float) -> Iterator[tuple[int, list[tuple[float, list[int]]]]]:
     for at in range(0, len(texts), BATCH):
-        yield at, model.score(texts.slice(at, BATCH).to_pylist())
+        yield at, _scores(shared.value, slope, shift, texts.slice(at, BATCH).to_pylist())
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -401,11 +445,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("neighbours"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
+    shared, slope, shift = model.shared, model.slope, model.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, found in _scored(batch.column(1), shared.value):
+            for at, found in _scored(batch.column(1), shared, slope, shift):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, BATCH), pa.array([s for s, _ in found], pa.float64()), pa.array([near for _, near in found], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, neighbours array<long>")
@@ -426,11 +470,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     model = fit(docs, labels)
     if model is None:
         return docs
-    shared, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared, slope, shift, at_text = model.shared, model.slope, model.shift, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [s < threshold for _, found in _scored(batch.column(at_text), shared.value) for s, _ in found]
+            keep = [s < threshold for _, found in _scored(batch.column(at_text), shared, slope, shift) for s, _ in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
