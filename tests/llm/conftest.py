@@ -12,8 +12,8 @@ def frame(spark):
     """A documents table from (doc_id, text) pairs, with columns whose names clash with the operators' own."""
 
     def make(rows, **columns):
-        schema = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, size long, label string, key string, blob string"
-        return spark.createDataFrame([(i, t, columns.get("lang", {}).get(i), "s", len(t or ""), 1, 2, 3, "x", "k", "b") for i, t in rows], schema)
+        schema = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, size long, label string, key string, blob string, _id long, _gone long, _bad long, _sha string, fp long, p string"
+        return spark.createDataFrame([(i, t, columns.get("lang", {}).get(i), "s", len(t or ""), 1, 2, 3, "x", "k", "b", 4, 5, 6, "y", 7, "z") for i, t in rows], schema)
 
     return make
 

@@ -84,4 +84,6 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None)
     n = repeated.count()
     if not n:
         return kept
-    return _keyed(kept, repeated, n, "left_anti").unionByName(_keyed(kept, repeated, n, "left_semi").dropDuplicates(["doc_id", "text"]))
+    own = f"t{uuid.uuid4().hex}"
+    one = _keyed(kept, repeated, n, "left_semi").withColumn(own, text_key()).dropDuplicates(["doc_id", own]).drop(own)
+    return _keyed(kept, repeated, n, "left_anti").unionByName(one)

@@ -1,11 +1,12 @@
 """Exact deduplication by counting quotient filters.
 
-Each input partition builds one counting quotient filter over the 64-bit
-fingerprints of its texts: the high bits of a fingerprint (the quotient) name
-a run, the low bits (the remainder) are kept sorted in it, with a count.
-Because nothing is lost in that form, the filters merge exactly by merging
-sorted remainders run by run.  Fingerprints whose merged count is above one
-are routed to byte verification; all others are known to be unique.
+Each input partition builds one counting quotient filter for every bucket of
+the 64-bit fingerprints of its texts.  Under a bucket's leading bits the next
+bits of a fingerprint (the quotient) name a run and the rest (the remainder)
+is kept sorted in it, with a count.  As no bit is lost, the filters merge
+exactly by merging sorted remainders run by run.  Fingerprints whose merged
+count is above one are routed to byte verification; all others are known to
+be unique.
 """
 
 from __future__ import annotations
@@ -19,100 +20,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import maybe_broadcast, written
+from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, text_key, without, written
 
-#: Fingerprints that a merged bucket holds at most on average (12 bytes each).
+#: Fingerprints of a merged bucket on average (some 7 bytes each in a filter).
 PER_BUCKET = 2_000_000
-#: Up to so many repeated fingerprints (8 bytes each) or verified groups are broadcast.
-BROADCAST_ROWS = 200_000
+#: Numbers that are packed at a time; a multiple of eight, so that pieces end on whole bytes.
+PIECE = 1 << 16
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bits of numbers, end to end."""
+    shifts = np.arange(width, dtype=np.uint64)
+    return b"".join(np.packbits(((values[i : i + PIECE, None] >> shifts) & np.uint64(1)).astype(np.uint8)).tobytes() for i in range(0, len(values), PIECE))
+
+
+def unpack(raw: bytes, n: int, width: int) -> np.ndarray:
+    out, shifts = np.zeros(n, np.uint64), np.arange(width, dtype=np.uint64)
+    for i in range(0, n if width else 0, PIECE):
+        m = min(PIECE, n - i)
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8, -(-m * width // 8), i * width // 8), count=m * width)
+        out[i : i + m] = (bits.reshape(m, width).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
+    return out
 
 
 @dataclass
 class CountingQuotientFilter:
-    """Sorted remainders with counts, in runs by quotient.
+    """Distinct keys of `bits` bits with counts, packed.
 
-    ``starts[q - first]`` is where the run of quotient q begins; a quotient
-    without fingerprints has an empty run.
+    The quotient is the leading bits of a key, about as many as make one run
+    for each key.  occupied has a bit for each quotient that has a run; the
+    slots of all runs follow each other, sorted by remainder, and ends has a
+    bit for each slot that ends a run.  many has a bit for each slot whose
+    count is above one; the counts of those, less two, are packed at the width of the largest.
     """
 
-    remainder_bits: int
-    first: int
-    starts: np.ndarray
-    remainders: np.ndarray
-    counts: np.ndarray
+    bits: int
+    quotient_bits: int
+    slots: int
+    occupied: bytes
+    ends: bytes
+    remainders: bytes
+    many: bytes
+    counts_width: int
+    counts: bytes
 
     @classmethod
-    def from_sorted(cls, keys: np.ndarray, counts: np.ndarray, remainder_bits: int) -> CountingQuotientFilter:
-        quotients = (keys >> np.uint64(remainder_bits)).astype(np.int64)
-        first, last = (int(quotients[0]), int(quotients[-1])) if len(keys) else (0, -1)
-        starts = np.searchsorted(quotients, np.arange(first, last + 2))
-        mask = np.uint64((1 << remainder_bits) - 1)
-        return cls(remainder_bits, first, starts, keys & mask, counts)
+    def from_sorted(cls, keys: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
+        """keys: distinct, in order."""
+        n = len(keys)
+        quotient_bits = min(bits - 1, 20, max(1, n.bit_length()))
+        low = bits - quotient_bits
+        quotients = (keys >> np.uint64(low)).astype(np.int64)
+        occupied = np.zeros(1 << quotient_bits, bool)
+        occupied[quotients] = True
+        ends = np.concatenate([quotients[1:] != quotients[:-1], np.ones(min(n, 1), bool)])
+        many = counts > 1
+        more = (counts[many] - 2).astype(np.uint64)
+        width = int(more.max()).bit_length() if len(more) else 0
+        bit = lambda x: np.packbits(x).tobytes()
+        return cls(bits, quotient_bits, n, bit(occupied), bit(ends), pack(keys, low), bit(many), width, pack(more, width))
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, remainder_bits: int) -> CountingQuotientFilter:
-        keys, counts = np.unique(fingerprints, return_counts=True)
-        return cls.from_sorted(keys, counts.astype(np.int64), remainder_bits)
+    def build(cls, keys: np.ndarray, bits: int) -> CountingQuotientFilter:
+        found, counts = np.unique(keys, return_counts=True)
+        return cls.from_sorted(found, counts.astype(np.int64), bits)
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys in order, and their counts."""
+        n, flags = self.slots, lambda raw, n: np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+        run = np.cumsum(flags(self.ends, n)) - flags(self.ends, n)  # the slot's run; runs belong to occupied quotients in order
+        quotients = np.flatnonzero(flags(self.occupied, 1 << self.quotient_bits)).astype(np.uint64)[run]
+        low = self.bits - self.quotient_bits
+        counts, many = np.ones(n, np.int64), flags(self.many, n)
+        counts[many] = unpack(self.counts, int(many.sum()), self.counts_width).astype(np.int64) + 2
+        return (quotients << np.uint64(low)) | unpack(self.remainders, n, low), counts
+
+    def count(self, key: int) -> int:
+        keys, counts = self.items()
+        at = int(np.searchsorted(keys, np.uint64(key)))
+        return int(counts[at]) if at < len(keys) and int(keys[at]) == key else 0
 
-    def fingerprints(self) -> np.ndarray:
-        quotients = np.repeat(np.arange(len(self.starts) - 1, dtype=np.uint64) + np.uint64(self.first), np.diff(self.starts))
-        return (quotients << np.uint64(self.remainder_bits)) | self.remainders
+    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """The filter of both inputs together."""
+        return self.from_sorted(*merged([self.items(), other.items()]), self.bits)
 
-    def run(self, quotient: int) -> tuple[np.ndarray, np.ndarray]:
-        at = quotient - self.first
-        if not 0 <= at < len(self.starts) - 1:
-            return self.remainders[:0], self.counts[:0]
-        return self.remainders[self.starts[at] : self.starts[at + 1]], self.counts[self.starts[at] : self.starts[at + 1]]
+    def row(self) -> tuple:
+        return self.quotient_bits, self.slots, self.occupied, self.ends, self.remainders, self.many, self.counts_width, self.counts
 
-    def count(self, fingerprint: int) -> int:
-        remainders, counts = self.run(fingerprint >> self.remainder_bits)
-        at = int(np.searchsorted(remainders, np.uint64(fingerprint & ((1 << self.remainder_bits) - 1))))
-        return int(counts[at]) if at < len(remainders) and int(remainders[at]) == fingerprint & ((1 << self.remainder_bits) - 1) else 0
 
-    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """The filter of both inputs together: sorted runs are merged, equal remainders add their counts."""
-        mine, theirs = self.fingerprints(), other.fingerprints()
-        at = np.searchsorted(mine, theirs)
-        hit = np.zeros(len(theirs), bool)
-        inside = at < len(mine)
-        hit[inside] = mine[at[inside]] == theirs[inside]
-        counts = self.counts.copy()
-        counts[at[hit]] += other.counts[hit]
-        new = ~hit
-        return self.from_sorted(np.insert(mine, at[new], theirs[new]), np.insert(counts, at[new], other.counts[new]), self.remainder_bits)
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (keys, counts) of several filters as one: in pairs, so that each key is moved log(parts) times; counts of equal ones add up."""
+    while len(parts) > 1:
+        pairs = []
+        for (mine, n), (theirs, m) in zip(parts[::2], parts[1::2]):
+            at = np.searchsorted(mine, theirs)
+            hit = at < len(mine)
+            hit[hit] = mine[at[hit]] == theirs[hit]
+            n = n.copy()
+            n[at[hit]] += m[hit]
+            pairs.append((np.insert(mine, at[~hit], theirs[~hit]), np.insert(n, at[~hit], m[~hit])))
+        parts = pairs + parts[len(parts) // 2 * 2 :]
+    return parts[0]
+
+
+_FILTER = pa.schema([("bucket", pa.int32()), ("quotient_bits", pa.int32()), ("slots", pa.int32()), ("occupied", pa.binary()), ("ends", pa.binary()), ("remainders", pa.binary()), ("many", pa.binary()), ("counts_width", pa.int32()), ("counts", pa.binary())])
+_FILTER_SQL = "bucket int, quotient_bits int, slots int, occupied binary, ends binary, remainders binary, many binary, counts_width int, counts binary"
 
 
 def _build(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    """One filter for the partition, cut into rows by the leading bits of the quotient."""
+    """The partition's filters, one for each bucket that it has keys of."""
     seen = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
     if not seen or not (keys := np.concatenate(seen)).size:
         return
-    cqf = CountingQuotientFilter.build(keys, 64 - bucket_bits)
-    used = np.flatnonzero(np.diff(cqf.starts))
-    runs = [(cqf.first + int(i), slice(cqf.starts[i], cqf.starts[i + 1])) for i in used]
-    yield pa.RecordBatch.from_pydict({"quotient": pa.array([q for q, _ in runs], pa.int32()), "remainders": pa.array([cqf.remainders[s].tobytes() for _, s in runs], pa.binary()), "counts": pa.array([cqf.counts[s].tobytes() for _, s in runs], pa.binary())})
+    keys, counts = np.unique(keys, return_counts=True)
+    low = 64 - bucket_bits
+    buckets = (keys >> np.uint64(low)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        held = CountingQuotientFilter.from_sorted(keys[a:b] & np.uint64((1 << low) - 1), counts[a:b].astype(np.int64), low)
+        yield pa.RecordBatch.from_pylist([dict(zip(_FILTER.names, (int(buckets[a]), *held.row())))], _FILTER)
 
 
 def _merge(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by quotient; all runs of one quotient merge, and repeated fingerprints leave."""
-
-    def repeated(quotient: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        base = np.uint64(quotient) << np.uint64(64 - bucket_bits)
-        filters = [CountingQuotientFilter.from_sorted(r | base, c, 64 - bucket_bits) for r, c in parts]
-        while len(filters) > 1:  # in pairs, so that each remainder is moved log(parts) times
-            filters = [a.merge(b) for a, b in zip(filters[::2], filters[1::2])] + filters[len(filters) // 2 * 2 :]
-        keys, counts = filters[0].fingerprints(), filters[0].counts
+    """Filters come sorted by bucket; those of one bucket merge, and repeated fingerprints leave."""
+    low = 64 - bucket_bits
+
+    def repeated(bucket: int, parts: list[CountingQuotientFilter]) -> pa.RecordBatch:
+        keys, counts = merged([p.items() for p in parts])
         many = counts > 1
-        return pa.RecordBatch.from_pydict({"fp": pa.array(keys[many].view(np.int64)), "n": pa.array(counts[many])})
+        return pa.RecordBatch.from_pydict({"fp": pa.array((keys[many] | np.uint64(bucket << low)).view(np.int64)), "n": pa.array(counts[many])})
 
     current, parts = -1, []
     for batch in batches:
-        for q, r, c in zip(*(col.to_pylist() for col in batch.columns)):
-            if q != current and parts:
+        for bucket, *fields in zip(*(col.to_pylist() for col in batch.columns)):
+            if bucket != current and parts:
                 yield repeated(current, parts)
                 parts = []
-            current = q
-            parts.append((np.frombuffer(r, np.uint64), np.frombuffer(c, np.int64)))
+            current = bucket
+            parts.append(CountingQuotientFilter(low, *fields))
     if parts:
         yield repeated(current, parts)
 
@@ -124,41 +169,45 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     :param rows: their number; sets the number of buckets.
     """
     bits = max(6, math.ceil(math.log2(max(1, rows / PER_BUCKET))))
-    filters = fingerprints.mapInArrow(lambda it: _build(it, bits), "quotient int, remainders binary, counts binary")
-    return filters.repartition("quotient").sortWithinPartitions("quotient").mapInArrow(lambda it: _merge(it, bits), "fp long, n long")
+    filters = fingerprints.mapInArrow(lambda it: _build(it, bits), _FILTER_SQL)
+    return filters.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _merge(it, bits), "fp long, n long")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp, text_sha256, keep_id, group_size, kept of every row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text_col).alias("fp"))
+    repeated = written(repeated_fingerprints(base.select("fp"), docs.count()).select("fp"), "repeated-fingerprints")
+    n = repeated.count()
+    routed = base.join(maybe_broadcast(repeated, n, BROADCAST_ROWS), "fp", "left_semi")
+    # Byte verification: the whole text is the grouping key.  Equal texts of a partition
+    # collapse before the shuffle, so a text that fills the corpus moves once per partition.
+    verified = routed.groupBy("fp", "text").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("times"))
+    groups = verified.where("times > 1").select("fp", F.sha2("text", 256).alias("sha"), "keep", "times")
+    joined = base.select("doc_id", "fp", F.sha2("text", 256).alias("sha")).join(maybe_broadcast(groups, n, BROADCAST_ROWS), ["fp", "sha"], "left")
+    keep = F.when(F.col("times").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
+    return joined.select("doc_id", "fp", F.col("sha").alias("text_sha256"), keep.alias("keep_id"), F.coalesce("times", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group rows of equal text; of each group the row with the largest id stays.
 
-    Null text counts as the empty text, and all empty texts are one group.
-    Rows that repeat an id and a text belong to one group and count each; they
-    stay or go together.  Empty input gives no rows.  Other columns of docs
-    are not read, whatever their names.
+    Null text counts as the empty text, and all empty texts are one group.  A
+    null id is less than any other; where a group has no other id, keep_id is
+    null.  Rows that repeat the largest id of their group are all marked kept
+    (drop_exact_copies leaves one).  Empty input gives no rows.  Other columns
+    of docs are not read, whatever their names.
 
     Returns one row per input row: <id_col>, keep_id, group_size, kept, text_sha256.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    base = base.withColumn("_fp", F.xxhash64("_text"))
-    repeated = written(repeated_fingerprints(base.select("_fp"), docs.count()).select(F.col("fp").alias("_fp")), "repeated-fingerprints")
-    n = repeated.count()
-    routed = base.join(maybe_broadcast(repeated, n, BROADCAST_ROWS), "_fp", "left_semi")
-    # Byte verification: the whole text is the grouping key.  Equal texts of a partition
-    # collapse before the shuffle, so a text that fills the corpus moves once per partition.
-    verified = routed.groupBy("_fp", "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    groups = verified.select("_fp", F.sha2("_text", 256).alias("_sha"), "_keep", "_n").where("_n > 1")
-    hashed = base.select("_id", "_fp", F.sha2("_text", 256).alias("_sha"))
-    joined = hashed.join(maybe_broadcast(groups, n, BROADCAST_ROWS), ["_fp", "_sha"], "left")
-    keep = F.coalesce("_keep", "_id")
-    return joined.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"), (keep == F.col("_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
+    return _groups(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each text, that of the largest doc_id; all columns stay.
+    """docs with exactly one row of each text, that of the largest doc_id (null is least); all columns stay.
 
-    A row whose doc_id and text both repeat is kept once.  Rows without a
-    doc_id are all kept: they cannot be told apart.
+    Of rows that repeat both doc_id and text any one stays.
     """
-    gone = exact_groups(docs.where(F.col("doc_id").isNotNull())).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.sha2(text, 256) == F.col("_sha")), "left_anti")
+    groups = written(_groups(docs, "doc_id", "text").where("group_size > 1").select("doc_id", "fp", "kept"), "groups")
+    repeated = groups.where("kept").groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return without(docs, groups.where("not kept"), repeated)

@@ -14,33 +14,30 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import held_out
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Bounds of the fitted model; statistics of the sample are whole.
-DOCS_PER_LANG, WORDS_PER_LANG, GRAMS_PER_LANG, LONGEST_GRAM, LEAST_COUNT = 3000, 30_000, 30_000, 4, 3
+#: Bound of the sample that is learnt from; its statistics are whole.  Letters of the longest n-gram.
+DOCS_PER_LANG, LONGEST_GRAM = 3000, 4
 #: Scored words that a worker remembers.
 CACHE = 300_000
-#: Words that count as independent evidence for the score; more make it no surer.
-EVIDENCE = 40
 
 
 class Model:
     """Log frequencies per language of words and of n-grams, as rows of one matrix."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, str, int]], prior: dict[str, int]):
-        """rows: (token, lang, count); a token is a word, or n NUL signs before an n-gram."""
+    def __init__(self, langs: list[str], tokens: list[str], of: list[str], times: list[int], prior: dict[str, int]):
+        """tokens, the languages they were seen in, and how often; a token is a word, or n NUL signs before an n-gram."""
         self.langs = langs
         at = {g: i for i, g in enumerate(langs)}
         self.index: dict[str, int] = {}
-        for token, _, _ in rows:
+        for token in tokens:
             self.index.setdefault(token, len(self.index))
         counts = np.zeros((len(self.index), len(langs)))
-        for token, lang, n in rows:
-            counts[self.index[token], at[lang]] += n
+        np.add.at(counts, (np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens)), np.fromiter(map(at.__getitem__, of), np.int64, len(of))), times)
         kind = np.array([len(t) - len(t.lstrip("\0")) for t in self.index])
         for k in set(kind.tolist()):
             own = kind == k
@@ -95,8 +92,7 @@ class Scorer:
         if not self.model.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         n = np.array([len(ws) for ws in lists])
-        mean = self.sums(lists) / np.maximum(n, 1)[:, None]
-        logit = mean * np.minimum(n, EVIDENCE)[:, None] + self.model.prior
+        logit = self.sums(lists) + self.model.prior
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -130,12 +126,8 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     gram = F.explode(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length("m") - k + 1), lambda i: F.concat(F.repeat(F.lit("\0"), k), F.substring(F.col("m"), i, k))))))
     grams = marked.select("lang", "n", gram.alias("token")).groupBy("lang", "token").agg(F.sum("n").alias("n"))
 
-    def most(df: DataFrame, k: int) -> list:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))
-        return df.where(F.col("n") >= LEAST_COUNT).withColumn("r", rank).where(F.col("r") <= k).select("token", "lang", "n").collect()
-
-    rows = [tuple(r) for r in chain(most(words, WORDS_PER_LANG), most(grams, GRAMS_PER_LANG))]
-    return Model(sorted(prior), rows, prior)
+    rows = words.union(grams.select("lang", "token", "n")).toArrow()  # bounded by the sample
+    return Model(sorted(prior), rows["token"].to_pylist(), rows["lang"].to_pylist(), rows["n"].to_numpy(), prior)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -143,7 +135,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
     was learnt.  Among equal scores the language first in alphabetical order wins.
-    The score is the winner's share of the likelihood.
+    The score is the winner's posterior probability.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
 

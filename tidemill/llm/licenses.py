@@ -1,11 +1,16 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line of a text.  Its features are the words that license
-notices are told by (anchors) and the word pairs and triples around them.  A
-multinomial logistic regression over these sparse n-grams names the licence
-family or ``unknown``; its probabilities are calibrated by a temperature
-fitted on notices kept out of training.  A named family is confirmed if the
-paragraph holds enough of the n-grams of one of that family's templates.
+A paragraph is what stands between blank lines, however its lines are
+wrapped or marked as comments.  Inside it, words that license notices are
+told by (anchors) and that follow each other within a few words make a
+stretch, so that a notice in running prose is looked at by itself.  The
+features of a stretch are its anchors and the word pairs and triples around
+them.  A multinomial logistic regression over these sparse n-grams names the
+licence family or ``unknown``; its probabilities are calibrated by a
+temperature fitted on notices kept out of training.  A named family is
+confirmed if the stretch holds enough of the n-grams of one of that family's
+templates.  Paragraphs without any of the stems that every notice has are
+unknown and not looked at further.
 
 The whole path is DataFrame functions; the weights are a small table, bounded
 by the vocabulary of the templates.
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import literal_table
+from tidemill.llm.common import literal_table, text_key
 
 #: Notices by family, as they are commonly written.
 TEMPLATES = {
@@ -88,6 +93,41 @@ TEMPLATES = {
         "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential",
     ],
 }
+#: Whole notices by family, as they stand at the head of files; they train and are templates as well.
+NOTICES = {
+    "apache": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation",
+    ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "cc0": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+}
+#: Every notice has one of these stems.
+STEMS = ["licen", "permission", "redistribut", "copyright", "warrant", "rights", "unencumbered"]
 #: Lines that use the same words and are no notice.
 OTHERS = [
     "The driver showed a license to the officer and went on", "A fishing license costs more this year", "The museum is open to the public on weekends",
@@ -110,6 +150,9 @@ TOKENS = r"[^\p{L}\p{N}]+"
 UNKNOWN = "unknown"
 #: Least calibrated probability of a named family; least share of a template's n-grams that confirms it.
 LEAST_P, LEAST_SHARE = 0.5, 0.6
+#: Anchors that are further apart belong to different stretches.
+GAP = 10
+BLANK_LINES = r"\n[^\S\n]*\n\s*"
 
 
 def plain_words(text: str) -> list[str]:
@@ -137,14 +180,21 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(of(1), of(2), of(3))))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(family, text) of all templates."""
+    return [(f, t) for texts in (TEMPLATES, NOTICES) for f, held in texts.items() for t in held]
+
+
 def training_rows() -> list[dict]:
-    """Notices and other lines, whole, with words left out, and with words around them; every fourth variant calibrates."""
+    """Notices and other lines, whole, with words left out, in parts, and with words around them; every fourth variant calibrates."""
     rows = []
-    lines = [(f, t) for f, texts in TEMPLATES.items() for t in texts] + [(UNKNOWN, t) for t in OTHERS]
+    lines = known_texts() + [(UNKNOWN, t) for t in OTHERS]
     around = ["", "note that ", "as said above ", "for this part see the end "]
     for n, (family, text) in enumerate(lines):
         words = plain_words(text)
         variants = [words, *([w for i, w in enumerate(words) if i % k != k - 1] for k in (5, 7, 9)), *(plain_words(a) + words + plain_words(b) for a, b in zip(around[1:], around[:0:-1]))]
+        if len(words) > 40:  # stretches of a whole notice
+            variants += [words[i : i + 30] for i in range(0, len(words) - 15, 15)]
         for i, v in enumerate(variants):
             rows.append({"family": family, "grams": sorted(plain_grams(v)), "fit": (n + i) % 4 != 0 or i == 0})
     # Lone anchors and pairs cut from notices are no notices.
@@ -188,55 +238,82 @@ def train(spark: SparkSession) -> Model:
     return Model(families, [round(float(b), 6) for b in bias], weights, temperature)
 
 
+def _noted(text: Column) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for stem in STEMS:
+        out = out | F.contains(low, F.lit(stem))
+    return out
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (from 0), words of the lines that have an anchor; the others have no features and are unknown."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
-    words = lines.select("doc_id", "paragraph", F.split(F.lower("line"), TOKENS).alias("words"))
-    return words.where(F.exists("words", lambda w: w.isin(ANCHORS))).withColumn("words", F.filter("words", lambda w: w != ""))
+    """doc_id, fp, paragraph (from 0), words of the paragraphs that have one of the stems."""
+    noted = docs.where(_noted(F.col("text")))
+    parts = noted.select("doc_id", "fp", F.posexplode(F.split("text", BLANK_LINES)).alias("paragraph", "part")).where(_noted(F.col("part")))
+    return parts.select("doc_id", "fp", "paragraph", F.array_remove(F.split(F.lower("part"), TOKENS), "").alias("words"))
+
+
+def stretches(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, paragraph, stretch (from 0), words of the stretches of each paragraph, with the two words before and after."""
+    words = paragraphs(docs).where(F.size("words") > 0)
+    at = words.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(ANCHORS))).where(F.size("at") > 0)
+    far = lambda j: (j == 1) | (F.element_at("at", j) - F.element_at("at", F.greatest(j - 1, F.lit(1))) > GAP)
+    begins = at.withColumn("first", F.filter(F.sequence(F.lit(1), F.size("at")), far))
+    last = lambda r: F.when(r < F.size("first"), F.element_at("first", F.least(r + 1, F.size("first"))) - 1).otherwise(F.size("at"))
+
+    def cut(r: Column) -> Column:
+        lo = F.greatest(F.element_at("at", F.element_at("first", r)) - 2, F.lit(1))
+        return F.slice("words", lo, F.element_at("at", last(r)) + 2 - lo + 1)
+
+    runs = F.transform(F.sequence(F.lit(1), F.size("first")), cut)
+    return begins.select("doc_id", "fp", "paragraph", F.posexplode(runs).alias("stretch", "words"))
 
 
 def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Paragraphs that a family is named for: doc_id, paragraph, family, probability, template_share, confirmed.
+    """Stretches that a family is named for: doc_id, fp (text_key), paragraph, stretch, family, probability, template_share, confirmed.
 
-    docs: doc_id must tell rows apart; null and empty texts have no paragraphs to name.
+    Rows are told apart by doc_id and text; rows that repeat both are one.
+    Null and empty texts have no paragraphs.
     """
     spark = docs.sparkSession
     model = model or train(spark)
-    found = paragraphs(docs).select("doc_id", "paragraph", F.explode(grams(F.col("words"))).alias("gram"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("fp"))
+    found = stretches(base).withColumn("grams", grams(F.col("words"))).drop("words").dropDuplicates(["doc_id", "fp", "paragraph", "stretch"])
+    place = ["doc_id", "fp", "paragraph", "stretch"]
     weights = F.broadcast(literal_table(spark, model.weights, "gram string, w array<double>"))  # bounded by the templates
     sums = [F.sum(F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"z{i}") for i in range(len(model.families))]
-    raw = found.join(weights, "gram", "left").groupBy("doc_id", "paragraph").agg(*sums, F.collect_list("gram").alias("grams"))
+    raw = found.select(*place, F.explode("grams").alias("gram")).join(weights, "gram", "left").groupBy(*place).agg(*sums, F.collect_list("gram").alias("grams"))
     z = F.array(*[(F.col(f"z{i}") + b) / model.temperature for i, b in enumerate(model.bias)])
-    scored = raw.select("doc_id", "paragraph", "grams", z.alias("z"))
+    scored = raw.select(*place, "grams", z.alias("z"))
     p = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
     best = F.array_position("z", F.array_max("z"))
-    named = scored.select("doc_id", "paragraph", "grams", F.element_at(F.array(*map(F.lit, model.families)), best.cast("int")).alias("family"), (1 / total).alias("probability"))
+    named = scored.select(*place, "grams", F.element_at(F.array(*map(F.lit, model.families)), best.cast("int")).alias("family"), (1 / total).alias("probability"))
     named = named.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_P))
-    templates = [{"family": f, "size": len(g), "held": sorted(g)} for f, texts in TEMPLATES.items() for t in texts if (g := plain_grams(plain_words(t)))]
+    templates = [{"family": f, "size": len(g), "held": sorted(g)} for f, t in known_texts() if (g := plain_grams(plain_words(t)))]
     shares = named.join(F.broadcast(literal_table(spark, templates, "family string, size int, held array<string>")), "family")
     share = F.size(F.array_intersect("grams", "held")) / F.col("size")
-    per = shares.groupBy("doc_id", "paragraph", "family", "probability").agg(F.max(share).alias("template_share"))
+    per = shares.groupBy(*place, "family", "probability").agg(F.max(share).alias("template_share"))
     return per.withColumn("confirmed", F.col("template_share") >= LEAST_SHARE)
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Per row: doc_id, n_paragraphs (lines that aren't blank), n_named, n_confirmed, families, license, probability.
+    """Per row: doc_id, n_paragraphs (that aren't blank), n_named, n_confirmed (stretches), families, license, probability.
 
     families are the confirmed ones, sorted and comma-joined; license is that
-    of the confirmed paragraph with the largest probability (the first of
-    equals), or unknown.  Null and empty texts have no paragraphs.  Rows that
-    repeat a doc_id share the findings of all of them.
+    of the confirmed stretch with the largest probability (the first of
+    equals), or unknown.  Null and empty texts have no paragraphs.  Every row
+    reports what its own text holds, whatever other rows share its doc_id, and
+    also without one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = classify(docs, model)
-    order = Window.partitionBy("doc_id").orderBy(F.desc("confirmed"), F.desc(F.round("probability", 9)), "paragraph")
+    order = Window.partitionBy("doc_id", "fp").orderBy(F.desc("confirmed"), F.desc(F.round("probability", 9)), "paragraph", "stretch")
     top = named.withColumn("r", F.row_number().over(order))
     chosen = F.when((F.col("r") == 1) & F.col("confirmed"), F.struct("family", "probability"))
     families = F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",")
-    per = top.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_named"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"), families.alias("families"), F.max(chosen).alias("top"))
-    per = per.withColumnRenamed("doc_id", "_id")
-    lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")).cast("long")
-    out = docs.select("doc_id", lines.alias("n_paragraphs")).join(per, F.col("doc_id") == F.col("_id"), "left")
+    per = top.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n_named"), F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"), families.alias("families"), F.max(chosen).alias("top"))
+    per = per.withColumnsRenamed({"doc_id": "_id", "fp": "_fp"})
+    count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), BLANK_LINES), lambda x: F.rlike(x, F.lit(r"\S")))).cast("long")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("fp"), F.col("text").cast("string").alias("text")).select("doc_id", "fp", count.alias("n_paragraphs"))
+    out = base.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_named", zero).alias("n_named"), F.coalesce("n_confirmed", zero).alias("n_confirmed"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("top.family", F.lit(UNKNOWN)).alias("license"), F.coalesce("top.probability", F.lit(0.0)).alias("probability"))

@@ -174,12 +174,12 @@ def _candidate(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """variants: None, or the number of draws that all occurrences of a word share."""
+    """Encodes texts under a seed, and remembers segmentations of words."""
 
-    def __init__(self, pieces: Pieces, seed: int = 0, dropout: float = 0.1, variants: int | None = None):
-        if not (0 <= dropout <= 1 and (variants is None or variants >= 1)):
-            raise ValueError("dropout must be in 0..1, variants at least 1")
-        self.pieces, self.variants = pieces, variants
+    def __init__(self, pieces: Pieces, seed: int = 0, dropout: float = 0.1):
+        if not 0 <= dropout <= 1:
+            raise ValueError("dropout must be in 0..1")
+        self.pieces = pieces
         self.seed = mix(np.array([seed & (2**64 - 1)], np.uint64))
         self.rate = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         self.reset()
@@ -195,8 +195,7 @@ class Encoder:
 
     def draws(self, doc_id: int | None, n: int) -> np.ndarray:
         """The key of each word of a document."""
-        drawn = mix(mix(np.array([(doc_id or 0) & (2**64 - 1)], np.uint64) ^ self.seed) + np.arange(n, dtype=np.uint64))
-        return drawn if self.variants is None else mix(self.seed + drawn % np.uint64(self.variants))
+        return mix(mix(np.array([(doc_id or 0) & (2**64 - 1)], np.uint64) ^ self.seed) + np.arange(n, dtype=np.uint64))
 
     def skipped(self, draw: np.ndarray, candidate: np.ndarray) -> np.ndarray:
         """Which candidate merges (place << 24 ^ piece) the keyed hash drops."""
@@ -412,7 +411,7 @@ class Encoder:
         return np.split(ids, np.concatenate([[0], np.cumsum(size)])[ends[1:-1]])[: len(rows)]
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dropout: float = 0.1, variants: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dropout: float = 0.1) -> DataFrame:
     """doc_id, ids, n_bytes (of the text), lossless of every row, from its whole text.
 
     Null and empty texts have no pieces.  lossless tells that the ids decode
@@ -422,7 +421,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dro
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.read(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, seed, dropout, variants)
+        encoder = Encoder(shared.value, seed, dropout)
         table = shared.value.bytes_of
 
         def done(rows: list) -> pa.RecordBatch:

@@ -3,10 +3,10 @@
 A node that is to hold k shards is split at a weighted quantile (weights are
 sizes) of its widest metadata dimension; the halves hold k // 2 and k - k // 2
 shards.  Splitting stops at single shards, which are the leaves.  All nodes
-of a level are split together: their extents come from one aggregation, and
-their medians from a few passes of counting sizes in bins, each pass zooming
-into the bin in which the median lies.  What reaches the driver is bounded by
-nodes x bins.
+of a level are split together.  Nodes, their extents and their medians are
+tables: a median comes from a few passes of adding sizes in bins, each pass
+zooming into the bin in which it lies.  The driver sees totals of the whole
+table only, however many nodes there are.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import literal_table, written
+from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, written
 
-#: Bins of one pass over all nodes of a level.
-BINS = 4096
+#: Bins of one pass over a node: the most rows of a node that are put in order by one task.
+BINS = 1 << 16
+#: Bits of the hash by which rows of equal metadata are told apart.
+TIE_BITS = 32
 #: Rows in one numbering group; the groups of a shard are numbered by prefix sums.
 SLOT_ROWS = 20_000
 
@@ -31,46 +33,54 @@ DIMENSIONS = {
 }
 
 
-def _widest(meta: DataFrame, dims: list[str], whole: dict[str, int]) -> dict[int, dict]:
-    """For each open node its widest dimension (by place), that one's extent, and the node's weight."""
-    extents = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
-    found = {}
-    for r in meta.groupBy("node").agg(F.sum("size").alias("w"), *extents).collect():
-        at = max(range(len(dims)), key=lambda i: (r[f"hi_{dims[i]}"] - r[f"lo_{dims[i]}"]) / max(1, whole[dims[i]]))
-        found[r["node"]] = {"dim": at, "lo": r[f"lo_{dims[at]}"], "hi": r[f"hi_{dims[at]}"], "weight": int(r["w"])}
-    return found
+def _with_nodes(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Rows with what is known of their node.  Few nodes hold many rows each and are broadcast; many nodes hold few rows each and can be shuffled."""
+    return rows.join(maybe_broadcast(nodes.withColumnRenamed("node", "_node"), n, BROADCAST_ROWS), F.col("node") == F.col("_node")).drop("_node")
 
 
-def _with_nodes(rows: DataFrame, nodes: list[dict], schema: str) -> DataFrame:
-    """Join what is known of each node; there are fewer nodes than shards."""
-    return rows.join(F.broadcast(literal_table(rows.sparkSession, nodes, f"node int, {schema}")), "node")
+def _passes(extent: int) -> int:
+    """Passes until a span of so many values is down to one."""
+    return max(1, math.ceil(math.log(extent + 1, BINS) - 1e-9))
 
 
-def _quantile(rows: DataFrame, spans: dict[int, list[int]], before: dict[int, int], want: dict[int, float]) -> dict[int, int]:
+def _zoom(rows: DataFrame, spans: DataFrame, n: int, passes: int) -> DataFrame:
     """Per node the value of the row at which the running weight, in order of value, reaches what is wanted.
 
-    rows: node, size, v.  Each pass counts weights in bins of the span and goes
-    on with the bin that holds the quantile.  before: weight below the span.
+    rows: node, size, v.  spans: node, lo, hi, before (weight below lo), want
+    and other columns; it comes back with lo at the value and before below it.
     """
-    wide = {n for n, (lo, hi) in spans.items() if hi > lo}
-    while wide:
-        bins = max(16, BINS // len(wide))
-        step = {n: -(-(spans[n][1] - spans[n][0] + 1) // bins) for n in wide}
-        nodes = [{"node": n, "lo": spans[n][0], "hi": spans[n][1], "step": step[n]} for n in wide]
-        inside = _with_nodes(rows, nodes, "lo long, hi long, step long").where("v between lo and hi")
-        weights: dict[int, dict[int, int]] = {}
-        for r in inside.groupBy("node", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("size").alias("w")).collect():
-            weights.setdefault(r["node"], {})[r["bin"]] = int(r["w"])
-        for n in wide:
-            held = weights[n]
-            for b in sorted(held):
-                if before[n] + held[b] >= want[n] or b == max(held):
-                    break
-                before[n] += held[b]
-            lo = spans[n][0] + b * step[n]
-            spans[n] = [lo, min(spans[n][1], lo + step[n] - 1)]
-        wide = {n for n in wide if spans[n][1] > spans[n][0]}
-    return {n: lo for n, (lo, _) in spans.items()}
+    other = [c for c in spans.columns if c not in ("lo", "hi", "before")]
+    for _ in range(passes):
+        stepped = spans.withColumn("step", F.expr(f"(hi - lo) div {BINS} + 1"))
+        inside = _with_nodes(rows, stepped.select("node", "lo", "hi", "step"), n).where("v between lo and hi")
+        weights = inside.groupBy("node", F.expr("(v - lo) div step").alias("bin")).agg(F.sum("size").alias("w"))
+        running = weights.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+        known = running.withColumnRenamed("node", "_node").join(maybe_broadcast(stepped, n, BROADCAST_ROWS), F.col("_node") == F.col("node"))
+        found = known.where("before + upto >= want").groupBy("node").agg(F.min(F.struct("bin", "upto", "w")).alias("b")).withColumnRenamed("node", "_node")
+        lo = F.col("lo") + F.col("b.bin") * F.col("step")
+        spans = stepped.join(found, F.col("_node") == F.col("node"))
+        spans = spans.select(*other, lo.alias("lo"), F.least("hi", lo + F.col("step") - 1).alias("hi"), (F.col("before") + F.col("b.upto") - F.col("b.w")).alias("before"))
+        spans = written(spans, "kd-spans")
+    return spans
+
+
+def _split(meta: DataFrame, dims: list[str], whole: dict[str, int], n: int) -> DataFrame:
+    """node, dim, cut, tie_cut of every open node."""
+    extents = [f(d).alias(f"{m}_{d}") for d in dims for m, f in (("lo", F.min), ("hi", F.max))]
+    found = meta.groupBy("node", "parts").agg(F.sum("size").alias("w"), *extents)
+    # The widest dimension against its extent in the whole table; the first of equals.
+    wide = [F.struct(((F.col(f"hi_{d}") - F.col(f"lo_{d}")) / max(1, whole[d])).alias("r"), F.lit(-i).alias("at"), F.col(f"lo_{d}").alias("lo"), F.col(f"hi_{d}").alias("hi")) for i, d in enumerate(dims)]
+    best = found.withColumn("best", F.array_max(F.array(*wide)))
+    want = F.col("w") * F.expr("parts div 2") / F.col("parts")
+    spans = best.select("node", (-F.col("best.at")).alias("dim"), F.col("best.lo").alias("lo"), F.col("best.hi").alias("hi"), F.lit(0).cast("long").alias("before"), want.alias("want"))
+    spans = written(spans, "kd-spans")
+    place = F.array(*[F.col(d) for d in dims])
+    valued = _with_nodes(meta.select("node", "size", "tie", place.alias("place")), spans.select("node", "dim"), n).select("node", "size", "tie", F.col("place")[F.col("dim")].alias("v"))
+    cut = _zoom(valued.select("node", "size", "v"), spans, n, _passes(max(whole.values()) + 1))
+    # Rows on the cut are divided by their tie hash.
+    at_cut = _with_nodes(valued, cut.select("node", F.col("lo").alias("cut")), n).where("v = cut").select("node", "size", F.col("tie").alias("v"))
+    ties = cut.select("node", "dim", "want", F.col("lo").alias("cut"), F.lit(0).cast("long").alias("lo"), F.lit((1 << TIE_BITS) - 1).alias("hi"), "before")
+    return _zoom(at_cut, ties, n, _passes(1 << TIE_BITS)).select("node", "dim", "cut", F.col("lo").alias("tie_cut"))
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, str] | None = None) -> DataFrame:
@@ -78,16 +88,16 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     Give the number of shards, or the bytes that a shard should reach.  The
     size of a row is the UTF-8 bytes of its text (null: none) plus 1.  Rows
-    with equal metadata are ordered by a hash of doc_id and then by doc_id, so
-    that ties, copies and a source that holds most rows split as evenly as
-    others; rows that repeat a doc_id stay together.  Null text has zero
-    metadata.  Empty input gives no rows.
+    with equal metadata are ordered by a hash of doc_id and text, so that
+    ties, copies and a source that holds most rows split as evenly as others;
+    rows that repeat both stay together.  Null text has zero metadata.  Empty
+    input gives no rows.
 
     Returns doc_id, size, text_crc32, shard, slot: slots count from 0 in each
     shard without gaps.
     """
     dims = dimensions or DIMENSIONS
-    tie = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - TIE_BITS)
     meta = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -101,31 +111,18 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     total = meta.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
     leaves = shards or max(1, math.ceil((total["w"] or 0) / target_bytes))
     whole = {d: total[d] or 0 for d in dims}
-    # A node is known by its first shard; parts has how many shards it is to be split into.
-    parts, place = {0: leaves}, F.array(*[F.col(d) for d in dims])
-    meta = meta.withColumn("node", F.lit(0))
-    while total["n"] and (todo := [n for n, k in parts.items() if k > 1]):
-        level = meta.join(F.broadcast(literal_table(meta.sparkSession, [{"node": n} for n in todo], "node int")), "node")
-        found = _widest(level, list(dims), whole)
-        if not found:
-            break
-        want = {n: x["weight"] * (parts[n] // 2) / parts[n] for n, x in found.items()}
-        before = dict.fromkeys(found, 0)
-        nodes = [{"node": n, "dim": x["dim"]} for n, x in found.items()]
-        valued = _with_nodes(meta, nodes, "dim int").select("node", "size", "tie", place[F.col("dim")].alias("v"))
-        cut = _quantile(valued.select("node", "size", "v"), {n: [x["lo"], x["hi"]] for n, x in found.items()}, before, want)
-        # Rows on the cut are divided by their tie hash.
-        at_cut = _with_nodes(valued, [{"node": n, "cut": c} for n, c in cut.items()], "cut long").where("v = cut").select("node", "size", F.col("tie").alias("v"))
-        tie_cut = _quantile(at_cut, {n: [0, (1 << 62) - 1] for n in cut}, before, want)
-        nodes = [{"node": n, "dim": found[n]["dim"], "cut": cut[n], "tie_cut": tie_cut[n], "right": n + parts[n] // 2} for n in found]
-        known = literal_table(meta.sparkSession, nodes, "node int, dim int, cut long, tie_cut long, right int")
-        split = meta.join(F.broadcast(known), "node", "left")
-        v = place[F.col("dim")]
-        left = F.col("cut").isNull() | (v < F.col("cut")) | ((v == F.col("cut")) & (F.col("tie") <= F.col("tie_cut")))
-        meta = written(split.select(F.when(left, F.col("node")).otherwise(F.col("right")).alias("node"), *[c for c in meta.columns if c != "node"]), "kd-level")
-        for n in found:
-            parts[n + parts[n] // 2] = parts[n] - parts[n] // 2
-            parts[n] //= 2
+    # A node is known by its first shard; parts is into how many shards it is to be split.
+    meta, place = meta.withColumn("node", F.lit(0).cast("long")).withColumn("parts", F.lit(leaves).cast("long")), F.array(*[F.col(d) for d in dims])
+    for level in range(math.ceil(math.log2(leaves)) if total["n"] else 0):
+        n = 1 << level  # the most nodes that are open
+        open_ = meta.where("parts > 1")
+        cuts = written(_split(open_, list(dims), whole, n), "kd-cuts")
+        joined = meta.join(maybe_broadcast(cuts.withColumnRenamed("node", "_node"), n, BROADCAST_ROWS), F.col("node") == F.col("_node"), "left")
+        v, half = place[F.col("dim")], F.expr("parts div 2")
+        left = (v < F.col("cut")) | ((v == F.col("cut")) & (F.col("tie") <= F.col("tie_cut")))
+        of = lambda stay, go_left, go_right: F.when(F.col("cut").isNull(), stay).when(left, go_left).otherwise(go_right)  # noqa: B023, E731
+        node, parts = of(F.col("node"), F.col("node"), F.col("node") + half), of(F.col("parts"), half, F.col("parts") - half)
+        meta = written(joined.select(*[c for c in meta.columns if c not in ("node", "parts")], node.alias("node"), parts.alias("parts")), "kd-level")
     return _slots(meta.withColumnRenamed("node", "shard"), total["n"])
 
 

@@ -12,7 +12,10 @@ anywhere else in the corpus, the same text included.
    repeat as they are.  The contexts left under a key are gathered in shards; a
    shard gets its suffix array by Larsson-Sadakane refinement and its common
    prefixes by Kasai's inequality.  A key with more contexts than a shard holds is cut
-   into several, whose suffix arrays are merged by binary search.
+   into several, whose suffix arrays are merged by binary search.  A key with
+   more than HOT bytes of contexts (such as a common line in ever other
+   surroundings) would not fit one task: the strings of its distinct contexts
+   are dealt by their own hashes instead.
 4. What repeats is joined back to every text with that context.
 """
 
@@ -26,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import maybe_broadcast, written
+from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, written
 from tidemill.llm.hashing import prefix_sums, substring_hashes, utf8
 
 GRAM = 16
-#: Starts looked at in one go; starts of one context; bytes of a shard.
-STEP, CONTEXT, SHARD = 1 << 19, 4096, 1 << 19
-#: Up to so many ids are broadcast.
-BROADCAST_ROWS = 200_000
+#: Starts looked at in one go; starts of one context; bytes of a shard, and of the contexts of a key that one task takes.
+STEP, CONTEXT, SHARD, HOT = 1 << 19, 4096, 1 << 18, 1 << 20
+#: Contexts that a task counts before it sends the counts on.
+COUNTED = 1_000_000
 
 
 # ---- suffix arrays ----
@@ -255,6 +258,13 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     counts one; a last row without a text counts the others.
     """
     seen: dict[tuple[int, bytes], int] = {}
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        more = [(None, None, None, None, key, digest, n - 1, None) for (key, digest), n in seen.items() if n > 1]
+        for i in range(0, len(more), 20_000):
+            yield rows(more[i : i + 20_000])
+        seen.clear()
+
     rows = lambda out: pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r)) for r in out], _CUT)
     for batch in batches:
         out: list[tuple] = []
@@ -272,15 +282,15 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 out = []
         if out:
             yield rows(out)
-    more = [(None, None, None, None, key, digest, n - 1, None) for (key, digest), n in seen.items() if n > 1]
-    for i in range(0, len(more), 20_000):
-        yield rows(more[i : i + 20_000])
+        if len(seen) > COUNTED:
+            yield from counts()
+    yield from counts()
 
 
 _CUT = pa.schema([("k", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bytes", pa.binary())])
 
 
-def _flags(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _flags(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, digest, n, bytes) sorted by key; (key, digest, flags) of contexts with repeats leave, flags packed into bits."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
@@ -291,7 +301,7 @@ def _flags(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         apart = [r for r in rows if many[r[0]] == 1 and r[2] > 1]
         meet = [r for r in rows if not (many[r[0]] == 1 and r[2] > 1)]
         found = [np.ones(len(r[3]) - length + 1, bool) for r in apart]
-        for r, hit in zip(meet, repeated_starts([r[3] for r in meet], length) if meet else []):
+        for r, hit in zip(meet, repeated_starts([r[3] for r in meet], length, shard) if meet else []):
             found.append(hit | (r[2] > 1))
         keep = [(r[0], r[1], np.packbits(f).tobytes()) for r, f in zip(apart + meet, found) if f.any()]
         return pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in keep], pa.int64()), "digest": pa.array([r[1] for r in keep], pa.binary()), "flags": pa.array([r[2] for r in keep], pa.binary())})
@@ -299,7 +309,7 @@ def _flags(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     held, size = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= SHARD and held[-1][0] != row[0]:
+            if size >= shard and held[-1][0] != row[0]:
                 yield solve(held)
                 held, size = [], 0
             held.append(row)
@@ -308,6 +318,36 @@ def _flags(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield solve(held)
 
 
+def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, digest, n, bytes) of contexts; a row (key, digest, at, string, n) for each start, string being a hash of what starts there."""
+    for batch in batches:
+        for key, digest, n, held in zip(*(c.to_pylist() for c in batch.columns)):
+            data = memoryview(held)
+            strings = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(len(held) - length + 1)]
+            m = len(strings)
+            yield pa.RecordBatch.from_pydict({"key": pa.array([key] * m, pa.int64()), "digest": pa.array([digest] * m, pa.binary()), "at": pa.array(range(m), pa.int32()), "string": pa.array(strings, pa.binary()), "n": pa.array([n] * m, pa.int64())})
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, digest, starts) as (key, digest, flags)."""
+    for batch in batches:
+        flags = []
+        for starts in batch.column(2):
+            hit = np.zeros(CONTEXT, bool)
+            hit[starts.values.to_numpy()] = True
+            flags.append(np.packbits(hit).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.binary())], ["key", "digest", "flags"])
+
+
+def _hot_flags(cut: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """(key, digest, flags) of the contexts of hot keys that hold repeats: their strings are counted one by one."""
+    contexts = cut.join(hot, "key", "left_semi").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
+    strings = written(contexts.mapInArrow(lambda it: _strings(it, length), "key long, digest binary, at int, string binary, n long"), "strings")
+    again = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
+    hits = strings.join(again, "string").groupBy("key", "digest").agg(F.collect_list("at").alias("starts"))
+    return hits.mapInArrow(_packed, "key long, digest binary, flags binary")
+
+
 def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The maximal removed stretches of each text."""
     for batch in batches:
@@ -322,7 +362,7 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["k", "fp", "begins", "ends"])
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(k, fp, begins, ends): removed stretches of distinct texts; texts has k, fp (together a key) and text."""
     filed = written(texts.select("k", "fp", "text").mapInArrow(lambda it: _file(it, length), "k long, fp long, start int, size int, key long, places int"), "contexts")
     again = filed.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
@@ -330,19 +370,28 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     cut = texts.join(kept, ["k", "fp"]).select("k", "fp", "text", "places").mapInArrow(lambda it: _cut(it, length), "k long, fp long, start int, size int, key long, digest binary, n int, bytes binary")
     cut = written(cut, "cut")
     # Dealt by key once; each partition has counted its own, so a common context comes at most twice from each.
-    once = cut.where("n > 0").select("key", "digest", "n", "bytes").repartition("key").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
-    flags = once.sortWithinPartitions("key").mapInArrow(lambda it: _flags(it, length), "key long, digest binary, flags binary")
+    counted = cut.where("n > 0").select("key", "digest", "n", "bytes")
+    held = counted.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("held"))
+    large = written(held.where(F.col("held") > hot).select("key"), "hot-keys")
+    n_hot = large.count()
+    few = maybe_broadcast(large, n_hot, BROADCAST_ROWS)
+    rest = counted.join(few, "key", "left_anti") if n_hot else counted
+    once = rest.repartition("key").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
+    flags = once.sortWithinPartitions("key").mapInArrow(lambda it: _flags(it, length, shard), "key long, digest binary, flags binary")
+    if n_hot:
+        flags = flags.unionByName(_hot_flags(counted, few, length))
     flags = written(flags, "flags")
     hits = cut.where("k is not null").select("k", "fp", "start", "key", "digest").join(flags, ["key", "digest"]).groupBy("k", "fp").agg(F.collect_list(F.struct("start", "flags")).alias("found"))
     return hits.mapInArrow(lambda it: _spans(it, length), "k long, fp long, begins array<int>, ends array<int>")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, on demand) of every row.
 
     Texts are UTF-8 bytes; null is empty.  Strings are judged on the input, so
     every one of several copies goes.  Texts shorter than length keep all.
     Rows that repeat an id are texts of their own.  Empty input gives no rows.
+    shard: bytes of a suffix array; hot: bytes of a key's contexts that one task takes.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"))
@@ -353,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
     n = groups.count()
     shared = groups.select("sha", F.col("first"))
     distinct = long.join(maybe_broadcast(shared, n, BROADCAST_ROWS), "sha", "left").where("first is null or first = k").select("k", "fp", "text")
-    spans = written(repeated_spans(distinct, length), "spans")
+    spans = written(repeated_spans(distinct, length, shard, hot), "spans")
     copied = maybe_broadcast(groups.select("sha", "copies"), n, BROADCAST_ROWS)
     out = base.join(copied, "sha", "left").join(spans, ["k", "fp"], "left")
     whole = F.col("copies").isNotNull()

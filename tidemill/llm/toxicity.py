@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import held_out, written
+from tidemill.llm.common import held_out, text_key, without, written
 
 #: Letters of a term, and the pattern that takes so many of each word.
 STEM = 8
@@ -41,8 +41,8 @@ PER_CLASS = 8000
 NEIGHBOURS, BLOCK = 15, 512
 #: Terms in more than one of so many examples are common; candidates that are compared in full.
 COMMON, FEW = 16, 100
-#: Stems that a worker remembers; documents scored at a time; slices of a count vector.
-CACHE, BATCH, SLICES = 300_000, 64, 64
+#: Stems that a worker remembers; documents scored at a time, and multiplied at a time; slices of a count vector.
+CACHE, BATCH, TOGETHER, SLICES = 300_000, 512, 64, 64
 #: Sums in single precision are this close to the exact ones; examples of a stretch whose largest score bounds the floor.
 CLOSE, CHUNK = 1e-5, 64
 
@@ -209,8 +209,16 @@ class BlockMaxIndex:
         for i, (t, w) in enumerate(units):
             own = self.row_of[t]
             wide[i, own[own >= 0]] = w[own >= 0]
-        sums = wide @ self.rows
-        return [self._search(t, w, s, spread, k) for (t, w), s in zip(units, sums)]
+        out: list = [None] * len(units)
+        # Queries with the same heaviest common term go together, so that fewer rows are multiplied.
+        order = np.argsort(wide.argmax(axis=1), kind="stable") if len(self.rows) else np.arange(len(units))
+        for lo in range(0, len(units), TOGETHER):
+            own = order[lo : lo + TOGETHER]
+            used = np.flatnonzero(wide[own].any(axis=0))
+            sums = wide[np.ix_(own, used)] @ self.rows[used]
+            for i, s in zip(own.tolist(), sums):
+                out[i] = self._search(*units[i], s, spread, k)
+        return out
 
     def _search(self, terms: np.ndarray, w: np.ndarray, score: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(score)
@@ -218,15 +226,19 @@ class BlockMaxIndex:
         impact = w[rare] * self.largest[terms[rare]]
         rare = rare[np.argsort(-impact, kind="stable")]
         impact = np.sort(impact)[::-1]
-        left = np.concatenate([np.cumsum(impact[::-1])[::-1], [0.0]])  # the most that terms from here on can add
+        # The most that terms from here on can add: the sum of their impacts, or (by Cauchy and Schwarz) the length of the query in them.
+        far = np.sqrt(np.cumsum(w[rare][::-1] ** 2)[::-1])
+        left = np.concatenate([np.minimum(np.cumsum(impact[::-1])[::-1], far), [0.0]])
         blocks, done, floor, score = -(-n // BLOCK), 0, 0.0, score.astype(np.float64)
-        for part in (0.3, 0.1, 0.03, 0.01, 0.0):
+        for part in (0.1, 0.02, 0.0):
             upto = max(done, int(np.searchsorted(-left, -part * left[0])))
             if upto > done:
                 t = terms[rare[done:upto]]
-                sizes = self.starts[t + 1] - self.starts[t]
-                at = _gather(self.starts[t], sizes)
-                score += np.bincount(self.places[at], np.repeat(w[rare[done:upto]], sizes) * self.weights[at], n)
+                begin, end = self.starts[t], self.starts[t + 1]
+                cuts = list(map(slice, begin.tolist(), end.tolist()))
+                added = np.concatenate([self.weights[c] for c in cuts])
+                added *= np.repeat(w[rare[done:upto]].astype(np.float32), end - begin)
+                score += np.bincount(np.concatenate([self.places[c] for c in cuts]), added, n)
                 done = upto
             if n > CHUNK * k:  # the k-th largest score is no less than the k-th largest maximum of stretches
                 peaks = score[: n // CHUNK * CHUNK].reshape(-1, CHUNK).max(axis=1)
@@ -288,12 +300,9 @@ class Model:
     shift: float
     shared: Broadcast | None = None
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        return _scores(self.examples, self.slope, self.shift, texts)
-
 
-def _scores(examples: Examples, slope: float, shift: float, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-    found = examples.index.vote(examples.lookup.bags(texts))
+def _scores(examples: Examples, slope: float, shift: float, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+    found = examples.index.vote(bags)
     p = _sigmoid(slope * _logit(np.array([p for p, _ in found])) + shift)
     return list(zip(p.tolist(), (near for _, near in found)))
 
@@ -332,19 +341,35 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole.values.to_numpy(), whole.offsets.to_numpy()
 
 
-def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray]:
-    """The number of rows, and how many of them have each term: one number a term from each partition, added by slices."""
-    shared, n = docs.sparkSession.sparkContext.broadcast(terms), len(terms.hashes)
+def _bagged(docs: DataFrame, hashes: Broadcast) -> DataFrame:
+    """doc_id, fp (text_key), terms and counts (packed whole numbers) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Terms(hashes.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                found = lookup.bags(part.column(2).to_pylist())
+                packed = [pa.array([x[i].astype(np.int32).tobytes() for x in found], pa.binary()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], ["doc_id", "fp", "terms", "counts"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("fp"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, terms binary, counts binary")
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in column]
+
+
+def document_frequencies(bags: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """The number of rows, and how many of them have each of n terms: one number a term from each partition, added by slices."""
     step = -(-n // SLICES) or 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(n, np.int64), 0
-        own = Terms(shared.value.hashes)
         for batch in batches:
             rows += batch.num_rows
-            for at in range(0, batch.num_rows, BATCH):
-                found = [t for t, _ in own.bags(batch.column(0).slice(at, BATCH).to_pylist())]
-                total += np.bincount(np.concatenate(found), minlength=n)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), minlength=n)
         slices = [total[i : i + step].tobytes() for i in range(0, n, step)]
         yield pa.RecordBatch.from_pydict({"slice": pa.array([-1, *range(len(slices))], pa.int32()), "counts": pa.array([np.array([rows], np.int64).tobytes(), *slices], pa.binary())})
 
@@ -356,13 +381,20 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     schema = "slice int, counts binary"
-    parts = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in docs.select(F.col("text").cast("string")).mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()}
+    parts = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in bags.select("terms").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()}
     rows = int(parts.pop(-1, np.zeros(1))[0])
     return rows, np.concatenate([parts[s] for s in sorted(parts)]) if parts else np.zeros(n, np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Learn from about per_class labelled documents of each class, chosen by a hash of doc_id; None without labels of both classes.
+    """What _fit learns."""
+    return _fit(docs, labels, per_class)[0]
+
+
+def _fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model | None, DataFrame | None]:
+    """The model, and the bags of all of docs under its terms; None without labels of both classes.
+
+    It learns from about per_class labelled documents of each class, chosen by a hash of doc_id.
 
     Rows that are held out are never looked at for labels.  Document
     frequencies come from all of docs.  Rows that repeat a doc_id with other
@@ -371,7 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(n) != {0, 1}:
-        return None
+        return None, None
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / n[1]))).otherwise(F.lit(min(1.0, per_class / n[0])))
     sample = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) < share)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -386,7 +418,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     held = written(chosen.mapInArrow(bags, "doc_id long, toxic int, terms array<long>, counts array<int>"), "examples")
     table = held.toArrow()  # bounded by per_class
     if not {0, 1} <= set(table["toxic"].to_pylist()):
-        return None
+        return None, None
     (hashes, begins), (counts, _) = _lists(table["terms"]), _lists(table["counts"])
     toxic, ids = table["toxic"].to_numpy(), table["doc_id"].to_numpy()
     terms = Terms(np.unique(hashes.view(np.uint64)))
@@ -395,7 +427,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     of = np.repeat(toxic, np.diff(begins))
     size = len(terms.hashes)
     weight = relevance(np.bincount(place[of == 1], minlength=size).astype(float), np.bincount(place[of == 0], minlength=size).astype(float), pos, neg)
-    rows_all, df = document_frequencies(docs, terms)
+    all_bags = written(_bagged(docs, docs.sparkSession.sparkContext.broadcast(terms.hashes)), "bags")
+    rows_all, df = document_frequencies(all_bags, size)
     weight *= np.log((1 + rows_all) / (1 + df)) + 1
     class_weight = (n[0] / neg, n[1] / pos)
     examples = []
@@ -428,12 +461,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     order = np.lexsort((vote, y))
     y, vote = y[order], vote[order]
     slope, shift = _calibration(_logit(vote), y, np.where(y == 1, class_weight[1], class_weight[0]))
-    return Model(learnt, slope, shift, shared)
+    return Model(learnt, slope, shift, shared), all_bags
 
 
-def _scored(texts: pa.Array, shared: Broadcast, slope: float, shift: float) -> Iterator[tuple[int, list[tuple[float, list[int]]]]]:
-    for at in range(0, len(texts), BATCH):
-        yield at, _scores(shared.value, slope, shift, texts.slice(at, BATCH).to_pylist())
+def _score_bags(bags: DataFrame, model: Model) -> DataFrame:
+    """doc_id, fp, score, neighbours of every bag."""
+    shared, slope, shift = model.shared, model.slope, model.shift
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                found = _scores(shared.value, slope, shift, list(zip(_unpacked(part.column(2)), _unpacked(part.column(3)))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([near for _, near in found], pa.list_(pa.int64()))], ["doc_id", "fp", "score", "neighbours"])
+
+    return bags.mapInArrow(run, "doc_id long, fp long, score double, neighbours array<long>")
+
+
+def _unscored(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("neighbours"))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -444,20 +490,15 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     Without a model every score is 0.
     """
     if model is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("neighbours"))
-    shared, slope, shift = model.shared, model.slope, model.shift
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, found in _scored(batch.column(1), shared, slope, shift):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, BATCH), pa.array([s for s, _ in found], pa.float64()), pa.array([near for _, near in found], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, neighbours array<long>")
+        return _unscored(docs)
+    hashes = docs.sparkSession.sparkContext.broadcast(model.examples.hashes)  # bounded by the model's parameters
+    return _score_bags(_bagged(docs, hashes), model).drop("fp")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled rows that are not held out, then score all: doc_id, held_out, score, predicted, neighbours."""
-    out = score(docs, fit(docs, labels))
+    model, bags = _fit(docs, labels)
+    out = _unscored(docs) if model is None else _score_bags(bags, model)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours")
 
 
@@ -467,14 +508,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     Every row is judged by itself, whatever other rows share its doc_id, and
     also without a doc_id.  Without a model nothing goes.
     """
-    model = fit(docs, labels)
-    if model is None:
-        return docs
-    shared, slope, shift, at_text = model.shared, model.slope, model.shift, docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [s < threshold for _, found in _scored(batch.column(at_text), shared, slope, shift) for s, _ in found]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    model, bags = _fit(docs, labels)
+    return docs if model is None else without(docs, _score_bags(bags, model).where(F.col("score") >= threshold))
