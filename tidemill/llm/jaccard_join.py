@@ -257,7 +257,7 @@ def _met(once: DataFrame, percent: int) -> DataFrame:
     bit = "shiftleft(1L, band)"
     known = bands.groupBy("token").agg(F.sum("c").alias("total"), F.expr(f"bit_or({bit})").alias("held"), F.expr(f"bit_or(if(c > 1, {bit}, 0L))").alias("twice")).where("total > 1")
     beside = "((shiftrightunsigned(held, pmod(band + 1, 64)) | shiftrightunsigned(held, pmod(band + 63, 64)) | shiftrightunsigned(twice, band)) & 1L) = 1L"
-    return entered.join(known, "token").where(beside).select("token", "p", "n", "total")
+    return entered.join(known.hint("merge"), "token").where(beside).select("token", "p", "n", "total")
 
 
 def _tiled(met: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _opposed(labelled: DataFrame) -> DataFrame:
 
 def _candidates(entries: DataFrame, vectors: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (a, b, more) from entries (token, key, side, p, n, label)."""
-    full = entries.join(vectors, "p").select("token", "key", "side", "p", F.col("n").cast("long").alias("n"), "vector", "label")
+    full = entries.join(vectors.hint("merge"), "p").select("token", "key", "side", "p", F.col("n").cast("long").alias("n"), "vector", "label")
     met = full.repartition("token", "key").sortWithinPartitions("token", "key", "n").mapInArrow(lambda it: _join(it, percent, most), "a binary, b binary, more boolean")
     return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -339,7 +339,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     links, most, open_ = _verified(done, docs, classes, k, percent), FEW, None
     labels = written(components(links), "labels")
     while True:
-        labelled = met.join(labels.withColumnRenamed("id", "p"), "p", "left").select("token", "p", "n", "total", F.coalesce("component", "p").alias("label"))
+        labelled = met.join(labels.withColumnRenamed("id", "p").hint("merge"), "p", "left").select("token", "p", "n", "total", F.coalesce("component", "p").alias("label"))
         if open_ is not None:
             labelled = labelled.join(open_, "label", "left_semi")
         found = _candidates(_opposed(labelled), vectors, percent, most)
