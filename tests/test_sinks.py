@@ -126,12 +126,19 @@ def test_document_and_cells_writers(spark, folder):
     assert open(f"{folder}/cells").read() == "[('a', {'cf:v': b'1'})]\n"
 
 
-def test_lines_log_and_compaction(spark, folder, capsys):
+def test_lines_log_and_compaction(spark, folder):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string").coalesce(1)
     write_table(Table(df.schema, {"connector": "mylocalfile", "path": f"{folder}/l"}), df)
     assert sorted(r.value for r in spark.read.text(f"{folder}/l").collect()) == ['{"id":1,"name":"a"}', '{"id":2,"name":null}']
     write_table(Table(df.schema, {"connector": "mylog", "log-level": "print", "sink.insert-only": "false"}), df)
-    assert '+U {"id":1,"name":"a"}' in capsys.readouterr().out
+
+    def say(level, line):
+        with open(f"{folder}/log", "a") as f:
+            f.write(f"{level} {line}\n")
+
+    files.log_writer("warn", "+U ", say=say)(spark.range(3000).coalesce(1), 0)
+    lines = open(f"{folder}/log").read().splitlines()
+    assert len(lines) == 3000 and lines[0] == 'warn +U {"id":0}'
     spark.range(100).repartition(10).write.orc(f"{folder}/small")
     assert files.compact(spark, f"{folder}/small", f"{folder}/large") == 1
     assert spark.read.orc(f"{folder}/large").count() == 100 and spark.read.orc(f"{folder}/large").rdd.getNumPartitions() == 1
@@ -139,3 +146,88 @@ def test_lines_log_and_compaction(spark, folder, capsys):
     assert sorted(r.id for r in spark.read.orc(f"{folder}/parts").where("dt = 1").collect()) == [1, 3]
     with pytest.raises(ValueError):
         files.log_writer("loud")
+
+
+def test_row_buffer_flushes_by_size_time_and_close():
+    now, out = [0.0], []
+    buffer = batching.RowBuffer(out.append, 3, 1000, 100, clock=lambda: now[0])
+    for i in range(4):
+        buffer.add(i)
+    assert out == [[0, 1, 2]]
+    now[0] = 1.2
+    buffer.add(4)
+    assert out[1:] == [[3, 4]]
+    now[0] = 2.3
+    for i in (5, 6, 7):  # by size; 50 ms later the time is up, but the last flush is too near
+        buffer.add(i)
+    now[0] = 2.35
+    buffer.due = 1.0
+    buffer.add(8)
+    assert out[2:] == [[5], [6, 7, 8]] or out[2:] == [[5]]
+    buffer.close()
+    buffer.close()
+    assert sorted(x for part in out for x in part) == list(range(9))
+    with pytest.raises(ValueError):
+        batching.RowBuffer(out.append, 0)
+
+    def fail(rows):
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        batching.RowBuffer(fail, 1).add(1)
+
+
+def test_row_buffer_holds_one_row_of_a_key():
+    out = []
+    buffer = batching.RowBuffer(out.append, 2, key=lambda r: r[0], replace=lambda new, old: max(new, old))
+    for r in ((1, 5), (1, 9), (1, 7), (2, 1), (3, 1)):
+        buffer.add(r)
+    buffer.close()
+    assert out == [[(1, 9), (2, 1)], [(3, 1)]]
+
+
+def test_buffered_writer(spark, folder):
+    def start():
+        def flush(rows):
+            with open(f"{folder}/out", "a") as f:
+                f.write(f"{[r.id for r in rows]}\n")
+
+        return flush
+
+    batching.buffered(start, 2, 60_000)(spark.range(5).coalesce(1), 0)
+    assert open(f"{folder}/out").read().splitlines() == ["[0, 1]", "[2, 3]", "[4]"]
+
+
+def test_queue_sink(spark, folder):
+    from pyspark.sql.datasource import DataSource, DataSourceWriter
+
+    class Queue(DataSource):
+        @classmethod
+        def name(cls):
+            return "filequeue"
+
+        def writer(self, schema, overwrite):
+            return Writer(self.options)
+
+    class Writer(DataSourceWriter):
+        def __init__(self, options):
+            self.options = options
+
+        def write(self, rows):
+            from pyspark.sql.datasource import WriterCommitMessage
+
+            with open(self.options["kafka.folder"], "a") as f:
+                for r in rows:
+                    f.write(f"{self.options['topic']} {r.key} {r.value}\n")
+            return WriterCommitMessage()
+
+    spark.dataSource.register(Queue)
+    df = spark.createDataFrame([(2**53 + 1, "a"), (2, None)], "id long, name string").coalesce(1)
+    options = {"connector": "kafka", "topic": "t", "properties.bootstrap.servers": "x:1", "properties.folder": f"{folder}/q", "key.fields": "id"}
+    write_table(Table(df.schema, options), df, connect="filequeue")
+    write_table(Table(df.schema, options | {"format": "csv", "key.fields": "name"}), df, connect="filequeue")
+    assert open(f"{folder}/q").read().splitlines() == ['t 9007199254740993 {"id":9007199254740993,"name":"a"}', 't 2 {"id":2,"name":null}', "t a 9007199254740993,a", "t None 2,"]
+    with pytest.raises(ValueError):
+        write_table(Table(df.schema, {"connector": "kafka", "topic": "t"}), df)
+    with pytest.raises(ValueError):
+        write_table(Table(df.schema, options | {"format": "avro"}), df)

@@ -1,12 +1,14 @@
 import datetime as dt
 import io
+import time
 import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions.registry import register_all
 from tidemill.sources import faker, formats
-from tidemill.sources.lookups import FoundCache, RestClient, kv_lookup
+from tidemill.sources.lookups import FoundCache, RestClient, kv_lookup, named_client
 from tidemill.sources.tables import Tables
 
 
@@ -16,27 +18,30 @@ def now():
 
 
 def test_faker_types_and_determinism(spark):
-    schema = "name string, age int, price double, cnt bigint, data row<name string, age int>, name_set multiset<string>, names array<string>, datas array<row<name string, age int>>, value_counts map<string, int>, log_time timestamp(3), log_time_ltz timestamp_ltz(3)"
-    number = "#{number.numberBetween '20','30'}"
-    options = {f"fields.{k}": v for k, v in {
-        "name.expression": "#{superhero.name}", "name.null-rate": "0.3", "age.expression": number, "price.expression": "#{number.randomDouble '2','1','150'}", "cnt.expression": "#{number.numberBetween '0','20000000000'}",
-        "data.name.expression": "#{harry_potter.spell}", "data.age.expression": number, "name_set.expression": "#{regexify '(aaa|bb){1}'}", "name_set.length": "5", "names.expression": "#{Name.first_name}", "names.length": "2",
-        "datas.name.expression": "x-#{harry_potter.spell}", "datas.age.expression": number, "datas.length": "3", "value_counts.key.expression": "#{regexify '[a-c]{2}'}", "value_counts.value.expression": number, "value_counts.length": "2",
-        "log_time.expression": "#{date.past '15','5','SECONDS'}", "log_time_ltz.expression": "#{date.past '15','SECONDS'}",
-    }.items()} | {"number-of-rows": "200"}
-    a, b = (faker.fake(spark, schema, options, seed, now()).collect() for seed in (1, 1))
-    assert a == b and a != faker.fake(spark, schema, options, 2, now()).collect() and len(a) == 200
-    assert 0 < sum(r.name is None for r in a) < 120
-    for r in a:
-        assert 20 <= r.age < 30 and 1 <= r.price <= 150 and 0 <= r.cnt < 20_000_000_000 and 20 <= r.data.age < 30
-        assert sum(r.name_set.values()) == 5 and set(r.name_set) <= {"aaa", "bb"} and len(r.names) == 2 and len(r.datas) == 3
-        assert r.datas[0].name.startswith("x-") and 1 <= len(r.value_counts) <= 2
-        assert dt.timedelta(seconds=4.9) < dt.datetime(2024, 1, 1) - r.log_time < dt.timedelta(seconds=15.1)
-    assert len({d.age for r in a for d in r.datas}) > 3
-    with pytest.raises(ValueError):
-        faker.fake(spark, "a int", {"number-of-rows": "1"})
-    with pytest.raises(ValueError):
-        faker.fake(spark, "a int", {"number-of-rows": "1", "fields.a.expression": "#{no.such}"})
+    small = "#{number.numberBetween '3','9'}"
+    columns = {
+        "title": ("string", {"expression": "#{superhero.name}", "null-rate": "0.3"}),
+        "weight": ("double", {"expression": "#{number.randomDouble '3','10','11'}"}),
+        "serial": ("bigint", {"expression": "#{number.numberBetween '9007199254740993','9007199254741993'}"}),
+        "part": ("row<label string, size int>", {"label.expression": "p-#{harry_potter.spell}", "size.expression": small}),
+        "tags": ("multiset<string>", {"expression": "#{regexify '(red|blue){1}'}", "length": "6"}),
+        "rows": ("array<row<size int>>", {"size.expression": small, "length": "4"}),
+        "stock": ("map<string, int>", {"key.expression": "#{regexify '[x-z]{1}'}", "value.expression": small, "length": "2"}),
+        "seen": ("timestamp(3)", {"expression": "#{date.past '60','30','SECONDS'}"}),
+    }
+    schema = ", ".join(f"{name} {kind}" for name, (kind, _) in columns.items())
+    options = {f"fields.{name}.{k}": v for name, (_, held) in columns.items() for k, v in held.items()} | {"number-of-rows": "150"}
+    draw = lambda seed: faker.fake(spark, schema, options, seed, now()).collect()
+    first = draw(1)
+    assert first == draw(1) != draw(2) and len(first) == 150 and 10 < sum(r.title is None for r in first) < 90
+    for r in first:
+        assert 10 <= r.weight <= 11 and 2**53 < r.serial < 2**53 + 1002 and r.part.label.startswith("p-") and 3 <= r.part["size"] < 9
+        assert sum(r.tags.values()) == 6 and set(r.tags) <= {"red", "blue"} and len(r.rows) == 4 and 1 <= len(r.stock) <= 2 and set(r.stock) <= set("xyz")
+        assert dt.timedelta(seconds=29.9) < dt.datetime(2024, 1, 1) - r.seen < dt.timedelta(seconds=60.1)
+    assert len({x["size"] for r in first for x in r.rows}) == 6
+    for bad in ({"number-of-rows": "1"}, {"number-of-rows": "1", "fields.a.expression": "#{no.such}"}):
+        with pytest.raises(ValueError):
+            faker.fake(spark, "a int", bad)
 
 
 def test_faker_lookup_and_stream(spark, folder):
@@ -83,6 +88,8 @@ def test_protobuf(spark):
     raw = formats.encode_protobuf(df, fields)
     assert [tuple(r) for r in formats.decode_protobuf(raw, "value", fields).collect()] == [("d", 5, 2), ("", 0, 0)]
     assert formats.decode_protobuf(raw, "value", {9: "item_id"}).first() == (5,)
+    large = spark.createDataFrame([("d", 2**53 + 1, 2), ("e", None, 1)], "dt string, item_id long, item_type int")
+    assert [r.item_id for r in formats.decode_protobuf(formats.encode_protobuf(large, fields), "value", fields).collect()] == [2**53 + 1, 0]
     bad = spark.createDataFrame([(bytearray(b"\xff\xff"),)], "value binary")
     assert formats.decode_protobuf(bad, "value", {9: "item_id"}).first() == (None,)
 
@@ -139,6 +146,53 @@ def test_kv_lookup(spark):
     out = kv_lookup(left, "k", client, "name string, v int")
     assert sorted((r.n, r.name, r.v) for r in out.collect()) == [(1, "A", 5), (2, None, None), (3, None, None)]
     assert kv_lookup(left, "k", client, "name string", inner=True).count() == 1
+    large = spark.createDataFrame([("a", 2**53 + 1), ("b", None)], "k string, n long")
+    assert sorted(((r.n, r.v) for r in kv_lookup(large, "k", client, "v int").collect()), key=str) == [(2**53 + 1, 5), (None, None)]
+
+
+def test_key_value_tables(spark):
+    t = Tables(spark)
+    left = spark.createDataFrame([("a", 2**53 + 1), ("z", 2), (None, 3)], "k string, name long")
+    t.declare("docs", "id string, name string, n bigint", {"connector": "myes", "es.nodes": "http://none", "es.resource": "i"})
+    found = t.dimension("docs", lambda: lambda key: {"id": key, "name": "A", "n": 2**53 + 1} if key == "a" else None)
+    assert sorted(((r.k, r.name, r.id, r.dim_name, r.n) for r in found.join(left, {"k": "id"}).collect()), key=str) == sorted([("a", 2**53 + 1, "a", "A", 2**53 + 1), ("z", 2, None, None, None), (None, 3, None, None, None)], key=str)
+    assert t.dimension("docs") is found and found.join(left, {"k": "id"}, "inner").count() == 1
+    t.declare("cells", "rk string, name string, n bigint", {"connector": "myhbase", "table-name": "x", "cf": "f", "fields": "n:g:number"})
+    with pytest.raises(ValueError):
+        t.dimension("cells")
+    cells = t.dimension("cells", lambda: lambda key: {"f:name": b"B", "g:number": b"9007199254740993"} if key == "a" else None)
+    assert [(r.rk, r.dim_name, r.n) for r in cells.join(left, {"k": "rk"}, "inner").collect()] == [("a", "B", 2**53 + 1)]
+    with pytest.raises(ValueError):
+        cells.join(left, {"k": "name"})
+    named_client("upper")(lambda options: lambda: lambda key: {"id": key, "name": key.upper() + options["tail"]})
+    t.declare("named", "id string, name string", {"connector": "reflect", "client": "upper", "tail": "!"})
+    assert [r.dim_name for r in t.dimension("named").join(left, {"k": "id"}, "inner").orderBy("k").collect()] == ["A!", "Z!"]
+    t.declare("unknown", "id string", {"connector": "reflect", "client": "os.system"})
+    with pytest.raises(ValueError):
+        t.dimension("unknown")
+
+
+def test_paced_and_cyclic_replay(spark, folder):
+    spark.createDataFrame([('{"id": 1}',), ('{"id": 2}',), ("",), ('{"id": 3}',)], "value string").coalesce(1).write.text(f"{folder}/in")
+    t = Tables(spark)
+    t.declare("lines", "id int", {"connector": "mylocalfile", "format": "myjson", "path": f"{folder}/in", "source.sleep": "1 ms", "cycle-num": "2"})
+    query = t.stream("lines").writeStream.format("memory").queryName("replayed").option("checkpointLocation", f"{folder}/check").start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if spark.table("replayed").count() >= 6:
+                break
+        assert sorted(r.id for r in spark.table("replayed").collect()) == [1, 1, 2, 2, 3, 3]
+    finally:
+        query.stop()
+
+
+def test_sql_names(spark):
+    names = register_all(spark)
+    assert {"nvl", "value_count", "value_sum", "json_tuple", "extract_unix_timestamp", "slice", "sort_array"} <= set(names)
+    rows = spark.sql("SELECT g, value_count(v) AS c, value_sum(v, n) AS s FROM VALUES (1, 'x', 2), (1, 'x', 3), (1, 'y', CAST(NULL AS INT)), (2, CAST(NULL AS STRING), 1) AS t(g, v, n) GROUP BY g ORDER BY g").collect()
+    assert [(r.g, r.c, r.s) for r in rows] == [(1, {"x": 2, "y": 1}, {"x": 5}), (2, {}, {})]
+    assert spark.sql("SELECT array_size_or_minus1(array(1, 2)), array_size_or_minus1(NULL)").first() == (2, -1)
 
 
 def test_rest_client_goes_on_to_the_next_host():

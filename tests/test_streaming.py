@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import windows
 from tidemill.streaming import stateful
-from tidemill.streaming.windows import collect_stream, current_watermark, replay, upserts_only
+from tidemill.streaming.windows import changes, collect_stream, current_watermark, encode_changes, replay, upserts_only
 
 
 def put(spark, path, rows, schema):
@@ -113,11 +113,39 @@ def test_rolling_stream_matches_the_batch(spark, folder):
     put(spark, path, rows[2:], schema)
     put(spark, path, [("end", 0, at(500))], schema)
     put(spark, path, [("j", 99, at(3)), ("end", 0, at(501))], schema)  # late
-    out = stateful.rolling_stream(replay(spark, path, spark.read.parquet(path).schema), "name", "tm", "code", 10)
+    kinds = {"n": ("count", "*"), "n_distinct": ("count_distinct", "code"), "max_value": ("max", "code"), "codes": ("collect", "code"), "listed": ("listagg", "code"), "total": ("sum", "code")}
+    out = stateful.rolling_stream(replay(spark, path, spark.read.parquet(path).schema), "name", "tm", 10, kinds)
     collect_stream(out, "rolled", f"{folder}/check").awaitTermination()
+    last = next(r for r in spark.table("rolled").collect() if r.n == 3)
+    assert sorted(last.codes) == [2, 2, 5] and sorted(last.listed.split(",")) == ["2", "2", "5"] and last.total == 9
     got = sorted((r.time_ms, r.n, r.n_distinct, r.max_value) for r in spark.table("rolled").collect() if r.name == "j")
     base = int(dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp() * 1000)
-    assert got == [(base + 1000, 1, 1, 1.0), (base + 2000, 2, 2, 2.0), (base + 12000, 3, 2, 5.0), (base + 12000, 3, 2, 5.0), (base + 30000, 1, 1, 3.0)]
+    assert got == [(base + 1000, 1, 1, 1), (base + 2000, 2, 2, 2), (base + 12000, 3, 2, 5), (base + 12000, 3, 2, 5), (base + 30000, 1, 1, 3)]
+    with pytest.raises(ValueError):
+        stateful.rolling_stream(spark.range(1), "id", None, 1, {"x": ("median", "id")})
+
+
+def test_rolling_stream_on_processing_time(spark, folder):
+    path, schema = f"{folder}/in", "name string, code long"
+    put(spark, path, [("j", 2**53 + 1), ("k", 1)], schema)
+    put(spark, path, [("j", 2), ("j", None)], schema)
+    out = stateful.rolling_stream(replay(spark, path, schema), "name", None, 3600, {"n": ("count", "*"), "codes": ("collect_distinct", "code"), "low": ("min", "code")})
+    query = running(out, "rolled_now", f"{folder}/check")
+    try:
+        rows = until(spark, "rolled_now", lambda rows: len(rows) >= 4)
+        got = sorted((r.name, r.n, sorted(r.codes), r.low) for r in rows)
+        assert got == [("j", 1, [2**53 + 1], 2**53 + 1), *[("j", 3, [2, 2**53 + 1], 2)] * 2, ("k", 1, [1], 1)]
+    finally:
+        query.stop()
+
+
+def test_changes_have_both_halves(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (5, None)], "id int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d"), (5, None)], "id int, v string")
+    log = changes(old, new, ["id"])
+    assert sorted((r.op, r.id, r.v) for r in log.collect()) == [("+I", 4, "d"), ("+U", 2, "c"), ("-D", 3, None), ("-U", 2, "b")]
+    assert sorted(r.value for r in encode_changes(log, upserts=True).collect()) == ['{"id":2,"v":"c"}', '{"id":4,"v":"d"}']
+    assert '{"op":"-U","id":2,"v":"b"}' in {r.value for r in encode_changes(log).collect()}
 
 
 def test_upserts_only(spark):

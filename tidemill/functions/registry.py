@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType, pandas_udf
 
 #: Name, parameters, result and body of each function; the bodies are inlined by the planner.
 SQL_FUNCTIONS = [
@@ -20,8 +25,26 @@ SQL_FUNCTIONS = [
 BUILT_IN = ["nvl", "substring_index", "concat_ws", "split", "regexp_extract", "get_json_object", "to_json", "from_json", "named_struct", "slice", "array_distinct", "array_contains", "array_max", "array_min", "sort_array", "explode", "posexplode", "json_tuple"]
 
 
+def _value_count(values: pd.Series) -> dict:
+    return values.dropna().astype(str).value_counts().to_dict()
+
+
+def _value_sum(keys: pd.Series, values: pd.Series) -> dict:
+    held = pd.DataFrame({"k": keys, "v": values}).dropna()
+    return {str(k): int(v) for k, v in held.groupby("k")["v"].sum().items()}
+
+
+#: Aggregates that give maps; in SQL a group's values go to one task (operators.aggregates has forms that reduce before the shuffle).
+SQL_AGGREGATES = {"value_count": _value_count, "value_sum": _value_sum}
+
+
 def register_all(spark: SparkSession) -> list[str]:
     """Make the functions known to SQL in this session; gives all names that can be used."""
     for name, parameters, result, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
-    return [name for name, *_ in SQL_FUNCTIONS] + BUILT_IN
+    counts = T.MapType(T.StringType(), T.LongType())
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # a map can't be told from type hints
+        for name, function in SQL_AGGREGATES.items():
+            spark.udf.register(name, pandas_udf(function, counts, PandasUDFType.GROUPED_AGG))
+    return [*(name for name, *_ in SQL_FUNCTIONS), *SQL_AGGREGATES, *BUILT_IN]

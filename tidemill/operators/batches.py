@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, SimpleQueue
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+def _arrow(schema: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def batch_flat_map(df: DataFrame, function: Callable[[list[dict]], Iterable[dict]], schema: str, batch_size: int = 500) -> DataFrame:
     """function gets lists of up to batch_size rows and gives any number of rows; what is left at the end is handed over too."""
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
+    kind = _arrow(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for pdf in batches:
-            held += pdf.to_dict("records")
+        for batch in batches:
+            held += batch.to_pylist()
             while len(held) >= batch_size:
-                yield pd.DataFrame(list(function(held[:batch_size])))
+                yield pa.RecordBatch.from_pylist(list(function(held[:batch_size])), kind)
                 held = held[batch_size:]
         if held:
-            yield pd.DataFrame(list(function(held)))
-
-    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from (out for out in run(batches) if len(out))
+            yield pa.RecordBatch.from_pylist(list(function(held)), kind)
 
-    return df.mapInPandas(shaped, schema)
+    return df.mapInArrow(run, schema)
 
 
 def batch_map(df: DataFrame, function: Callable[[list[dict]], list[dict]], schema: str, batch_size: int = 500) -> DataFrame:
@@ -50,12 +56,18 @@ def async_map(df: DataFrame, function: Callable[[dict], list[dict]], schema: str
     rows.  start makes whatever a worker needs (such as a client), once.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+    kind = _arrow(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = start() if start else None
         call = (lambda row: function(row, tool)) if start else function  # type: ignore[call-arg]
-        pool = ThreadPoolExecutor(max_workers=capacity)
+        pool, came = ThreadPoolExecutor(max_workers=capacity), SimpleQueue()
+
+        def submit(row: dict, number: int) -> tuple:
+            future = pool.submit(call, row)
+            if not ordered:
+                future.add_done_callback(lambda _: came.put(number))
+            return future, row, time.monotonic()
 
         def settle(future, row: dict, begun: float) -> list[dict]:
             try:
@@ -65,29 +77,32 @@ def async_map(df: DataFrame, function: Callable[[dict], list[dict]], schema: str
                     raise TimeoutError(f"no result within {timeout} s") from None
                 return list(on_timeout(row))
 
+        def results(rows: list[dict]) -> Iterator[list[dict]]:
+            under_way: dict[int, tuple] = {}  # in the order of their start, so the first is the oldest
+            number = 0
+            while number < len(rows) or under_way:
+                while number < len(rows) and len(under_way) < capacity:
+                    under_way[number] = submit(rows[number], number)
+                    number += 1
+                first = next(iter(under_way))
+                if not ordered:
+                    try:
+                        first = came.get(timeout=max(0.0, under_way[first][2] + timeout - time.monotonic()))
+                    except Empty:
+                        pass  # the oldest call is out of time
+                if first in under_way:  # else a call that was given up has ended
+                    yield settle(*under_way.pop(first))
+
         try:
-            for pdf in batches:
-                rows, out, under_way = iter(pdf.to_dict("records")), [], []
-                while True:
-                    while len(under_way) < capacity and (row := next(rows, None)) is not None:
-                        under_way.append((pool.submit(call, row), row, time.monotonic()))
-                    if not under_way:
-                        break
-                    if ordered:
-                        out += settle(*under_way.pop(0))
-                        continue
-                    oldest = min(b for *_, b in under_way)
-                    wait([f for f, *_ in under_way], timeout=max(0.0, oldest + timeout - time.monotonic()), return_when=FIRST_COMPLETED)
-                    done = [x for x in under_way if x[0].done() or time.monotonic() - x[2] >= timeout]
-                    under_way = [x for x in under_way if x not in done]
-                    for x in done:
-                        out += settle(*x)
+            for batch in batches:
+                out = [r for part in results(batch.to_pylist()) for r in part]
+                came = SimpleQueue()
                 if out:
-                    yield pd.DataFrame(out)
+                    yield pa.RecordBatch.from_pylist(out, kind)
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 class FailAfter:

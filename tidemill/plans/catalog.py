@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import collections as arrays
-from tidemill.functions import dates, multiset, reflection, strings, tables
+from tidemill.functions import dates, multiset, reflection, registry, strings, tables
 from tidemill.functions import json as js
 from tidemill.operators import aggregates, batches, joins, windows
 from tidemill.sinks import files
 from tidemill.sources import faker, formats
 from tidemill.sources.tables import Table, read_files
-from tidemill.streaming.windows import collect_stream, replay
+from tidemill.streaming import stateful
+from tidemill.streaming.windows import changes, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,8 +41,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; one of the machine where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
+    """A new folder that driver and executors share; a session on one machine that names none gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="tidemill-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -446,6 +452,27 @@ def fn_java_method(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", reflection.java_method("java.lang.Math", "addExact", F.col("o_orderkey"), F.col("o_custkey")).cast("long").alias("total"))
 
 
+@query("""
+    SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') AS open_orders, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS filled_keys, count(DISTINCT o_orderstatus) AS kinds
+    FROM orders GROUP BY 1""")
+def sql_value_maps(spark, sf_dir):
+    """value_count and value_sum by their SQL names."""
+    registry.register_all(spark)
+    read(spark, sf_dir, "orders").createOrReplaceTempView("tidemill_orders")
+    return spark.sql("SELECT o_orderpriority, value_count(o_orderstatus)['O'] AS open_orders, value_sum(o_orderstatus, o_custkey)['F'] AS filled_keys, CAST(map_size_or_minus1(value_count(o_orderstatus)) AS BIGINT) AS kinds FROM tidemill_orders GROUP BY o_orderpriority")
+
+
+@query("""
+    SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds, time_bucket(INTERVAL 5 minute, ts) AS five, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS days,
+           CAST(len(string_split(event_type, '_')) AS INTEGER) AS parts, -1 AS none, CAST(CAST(ts AS DATE) + 3 AS DATE) AS later, event_type AS decoded FROM events""")
+def sql_functions(spark, sf_dir):
+    """The library's scalar functions by their SQL names."""
+    registry.register_all(spark)
+    read(spark, sf_dir, "events").createOrReplaceTempView("tidemill_events")
+    return spark.sql("""SELECT event_id, extract_unix_timestamp(ts) AS seconds, floor_minutes(ts, 5) AS five, days_since_epoch(ts) AS days, array_size_or_minus1(split(event_type, '_')) AS parts,
+                               array_size_or_minus1(NULL) AS none, add_days(CAST(CAST(ts AS DATE) AS STRING), 3) AS later, url_decode_or_same(event_type) AS decoded FROM tidemill_events""")
+
+
 # ---- formats, sources and sinks ----
 
 
@@ -504,15 +531,24 @@ def kv_table_upsert(spark, sf_dir):
     return files.read_kv(spark, path, ["s_suppkey"])
 
 
-@query()
+@query("""
+    SELECT 1000 AS n, 0 AS strange_ids, true AS a_fifth_unnamed, 0 AS levels_outside, 20 AS levels, 0 AS scores_outside, 0 AS times_outside, 0 AS ages_outside, 0 AS without_data""")
 def faker_scan(spark, sf_dir):
-    """Drawn rows; rows only, as SQL can't express the draws."""
+    """What drawn rows keep to: their number, ranges and share of nulls.  The draws themselves depend on the seed only."""
     options = {
         "number-of-rows": "1000", "fields.id.expression": "#{regexify '(1|2){1}'}", "fields.name.expression": "#{superhero.name}", "fields.name.null-rate": "0.2",
         "fields.level.expression": "#{number.numberBetween '0','20'}", "fields.score.expression": "#{number.numberBetween '60','100'}", "fields.at.expression": "#{date.past '15','5','SECONDS'}",
         "fields.data.name.expression": "#{harry_potter.spell}", "fields.data.age.expression": "#{number.numberBetween '20','30'}",
     }
-    return faker.fake(spark, "id string, name string, level int, score double, at timestamp, data row<name string, age int>", options, 7, F.lit("2024-01-01").cast("timestamp")).select("id", "name", "level", "score", "at", "data.name", F.col("data.age").alias("age"))
+    rows = faker.fake(spark, "id string, name string, level int, score double, at timestamp, data row<name string, age int>", options, 7, F.lit("2024-01-01").cast("timestamp"))
+    outside = lambda c, name: F.coalesce(F.count_if(~F.coalesce(c, F.lit(False))), F.lit(0)).cast("int").alias(name)
+    unnamed = F.count_if(F.col("name").isNull()) / F.count(F.lit(1))
+    return rows.agg(
+        F.count(F.lit(1)).cast("int").alias("n"), outside(F.col("id").isin("1", "2"), "strange_ids"), unnamed.between(0.15, 0.25).alias("a_fifth_unnamed"),
+        outside(F.col("level").between(0, 19), "levels_outside"), F.count_distinct("level").cast("int").alias("levels"), outside(F.col("score").between(60, 100), "scores_outside"),
+        outside(F.col("at").between(F.expr("timestamp'2023-12-31 23:59:44.9'"), F.expr("timestamp'2023-12-31 23:59:55.1'")), "times_outside"),
+        outside(F.col("data.age").between(20, 29), "ages_outside"), outside(F.length("data.name") > 0, "without_data"),
+    )
 
 
 @query("SELECT CAST(p AS INTEGER) AS page_id, 1 AS cnt, CAST(1636300800 + i AS BIGINT) AS time_long FROM (SELECT 0 AS p, unnest(range(5000)) AS i)")
@@ -552,13 +588,53 @@ def stream_group_updates(spark, sf_dir):
     return files.read_kv(spark, kv, ["user_id"])
 
 
-@query()
+@query("""
+    SELECT * FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL)
+    WHERE window_end <= (SELECT max(ts) - INTERVAL 5 second FROM events)""")
 def watermark_drop(spark, sf_dir):
-    """A stream whose last file is late: its rows are dropped.  Rows only."""
+    """A stream that stops and, started again, finds all rows once more, thirty days late: the watermark drops them."""
     events = read(spark, sf_dir, "events").select("ts", "event_type")
-    path, name = scratch(spark, "late"), f"late_{uuid.uuid4().hex}"
-    events.coalesce(1).write.parquet(path)
-    events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 30 DAYS")).coalesce(1).write.mode("append").parquet(path)
-    out = windows.tumble(replay(spark, path, events.schema), "ts", "1 hour", ["event_type"], "5 seconds", n=F.count(F.lit(1)))
-    collect_stream(out, name, scratch(spark, "state")).awaitTermination()
-    return spark.table(name)
+    path, sink, state = (scratch(spark, name) for name in ("late", "late-out", "state"))
+    late = events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 30 DAYS"))
+    for part in (events, late):
+        part.repartitionByRange(4, "ts").write.mode("append").parquet(path)
+        stream = replay(spark, path, events.schema, files_per_trigger=1000)
+        out = windows.tumble(stream, "ts", "1 hour", ["event_type"], "5 seconds", n=F.count(F.lit(1)))
+        files.exactly_once_files(out, sink, state, "parquet", once=True).awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+@query("""
+    SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS largest, count(DISTINCT event_type) OVER w AS kinds FROM events
+    WHERE ts <= (SELECT max(ts) - INTERVAL 5 second FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 minute PRECEDING AND CURRENT ROW)""")
+def stream_over_range(spark, sf_dir):
+    """A rolling frame on event time, over a stream: what the watermark has passed.  Its state needs the library's state store."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    path, name = scratch(spark, "frames"), f"frames_{uuid.uuid4().hex}"
+    events.repartitionByRange(4, "ts").write.parquet(path)
+    stream = replay(spark, path, events.schema, files_per_trigger=1000)
+    out = stateful.rolling_stream(stream, "user_id", "ts", 600, {"n": ("count", "*"), "largest": ("max", "value"), "kinds": ("count_distinct", "event_type")})
+    sink = scratch(spark, name)
+    try:
+        files.exactly_once_files(out, sink, scratch(spark, "state"), "parquet", once=True).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    rows = spark.read.schema(out.schema).parquet(sink)
+    return rows.select(F.get_json_object("row", "$.event_id").cast("long").alias("event_id"), "n", "largest", "kinds")
+
+
+@query("""
+    SELECT CASE WHEN a.c_custkey IS NULL THEN '+I' WHEN b.c_custkey IS NULL THEN '-D' ELSE u.op END AS op, coalesce(CASE WHEN u.op = '-U' OR b.c_custkey IS NULL THEN a.c_custkey ELSE b.c_custkey END, a.c_custkey) AS c_custkey,
+           CASE WHEN a.c_custkey IS NULL THEN b.c_acctbal WHEN b.c_custkey IS NULL THEN a.c_acctbal WHEN u.op = '-U' THEN a.c_acctbal ELSE b.c_acctbal END AS c_acctbal
+    FROM (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0) a
+    FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0) b ON a.c_custkey = b.c_custkey
+    JOIN (SELECT unnest(['-U', '+U']) AS op) u ON (a.c_custkey IS NOT NULL AND b.c_custkey IS NOT NULL AND a.c_acctbal <> b.c_acctbal) OR ((a.c_custkey IS NULL OR b.c_custkey IS NULL) AND u.op = '+U')""")
+def table_changes(spark, sf_dir):
+    """The change log between two states of a table, with both halves of updates."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    after = rows.where("c_custkey % 5 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    return changes(rows.where("c_custkey % 3 <> 0"), after, ["c_custkey"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -97,6 +98,54 @@ class Periodic:
             self.run(self.statements(now))
 
 
+class RowBuffer:
+    """Rows gathered until there are batch_size of them or interval_ms have passed since the last flush.
+
+    A flush for time is left out if the last one was less than min_pause_ms
+    ago.  With key, one row of each key is held, and replace decides between a
+    new row and the one held.  An error of flush comes up at once.
+    """
+
+    def __init__(self, flush: Callable[[list], None], batch_size: int = 500, interval_ms: float = 1000, min_pause_ms: float = 100, key: Callable | None = None, replace: Callable = lambda new, old: new, clock: Callable[[], float] = time.monotonic):
+        if batch_size < 1:
+            raise ValueError("batch_size must be positive")
+        self.out, self.size, self.interval, self.pause, self.key, self.replace, self.clock = flush, batch_size, interval_ms, min_pause_ms, key, replace, clock
+        self.held: dict = {}
+        self.last = self.due = clock()
+
+    def add(self, row) -> None:
+        k = self.key(row) if self.key else len(self.held)
+        self.held[k] = self.replace(row, self.held[k]) if k in self.held else row
+        if len(self.held) >= self.size:
+            self.flush()
+            return
+        now = self.clock()
+        if (now - self.due) * 1000 >= self.interval:
+            self.due = now
+            if (now - self.last) * 1000 >= self.pause:
+                self.flush()
+
+    def flush(self) -> None:
+        rows, self.held = list(self.held.values()), {}
+        if rows:
+            self.out(rows)
+        self.last = self.clock()
+
+    close = flush
+
+
+def buffered(start: Callable[[], Callable[[list], None]], batch_size: int = 500, interval_ms: float = 1000, min_pause_ms: float = 100, key: Callable | None = None, replace: Callable = lambda new, old: new) -> Writer:
+    """A writer whose executors gather the rows of each partition in a RowBuffer; start makes a partition's flush (and its connection)."""
+
+    def write_rows(rows: Iterator) -> None:
+        buffer = RowBuffer(start(), batch_size, interval_ms, min_pause_ms, key, replace)
+        for row in rows:
+            buffer.add(row)
+        buffer.close()
+
+    return in_partitions(write_rows)
+
+
 def in_partitions(write_rows: Callable[[Iterator], None]) -> Writer:
     """A writer that has every partition written by the executors."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,14 +72,23 @@ def read_kv(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_r")).select("_r.*")
 
 
-def log_writer(level: str = "info", prefix: str = "", encode: Callable[[DataFrame], DataFrame] = encode_json, most: int = 1000) -> Writer:
-    """Log rows as JSON on the driver, up to so many of a batch (a log is for looking at)."""
+def _say(level: str, line: str) -> None:
+    if level == "print":
+        print(line, flush=True)
+    else:
+        getattr(log, "warning" if level == "warn" else level)(line)
+
+
+def log_writer(level: str = "info", prefix: str = "", encode: Callable[[DataFrame], DataFrame] = encode_json, say: Callable[[str, str], None] = _say) -> Writer:
+    """Log every row as JSON, where it is: each executor logs its own partitions."""
     if level not in ("error", "warn", "info", "debug", "print"):
         raise ValueError(f"no level {level!r}")
-    say = print if level == "print" else getattr(log, "warning" if level == "warn" else level)
+
+    def write_rows(rows: Iterator) -> None:
+        for r in rows:
+            say(level, f"{prefix}{r[0]}")
 
     def write(batch: DataFrame, number: int) -> None:
-        for r in encode(batch).limit(most).collect():
-            say(f"{prefix}{r[0]}")
+        encode(batch).foreachPartition(write_rows)
 
     return write

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemill.operators.ordering import parse_order
-from tidemill.sinks import databases, documents, files
+from tidemill.sinks import databases, documents, files, queues
 from tidemill.sinks.batching import KeyedMode, Writer, batching_sink
 
 
@@ -33,6 +33,9 @@ def writer_of(table, connect=None) -> Writer:
         return documents.document_writer(sender, table.need("es.resource"), id_column, options.get("es.write.operation", "index"), script)
     if kind == "myhbase":
         return documents.cells_writer(connect, table.need("row-key"), options.get("cf", "cf"))
+    if kind == "kafka":
+        properties = {k.removeprefix("properties."): v for k, v in options.items() if k.startswith("properties.")}
+        return queues.queue_writer(table.need("topic"), properties, options.get("format", "json"), options.get("csv.field-delimiter", ","), options.get("key.fields"), connect or "kafka")
     raise ValueError(f"connector {kind!r} can't be written")
 
 

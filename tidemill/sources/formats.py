@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.sources.ddl import parse_schema
 
@@ -114,29 +115,30 @@ def message_class(fields: dict[int, str], numbers: dict[int, str] = {}, name: st
 def decode_protobuf(df: DataFrame, column: str, fields: dict[int, str] = LOG_FIELDS, numbers: dict[int, str] = LOG_NUMBERS) -> DataFrame:
     """Columns from protobuf messages, by Arrow batches; fields that aren't declared are skipped; bytes that are no message give nulls."""
     schema = ", ".join(f"{name} {numbers.get(tag, 'string')}" for tag, name in fields.items())
+    types = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = message_class(fields, numbers)
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for raw in pdf[column]:
+            for raw in batch.column(0).to_pylist():
                 try:
-                    m = kind.FromString(bytes(raw))
-                    rows.append([getattr(m, name) for name in fields.values()])
-                except Exception:  # noqa: BLE001  the parser's errors have no common class
-                    rows.append([None] * len(fields))
-            yield pd.DataFrame(rows, columns=list(fields.values()), dtype=object)
+                    m = kind.FromString(raw)
+                    rows.append({name: getattr(m, name) for name in fields.values()})
+                except Exception:  # noqa: BLE001  the parser's errors have no common class; null is no message either
+                    rows.append({})
+            yield pa.RecordBatch.from_pylist(rows, types)
 
-    return df.select(column).mapInPandas(run, schema)
+    return df.select(column).mapInArrow(run, schema)
 
 
 def encode_protobuf(df: DataFrame, fields: dict[int, str] = LOG_FIELDS, numbers: dict[int, str] = LOG_NUMBERS, out: str = "value") -> DataFrame:
     """Protobuf messages from rows; null fields are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = message_class(fields, numbers)
-        for pdf in batches:
-            rows = [{k: (int(v) if isinstance(v, float) else v) for k, v in r.items() if v is not None and v == v} for r in pdf.to_dict("records")]
-            yield pd.DataFrame({out: [kind(**r).SerializeToString() for r in rows]})
+        for batch in batches:
+            raw = [kind(**{k: v for k, v in r.items() if v is not None}).SerializeToString() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pydict({out: pa.array(raw, pa.binary())})
 
-    return df.select(*fields.values()).mapInPandas(run, f"{out} binary")
+    return df.select(*fields.values()).mapInArrow(run, f"{out} binary")

@@ -11,8 +11,9 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class FoundCache:
@@ -48,15 +49,83 @@ def kv_lookup(left: DataFrame, key: str, client: Callable[[], Callable[[Any], di
     names = [f"{prefix}{n}" for n in kind.names]
     schema = f"{to_text(left.schema)}, {', '.join(f'{prefix}{f.name} {f.dataType.simpleString()}' for f in kind.fields)}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, cache = client(), FoundCache(max_rows, ttl_seconds)
-        for pdf in batches:
-            found = [None if k is None or k != k else cache.get(k, find) for k in pdf[key]]
-            extra = pd.DataFrame([[(r or {}).get(n) for n in kind.names] for r in found], columns=names, index=pdf.index, dtype=object)
-            out = pd.concat([pdf, extra], axis=1)
-            yield out[[r is not None for r in found]] if inner else out
+        for batch in batches:
+            found = [None if k is None else cache.get(k, find) for k in batch.column(key).to_pylist()]
+            extra = [pa.array([(r or {}).get(f.name) for r in found], f.type) for f in types]
+            out = pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
+            yield out.filter(pa.array([r is not None for r in found], pa.bool_())) if inner else out
+
+    return left.mapInArrow(run, schema)
+
+
+class KeyedDimension:
+    """A dimension in an outside store, looked up by its first column; batches or streams are joined with it."""
+
+    def __init__(self, columns: str, client: Callable[[], Callable[[Any], dict | None]], max_rows: int = 10_000, ttl_seconds: float = 600):
+        self.columns, self.client, self.max_rows, self.ttl = columns, client, max_rows, ttl_seconds
+
+    def join(self, left: DataFrame, on: dict[str, str], how: str = "left") -> DataFrame:
+        """on: a column of left to the dimension's key.  Columns that left has too get the prefix dim_."""
+        from tidemill.sources.ddl import parse_schema
+
+        kind = parse_schema(self.columns)
+        if list(on.values()) != [kind.names[0]] or how not in ("left", "inner"):
+            raise ValueError(f"a left or inner join on {kind.names[0]!r} is all that a lookup by key can do")
+        found = kv_lookup(left, next(iter(on)), self.client, self.columns, "_found_", self.max_rows, self.ttl, inner=how == "inner")
+        return found.withColumnsRenamed({f"_found_{n}": f"dim_{n}" if n in left.columns else n for n in kind.names})
+
+
+#: Clients that tables of connector `reflect` may name: a function from the table's options to a client.  Nothing else is ever loaded.
+CLIENTS: dict[str, Callable[[dict[str, str]], Callable[[], Callable[[Any], dict | None]]]] = {}
+
+
+def named_client(name: str):
+    """Allow a client under a name, as a decorator."""
+
+    def keep(make):
+        CLIENTS[name] = make
+        return make
+
+    return keep
 
-    return left.mapInPandas(run, schema)
+
+@named_client("documents")
+def _documents(options: dict[str, str]) -> Callable[[], Callable[[str], dict | None]]:
+    auth = {"user": options["es.net.http.auth.user"], "password": options.get("es.net.http.auth.pass")} if "es.net.http.auth.user" in options else {}
+    return document_client([h.strip() for h in options["es.nodes"].split(",")], options["es.resource"], **auth)
+
+
+def cells_client(connect: Callable[[], Callable[[str], dict[str, bytes] | None]], columns: str, family: str = "cf", fields: str = "") -> Callable[[], Callable[[str], dict | None]]:
+    """A client over a store of cells: connect gives a function from a row key to its cells (family:qualifier to bytes).
+
+    fields maps columns to cells (`a:cf:x,b:cf:y`); others are family:column.  Cells hold text, which is cast to the column's type.
+    """
+    from tidemill.sources.ddl import parse_schema
+
+    kind = parse_schema(columns)
+    of = {n: f"{family}:{n}" for n in kind.names[1:]} | dict(x.strip().split(":", 1) for x in fields.split(",") if x.strip())
+    casts = {"int": int, "bigint": int, "smallint": int, "tinyint": int, "double": float, "float": float, "boolean": lambda t: t.lower() == "true"}
+
+    def start() -> Callable[[str], dict | None]:
+        get = connect()
+
+        def find(key: str) -> dict | None:
+            cells = get(key)
+            if cells is None:
+                return None
+            out: dict = {kind.names[0]: key}
+            for f in kind.fields[1:]:
+                raw = cells.get(of[f.name])
+                out[f.name] = None if raw is None else raw if f.dataType.simpleString() == "binary" else casts.get(f.dataType.simpleString(), str)(raw.decode())
+            return out
+
+        return find
+
+    return start
 
 
 class RestClient:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from tidemill.operators.joins import RefreshedDimension
 from tidemill.sources import faker, formats
-from tidemill.sources.ddl import parse_schema
+from tidemill.sources.ddl import parse_schema, to_text
+from tidemill.sources.lookups import CLIENTS, KeyedDimension, cells_client
 
 
 @dataclass
@@ -71,6 +72,23 @@ def read_lines(spark: SparkSession, table: Table) -> DataFrame:
     return rows if limit < 0 else rows.limit(limit)
 
 
+def stream_lines(spark: SparkSession, table: Table) -> DataFrame:
+    """A text file's lines one after the other, over and over: one each source.sleep (10 ms), for cycle-num cycles or number-of-rows-subtask rows if given.
+
+    The file is one to replay, not a table: its lines are one value of one row, joined to a running number.
+    """
+    whole = spark.read.option("wholetext", "true").text(table.need("path"))
+    lines = whole.select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("_at", "value"))
+    n = lines.count()
+    if not n:
+        raise ValueError("there is no line to replay")
+    sleep = table.options.get("source.sleep", "10 ms").split()[0]
+    rate = spark.readStream.format("rate").option("rowsPerSecond", max(1, round(1000 / float(sleep)))).load().withColumnRenamed("value", "_n")
+    ends = [int(table.options[k]) * (n if k == "cycle-num" else 1) for k in ("cycle-num", "number-of-rows-subtask") if k in table.options]
+    rate = rate.where(F.col("_n") < min(ends)) if ends else rate
+    return decode_lines(rate.join(F.broadcast(lines), F.col("_n") % n == F.col("_at")).select("value"), table)  # one file's lines
+
+
 def stream_files(spark: SparkSession, table: Table) -> DataFrame:
     return decode_lines(spark.readStream.option("maxFilesPerTrigger", table.options.get("files-per-trigger", "1")).text(table.need("path")), table)
 
@@ -108,7 +126,7 @@ BATCH: dict[str, Callable[[SparkSession, Table], DataFrame]] = {
 BATCH["java-faker"] = BATCH["faker"]
 STREAM: dict[str, Callable[[SparkSession, Table], DataFrame]] = {
     "filesystem": stream_files,
-    "mylocalfile": stream_files,
+    "mylocalfile": stream_lines,
     "mysocket": stream_socket,
     "java-mysocket": stream_socket,
     "kafka": stream_kafka,
@@ -147,13 +165,39 @@ class Tables:
             df.createOrReplaceTempView(name)
         return df
 
-    def dimension(self, name: str) -> RefreshedDimension:
-        """The table as a dimension, reloaded by lookup.cache.ttl (seconds; an hour unless given) and limited by lookup.cache.max-rows."""
+    def dimension(self, name: str, connect: Callable | None = None) -> RefreshedDimension | KeyedDimension:
+        """The table as a dimension, reloaded by lookup.cache.ttl (seconds; an hour unless given) and limited by lookup.cache.max-rows.
+
+        Tables of key-value stores (myes, myhbase, reflect) are looked up by
+        key instead, with those options for what was found.  connect: for
+        myes a client for kv_lookup, in place of one over HTTP; for myhbase a
+        function from a row key to cells, made in every task.
+        """
+        table = self.tables[name]
+        if table.options["connector"] in ("myes", "myhbase", "reflect"):
+            if name not in self._dims:
+                self._dims[name] = self._keyed(table, connect)
+            return self._dims[name]
         if name not in self._dims:
             options = self.tables[name].options
             self._dims[name] = RefreshedDimension(lambda: self.read(name, view=False), float(options.get("lookup.cache.ttl", "3600")), int(options.get("lookup.cache.max-rows", "100000")))
         return self._dims[name]
 
+    @staticmethod
+    def _keyed(table: Table, connect: Callable | None) -> KeyedDimension:
+        options, columns = table.options, to_text(table.schema)
+        if options["connector"] == "myes":
+            client = connect or CLIENTS["documents"](options)
+        elif options["connector"] == "myhbase":
+            if connect is None:
+                raise ValueError("a function that connects to the store is needed")
+            client = cells_client(connect, columns, options.get("cf", "cf"), options.get("fields", ""))
+        else:
+            if table.need("client") not in CLIENTS:
+                raise ValueError(f"no client {options['client']!r} is allowed")
+            client = CLIENTS[options["client"]](options)
+        return KeyedDimension(columns, client, int(options.get("lookup.cache.max-rows", "10000")), float(options.get("lookup.cache.ttl", "600")))
+
     def insert(self, name: str, df: DataFrame, **streaming: str):
         """Write df to the table by its connector; a stream is started and its query given back."""
         from tidemill.sinks.tables import write_table

@@ -176,50 +176,97 @@ def history(stream: DataFrame, key: str, value: str, ttl_ms: int = 10_000) -> Da
     return stream.select(key, value).groupBy(key).transformWithStateInPandas(statefulProcessor=_History(value, ttl_ms, key), outputStructType=f"{key} {kind}, n long, history array<string>", outputMode="Update", timeMode="ProcessingTime")
 
 
+def _unique(values: list) -> list:
+    return list({json.dumps(v, sort_keys=True): v for v in values}.values())
+
+
+#: Aggregates of a frame's values (nulls left out), and their type from the column's.
+FRAME_FUNCTIONS: dict[str, tuple[Callable[[list], Any], Callable[[str], str]]] = {
+    "count": (len, lambda kind: "long"),
+    "count_distinct": (lambda v: len(_unique(v)), lambda kind: "long"),
+    "sum": (lambda v: sum(v) if v else None, lambda kind: "long" if kind in ("tinyint", "smallint", "int", "bigint") else "double"),
+    "avg": (lambda v: sum(v) / len(v) if v else None, lambda kind: "double"),
+    "max": (lambda v: max(v, default=None), lambda kind: kind),
+    "min": (lambda v: min(v, default=None), lambda kind: kind),
+    "first": (lambda v: v[0] if v else None, lambda kind: kind),
+    "last": (lambda v: v[-1] if v else None, lambda kind: kind),
+    "collect": (list, lambda kind: f"array<{kind}>"),
+    "collect_distinct": (_unique, lambda kind: f"array<{kind}>"),
+    "listagg": (lambda v: ",".join(map(str, v)), lambda kind: "string"),
+}
+
+
 class _Rolling(StatefulProcessor):
-    """Rows of a frame per key; a row's result leaves when the watermark has passed it, so that none of its peers can come."""
+    """Rows of a frame per key, as JSON.
+
+    Event time: a row's result leaves when the watermark has passed it, so
+    that none of its peers can come.  Processing time: it leaves at once, and
+    the rows of a batch are peers.
+    """
 
-    def __init__(self, time: str, value: str, range_ms: int, key: str):
-        self.time, self.value, self.range, self.key = time, value, range_ms, key
+    def __init__(self, key: str, range_ms: int, aggregates: dict[str, tuple[str, str]], event_time: bool):
+        self.key, self.range, self.aggregates, self.event_time = key, range_ms, aggregates, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at long, value double, done boolean")
+        self.rows = handle.getListState("rows", "at long, row string, done boolean")
+
+    def _results(self, key: Any, at: int, frame: list[str], peers: list[str]) -> pd.DataFrame:
+        held = [json.loads(r) for r in frame]
+        values = {name: FRAME_FUNCTIONS[function][0]([1 for _ in held] if column == "*" else [r[column] for r in held if r.get(column) is not None]) for name, (function, column) in self.aggregates.items()}
+        return pd.DataFrame([{self.key: key[0], "time_ms": at, "row": row} | values for row in peers], dtype=object)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.event_time:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            new = [r for pdf in rows for r in pdf["row"]]
+            kept = [(t, r, True) for t, r, _ in map(tuple, self.rows.get()) if t >= now - self.range] + [(now, r, True) for r in new]
+            self.rows.put(kept)
+            yield self._results(key, now, [r for _, r, _ in kept], new)
+            return
         watermark = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            for at, value in zip(pdf[self.time].astype("int64"), pd.to_numeric(pdf[self.value])):
+            for at, row in zip(pdf["time_ms"].astype("int64"), pdf["row"]):
                 if at > watermark:  # later rows are dropped
-                    self.rows.appendValue((int(at), None if value != value else float(value), False))
+                    self.rows.appendValue((int(at), row, False))
                     self.handle.registerTimer(int(at))
-        yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
         held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[0])
-        frame = [v for t, v, _ in held if at - self.range <= t <= at]
-        known = [v for v in frame if v is not None]
-        peers = sum(t == at and not done for t, _, done in held)
-        kept = [(t, v, done or t == at) for t, v, done in held if t > at - self.range]
+        peers = [r for t, r, done in held if t == at and not done]
+        kept = [(t, r, done or t == at) for t, r, done in held if t > at - self.range]
+        frame = [r for t, r, _ in held if at - self.range <= t <= at]
         self.rows.clear()
         if kept:
             self.rows.put(kept)
         if peers:
-            result = {self.key: key[0], self.time: at, "n": len(frame), "n_distinct": len(set(known)), "max_value": max(known, default=None)}
-            yield pd.DataFrame([result] * peers)
+            yield self._results(key, at, frame, peers)
 
     def close(self) -> None:
         pass
 
 
-def rolling_stream(stream: DataFrame, key: str, time: str, value: str, range_seconds: float, watermark: str = "5 seconds") -> DataFrame:
-    """For every row: rows, distinct values and the largest value of its key in the range that ends with it.
+def rolling_stream(stream: DataFrame, key: str, time: str | None, range_seconds: float, aggregates: dict[str, tuple[str, str]], watermark: str = "5 seconds") -> DataFrame:
+    """For every row aggregates over the rows of its key in the range that ends with it.
 
-    Event time: rows behind the watermark are dropped, rows of the same time
-    share a result.  Columns: the key, the time in ms, n, n_distinct, max_value.
+    time: the event time column; rows behind the watermark are dropped, rows
+    of the same time share a result, and results leave when the watermark has
+    passed them.  None: processing time; results leave at once.
+    aggregates: name to (one of FRAME_FUNCTIONS, column or `*`).  Columns: the
+    key, time_ms, the row as JSON, and the aggregates.  The frame of a key is
+    kept as state, for as long as the range.
     """
-    timed = stream.withWatermark(time, watermark)
-    rows = timed.select(key, time, F.unix_millis(time).alias("time_ms"), F.col(value).cast("double").alias(value))
-    kind = dict(stream.dtypes)[key]
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=_Rolling("time_ms", value, int(range_seconds * 1000), key), outputStructType=f"{key} {kind}, time_ms long, n long, n_distinct long, max_value double", outputMode="Append", timeMode="EventTime")
+    kinds = dict(stream.dtypes)
+    for name, (function, column) in aggregates.items():
+        if function not in FRAME_FUNCTIONS or column not in kinds and (function, column) != ("count", "*"):
+            raise ValueError(f"no aggregate {function}({column}) for {name}")
+    columns = sorted({c for _, c in aggregates.values() if c != "*"} | {c for c in stream.columns if c != key})
+    row = F.to_json(F.struct(*columns)) if columns else F.lit("{}")
+    if time and kinds[time] == "timestamp_ntz":
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
+    timed = stream.withWatermark(time, watermark) if time else stream
+    rows = timed.select(key, *([time, F.unix_millis(time).alias("time_ms")] if time else []), row.alias("row"))
+    out = ", ".join([f"{key} {kinds[key]}", "time_ms long", "row string", *(f"{name} {FRAME_FUNCTIONS[f][1](kinds.get(c, 'long'))}" for name, (f, c) in aggregates.items())])
+    processor = _Rolling(key, int(range_seconds * 1000), aggregates, time is not None)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append" if time else "Update", timeMode="EventTime" if time else "ProcessingTime")
