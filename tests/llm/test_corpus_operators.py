@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -539,6 +540,13 @@ def test_licenses_of_rows_with_one_id(frame, license_model):
     assert got == {(1, "mit", 1): 1, (1, "cc-by-nc", 1): 1, (1, "unknown", 0): 2, (None, "mit", 1): 1, (2, "mit", 1): 2}
 
 
+def test_licenses_in_long_texts(frame, license_model):
+    began = time.time()
+    rows = [(1, "software and plain words " * 20_000 + "Released under the MIT License. " + "other words " * 20_000), (2, "license " * 50_000)]
+    got = {r.doc_id: r.families for r in licenses.scan_licenses(frame(rows), license_model).collect()}
+    assert got[1] == "mit" and time.time() - began < 60
+
+
 def brute_licenses(text, model):
     weights, out = {w["gram"]: w["w"] for w in model.weights}, []
     parts = re.split(r"\n[^\S\n]*\n\s*", text or "")
@@ -602,6 +610,19 @@ def test_ledger_scans_only_what_is_new(frame):
     assert len(sec.scan_blobs(sec.blobs(both), ledger, "other").collect()) == 3
 
 
+def test_ledger_is_kept_between_versions(frame, spark, folder):
+    ledger = f"{folder}/ledger"
+    assert sec.read_ledger(spark, ledger).count() == 0
+    first = [(1, "token=aaaaaaaa"), (2, "plain"), (2, "plain"), (None, None)]
+    second = [*first, (3, "token=aaaaaaaa"), (4, "secret=bbbbbbbb"), (None, "secret=bbbbbbbb")]
+    for rows, blobs in ((first, 3), (second, 4), (second, 4)):
+        got = sorted(((r.doc_id, len(r.findings)) for r in sec.scan_version(frame(rows), ledger).collect()), key=str)
+        assert got == sorted(((i, len(brute_spans(t))) for i, t in rows), key=str)
+        assert sec.read_ledger(spark, ledger).count() == blobs
+    sec.scan_version(frame(first), ledger, "other").collect()
+    assert sec.read_ledger(spark, ledger).count() == 7
+
+
 def brute_hits(rows, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = defaultdict(set)

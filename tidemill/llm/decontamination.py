@@ -50,15 +50,16 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, prefix: DataFrame, tokens: int, k: int, window: int) -> DataFrame:
     """doc_id, fp, window, start, n, words_there for places of a prefix shingle where its window fits into the document."""
+    # posexplode_outer, as a plain one would have the optimizer test every array first, with the words split anew for every place.
     shingled = docs.withColumn("tokens", _shingles(F.col("w"), k))
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     if tokens <= BROADCAST_TOKENS:
         # The words stay where they are until a place is found: one stage from the shingles to the comparison.
-        placed = shingled.select("doc_id", "fp", "w", F.size("w").alias("n_words"), F.posexplode("tokens").alias("pos", "token"))
+        placed = shingled.select("doc_id", "fp", "w", F.size("w").alias("n_words"), F.posexplode_outer("tokens").alias("pos", "token"))
         met = placed.join(F.broadcast(prefix), "token").where(fits)
         return met.select("doc_id", "fp", "window", start.alias("start"), "n", F.slice("w", start + 1, F.col("n")).alias("there"))
-    placed = shingled.select("doc_id", "fp", F.size("w").alias("n_words"), F.posexplode("tokens").alias("pos", "token"))
+    placed = shingled.select("doc_id", "fp", F.size("w").alias("n_words"), F.posexplode_outer("tokens").alias("pos", "token"))
     met = placed.join(prefix, "token").where(fits).select("doc_id", "fp", F.struct("window", start.alias("start"), "n").alias("place"))
     met = written(met.groupBy("doc_id", "fp").agg(F.collect_set("place").alias("places")), "places")
     own = met.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "places")
@@ -85,7 +86,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shin
         # How often the shingles of windows occur in the corpus.
         tokens = written(placed.select("token").distinct(), "tokens")
         n_tokens = tokens.count()
-        there = docs.select(_shingles(F.col("w"), k).alias("tokens")).select(F.explode("tokens").alias("token"))
+        there = docs.select(_shingles(F.col("w"), k).alias("tokens")).select(F.explode_outer("tokens").alias("token"))
         if n_tokens <= BROADCAST_TOKENS:
             frequency = there.join(F.broadcast(tokens), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         else:

@@ -168,9 +168,8 @@ def plain_grams(words: list[str]) -> set[str]:
     return {" ".join(g) for k in (1, 2, 3) for i in range(len(words) - k + 1) if known & set(g := words[i : i + k])}
 
 
-def grams(words: Column) -> Column:
-    """The same on a column of word arrays."""
-    anchor = F.transform(words, lambda w: w.isin(ANCHORS))
+def grams(words: Column, anchor: Column) -> Column:
+    """The same on a column of word arrays, and one that tells for each word whether it is an anchor."""
 
     def of(k: int) -> Column:
         at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
@@ -249,15 +248,20 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, fp, paragraph (from 0), words of the paragraphs that have one of the stems."""
     noted = docs.where(_noted(F.col("text")))
     parts = noted.select("doc_id", "fp", F.posexplode(F.split("text", BLANK_LINES)).alias("paragraph", "part")).where(_noted(F.col("part")))
-    return parts.select("doc_id", "fp", "paragraph", F.array_remove(F.split(F.lower("part"), TOKENS), "").alias("words"))
+    return parts.select("doc_id", "fp", "paragraph", _once(F.array_remove(F.split(F.lower("part"), TOKENS), "")).alias("words"))
+
+
+def _once(column: Column) -> Column:
+    """The same value, computed once a row: the optimizer can't copy it into the expressions that use it (such as one for every word)."""
+    return F.explode(F.array(column))
 
 
 def stretches(docs: DataFrame) -> DataFrame:
     """doc_id, fp, paragraph, stretch (from 0), words of the stretches of each paragraph, with the two words before and after."""
     words = paragraphs(docs).where(F.size("words") > 0)
-    at = words.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(ANCHORS))).where(F.size("at") > 0)
+    at = words.withColumn("at", _once(F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.element_at("words", i).isin(ANCHORS)))).where(F.size("at") > 0)
     far = lambda j: (j == 1) | (F.element_at("at", j) - F.element_at("at", F.greatest(j - 1, F.lit(1))) > GAP)
-    begins = at.withColumn("first", F.filter(F.sequence(F.lit(1), F.size("at")), far))
+    begins = at.withColumn("first", _once(F.filter(F.sequence(F.lit(1), F.size("at")), far)))
     last = lambda r: F.when(r < F.size("first"), F.element_at("first", F.least(r + 1, F.size("first"))) - 1).otherwise(F.size("at"))
 
     def cut(r: Column) -> Column:
@@ -277,7 +281,8 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = docs.sparkSession
     model = model or train(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("fp"))
-    found = stretches(base).withColumn("grams", grams(F.col("words"))).drop("words").dropDuplicates(["doc_id", "fp", "paragraph", "stretch"])
+    marked = stretches(base).withColumn("anchor", _once(F.transform("words", lambda w: w.isin(ANCHORS))))
+    found = marked.withColumn("grams", _once(grams(F.col("words"), F.col("anchor")))).drop("words", "anchor").dropDuplicates(["doc_id", "fp", "paragraph", "stretch"])
     place = ["doc_id", "fp", "paragraph", "stretch"]
     weights = F.broadcast(literal_table(spark, model.weights, "gram string, w array<double>"))  # bounded by the templates
     sums = [F.sum(F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"z{i}") for i in range(len(model.families))]

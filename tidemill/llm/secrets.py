@@ -9,7 +9,8 @@ All steps are DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import written
@@ -64,7 +65,14 @@ def scan_blobs(paths: DataFrame, ledger: DataFrame | None = None, rule_version:
     todo = todo.select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"))
     texts = paths.join(todo, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("blob") == F.col("_blob")), "left_semi")
     found = F.array_sort(F.concat(*[_matches(F.col("text"), pattern, group, least, rank, kind) for rank, (kind, pattern, group, least) in enumerate(RULES)]))
-    return texts.select("blob", F.lit(rule_version).alias("rule_version"), found.alias("findings"))
+    scanned = texts.select("blob", F.lit(rule_version).alias("rule_version"), found.alias("findings"))
+    return scanned.dropDuplicates(["blob", "rule_version"])  # rows that repeat doc_id and text
+
+
+def _join_back(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """Findings (blob, findings) joined to all rows with that blob: doc_id, blob, findings."""
+    hits = known.where(F.size("findings") > 0).groupBy("blob").agg(F.max("findings").alias("findings"))
+    return paths.select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("findings"))
 
 
 def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -73,12 +81,35 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version:
     Null text is the empty text; rows with equal text share one scan; a blob
     that the ledger has under this rule version is not scanned again and takes
     the ledger's findings.  Empty input gives no rows; extra columns are not
-    read.  Add scan_blobs() of the same input to the ledger to keep it current.
+    read.
     """
     paths = blobs(docs)
     # Written, so that only the chosen paths' texts are scanned, and that once.
     known = written(scan_blobs(paths, ledger, rule_version), "ledger").select("blob", "findings")
     if ledger is not None:
         known = known.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "findings"))
-    hits = known.where(F.size("findings") > 0).groupBy("blob").agg(F.max("findings").alias("findings"))
-    return paths.select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("findings"))
+    return _join_back(paths, known)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """blob, rule_version, findings of all scans that were kept in a folder; none if nothing was."""
+    schema = f"blob string, rule_version string, findings array<{FINDING}>"
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def scan_version(docs: DataFrame, folder: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """scan_secrets of one version of a table, with a ledger that is kept in a folder.
+
+    Only pairs of blob and rule version that no earlier version had are
+    scanned; they are added to the ledger.  A scan that fails adds nothing, or
+    rows that the next one finds and leaves out.
+    """
+    paths = blobs(docs)
+    scan_blobs(paths, read_ledger(docs.sparkSession, folder), rule_version).write.mode("append").option("compression", "zstd").parquet(folder)
+    known = read_ledger(docs.sparkSession, folder).where(F.col("rule_version") == rule_version)
+    return _join_back(paths, known)
