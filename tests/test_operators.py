@@ -131,3 +131,9 @@ def test_retry_and_settings(tmp_path):
         retry(lambda: (_ for _ in ()).throw(OSError()), 2, 0)
     (tmp_path / "a.yaml").write_text("# c\nslots: 4\nname: 'x'\n")
     assert read_settings(str(tmp_path / "a.yaml")) == {"slots": "4", "name": "x"}
+
+
+def test_wide_dimensions_are_not_broadcast(spark):
+    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    assert joins.small_enough(wide, 50) and not joins.small_enough(wide, 49) and not joins.small_enough(wide, 50, 10_000)
+    assert joins.small_enough(wide.limit(0), 0)

@@ -11,18 +11,26 @@ from pyspark.sql import functions as F
 
 #: A dimension of more rows is refused, unless the caller allows for it; and one of fewer is broadcast.
 MAX_ROWS, BROADCAST_ROWS = 100_000, 100_000
+#: A dimension of more bytes (as JSON) is not broadcast either.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_enough(dim: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has no more than so many rows and bytes; no more than one row beyond is looked at."""
+    found = dim.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= rows and found["bytes"] <= size
 
 
 def lookup_join(left: DataFrame, dim: DataFrame, on: dict[str, str], how: str = "left", null_keys_match: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join each row with all rows of the dimension that have its keys.
 
-    on: column of left to column of dim.  The dimension is counted, and
-    broadcast if it is small; else both sides are shuffled.  left may be a stream.
+    on: column of left to column of dim.  The dimension's rows and bytes are
+    counted, and it is broadcast if it is small; else both sides are shuffled.  left may be a stream.
     Columns of dim whose name left has too get the prefix dim_.
     """
     clash = {c: f"dim_{c}" for c in dim.columns if c in left.columns}
     renamed = dim.withColumnsRenamed(clash)
-    side = F.broadcast(renamed) if dim.limit(broadcast_rows + 1).count() <= broadcast_rows else renamed
+    side = F.broadcast(renamed) if small_enough(dim, broadcast_rows) else renamed
     conditions: list[Column] = []
     for a, b in on.items():
         right = side[clash.get(b, b)]
