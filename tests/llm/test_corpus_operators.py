@@ -273,6 +273,9 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for rounds in (1, 2):
+        part = [(r.id, r.component) for r in components(spark.createDataFrame(links, "a long, b long"), rounds).collect()]
+        assert sorted(i for i, _ in part) == sorted(got) and all(got[i] == got[c] for i, c in part)
 
 
 # ---- suffix arrays ----

@@ -337,7 +337,8 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     every, classes, vectors, met = _prepared(docs, k, percent)
     done = written(_candidates(_tiled(met), vectors, percent, 0).select("a", "b"), "pairs")
     links, most, open_ = _verified(done, docs, classes, k, percent), FEW, None
-    labels = written(components(links), "labels")
+    # Two rounds bring nearly all of a group together, which is what later rounds need to leave out.
+    labels, whole = written(components(links, 2), "labels"), False
     while True:
         labelled = met.join(labels.withColumnRenamed("id", "p").hint("merge"), "p", "left").select("token", "p", "n", "total", F.coalesce("component", "p").alias("label"))
         if open_ is not None:
@@ -348,13 +349,13 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
         linked = _verified(new, docs, classes, k, percent)
         if not linked.isEmpty():
             links = written(links.union(linked), "links")
-            labels = written(components(links), "labels")
+            labels, whole = written(components(links), "labels"), True
         # Components between which candidates were left over, as far as they are still apart.
         of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: B023, E731
         left = found.where("more").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x <> y")
         open_ = written(left.select(F.col("x").alias("label")).union(left.select("y")).distinct(), "open")
         if open_.isEmpty():
-            return every, classes, labels
+            return every, classes, labels if whole else written(components(links), "labels")
         done, most = written(done.union(new), "pairs"), most * MORE
 
 
