@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -43,6 +43,8 @@ NEIGHBOURS, BLOCK = 15, 512
 COMMON, FEW = 16, 100
 #: Stems that a worker remembers; documents scored at a time, and multiplied at a time; slices of a count vector.
 CACHE, BATCH, TOGETHER, SLICES = 300_000, 512, 64, 64
+#: Hashes that the driver looks up at a time.
+PIECE = 1 << 18
 #: Sums in single precision are this close to the exact ones; examples of a stretch whose largest score bounds the floor.
 CLOSE, CHUNK = 1e-5, 64
 
@@ -106,26 +108,25 @@ class Examples:
     zero: np.ndarray  # (clean, toxic) weights of examples without terms
 
     @classmethod
-    def of(cls, hashes: np.ndarray, weight_of: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], class_weight: tuple[float, float]) -> Examples:
-        """examples: (doc_id, toxic, terms, counts)."""
-        groups: dict[tuple, list] = {}
+    def of(cls, hashes: np.ndarray, weight_of: np.ndarray, examples: Iterable[tuple[int, int, np.ndarray, np.ndarray]], class_weight: tuple[float, float]) -> Examples:
+        """examples: (doc_id, toxic, terms, counts), by doc_id."""
+        groups: dict[bytes, list] = {}
         zero = np.zeros(2)
-        for doc_id, toxic, terms, counts in sorted(examples, key=lambda e: e[:2]):
+        for doc_id, toxic, terms, counts in examples:
             if not len(terms):
                 zero[toxic] += class_weight[toxic]
                 continue
-            key = (terms.tobytes(), counts.tobytes())
+            key = xxhash.xxh3_128_digest(terms.tobytes() + counts.tobytes())
             if key not in groups:
-                heavy = terms[np.argsort(-(1 + np.log(counts)) * weight_of[terms], kind="stable")[:3]]
-                groups[key] = [(*heavy.tolist(), doc_id), np.zeros(2), terms.astype(np.int32), counts]
+                heavy = terms[np.argsort(-(1 + np.log(counts.astype(float))) * weight_of[terms], kind="stable")[:3]]
+                groups[key] = [(*heavy.tolist(), doc_id), np.zeros(2), terms, counts]
             groups[key][1][toxic] += class_weight[toxic]
         # Bags with the same heaviest terms become neighbours, which makes the blocks' maxima tight.
         held = sorted(groups.values(), key=lambda g: g[0])
         join = lambda i, kind: np.concatenate([np.zeros(0, kind), *(g[i] for g in held)])
         begins = np.concatenate([[0], np.cumsum([len(g[2]) for g in held])]).astype(np.int64)
-        counts = join(3, np.int64)
-        counts = counts.astype(np.min_scalar_type(counts.max() if len(counts) else 0))
-        return cls(hashes, weight_of, np.array([g[1] for g in held]).reshape(-1, 2), np.array([g[0][-1] for g in held], np.int64), begins, join(2, np.int32), counts, zero)
+        votes, ids = np.array([g[1] for g in held]).reshape(-1, 2), np.array([g[0][-1] for g in held], np.int64)
+        return cls(hashes, weight_of, votes, ids, begins, join(2, np.int32), join(3, np.uint8), zero)
 
     @cached_property
     def index(self) -> BlockMaxIndex:
@@ -167,7 +168,7 @@ class BlockMaxIndex:
         n, n_terms = len(x.ids), len(x.weight_of)
         sizes = np.diff(x.begins)
         example = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        raw = (1 + np.log(x.counts)) * x.weight_of[x.terms]
+        raw = (1 + np.log(x.counts.astype(float))) * x.weight_of[x.terms]
         norm = np.sqrt(np.bincount(example, raw * raw, n))
         values = raw / norm[example]
         order = np.argsort(x.terms, kind="stable")
@@ -189,7 +190,7 @@ class BlockMaxIndex:
 
     @staticmethod
     def unit(terms: np.ndarray, counts: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * weight_of[terms]
+        w = (1 + np.log(counts.astype(float))) * weight_of[terms]
         return terms, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def _exact(self, places: np.ndarray, terms: np.ndarray, w: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -417,27 +418,36 @@ def _fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tupl
 
     held = written(chosen.mapInArrow(bags, "doc_id long, toxic int, terms array<long>, counts array<int>"), "examples")
     table = held.toArrow()  # bounded by per_class
-    if not {0, 1} <= set(table["toxic"].to_pylist()):
+    toxic, ids = table["toxic"].to_numpy().astype(np.int8), table["doc_id"].to_numpy().copy()
+    if not {0, 1} <= set(toxic.tolist()):
         return None, None
     (hashes, begins), (counts, _) = _lists(table["terms"]), _lists(table["counts"])
-    toxic, ids = table["toxic"].to_numpy(), table["doc_id"].to_numpy()
-    terms = Terms(np.unique(hashes.view(np.uint64)))
-    place = np.searchsorted(terms.hashes, hashes.view(np.uint64))
+    counts, hashes = counts.astype(np.min_scalar_type(counts.max() if len(counts) else 0)), hashes.view(np.uint64)
+    del table
+    terms = Terms(np.unique(hashes))
+    place = np.empty(len(hashes), np.int32)
+    for i in range(0, len(hashes), PIECE):  # the driver holds little more than the sample itself
+        place[i : i + PIECE] = np.searchsorted(terms.hashes, hashes[i : i + PIECE])
+    del hashes
+    size, has = len(terms.hashes), np.zeros((2, len(terms.hashes)))
+    order = np.lexsort((toxic, ids))
+    for i in order:
+        has[toxic[i]][place[begins[i] : begins[i + 1]]] += 1
     pos, neg = float((toxic == 1).sum()), float((toxic == 0).sum())
-    of = np.repeat(toxic, np.diff(begins))
-    size = len(terms.hashes)
-    weight = relevance(np.bincount(place[of == 1], minlength=size).astype(float), np.bincount(place[of == 0], minlength=size).astype(float), pos, neg)
+    weight = relevance(has[1], has[0], pos, neg)
     all_bags = written(_bagged(docs, docs.sparkSession.sparkContext.broadcast(terms.hashes)), "bags")
     rows_all, df = document_frequencies(all_bags, size)
     weight *= np.log((1 + rows_all) / (1 + df)) + 1
     class_weight = (n[0] / neg, n[1] / pos)
-    examples = []
-    for i in range(len(ids)):
-        own = slice(begins[i], begins[i + 1])
-        order = np.argsort(place[own])
-        keep = order[weight[place[own][order]] > 0]
-        examples.append((int(ids[i]), int(toxic[i]), place[own][keep], counts[own][keep].astype(np.int64)))
-    learnt = Examples.of(terms.hashes, weight, examples, class_weight)
+
+    def examples() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for i in order:
+            own, times = place[begins[i] : begins[i + 1]], counts[begins[i] : begins[i + 1]]
+            by = np.argsort(own)
+            by = by[weight[own[by]] > 0]
+            yield int(ids[i]), int(toxic[i]), own[by], times[by]
+
+    learnt = Examples.of(terms.hashes, weight, examples(), class_weight)
     shared = docs.sparkSession.sparkContext.broadcast(learnt)  # bounded by per_class
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
