@@ -342,11 +342,12 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole.values.to_numpy(), whole.offsets.to_numpy()
 
 
-def _bagged(docs: DataFrame, hashes: Broadcast) -> DataFrame:
+def _bagged(docs: DataFrame, terms: Terms) -> DataFrame:
     """doc_id, fp (text_key), terms and counts (packed whole numbers) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms.hashes))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Terms(hashes.value)
+        lookup = shared.value  # what a worker has looked up serves its later tasks too
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -435,7 +436,7 @@ def _fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tupl
         has[toxic[i]][place[begins[i] : begins[i + 1]]] += 1
     pos, neg = float((toxic == 1).sum()), float((toxic == 0).sum())
     weight = relevance(has[1], has[0], pos, neg)
-    all_bags = written(_bagged(docs, docs.sparkSession.sparkContext.broadcast(terms.hashes)), "bags")
+    all_bags = written(_bagged(docs, terms), "bags")
     rows_all, df = document_frequencies(all_bags, size)
     weight *= np.log((1 + rows_all) / (1 + df)) + 1
     class_weight = (n[0] / neg, n[1] / pos)
@@ -501,8 +502,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     if model is None:
         return _unscored(docs)
-    hashes = docs.sparkSession.sparkContext.broadcast(model.examples.hashes)  # bounded by the model's parameters
-    return _score_bags(_bagged(docs, hashes), model).drop("fp")
+    return _score_bags(_bagged(docs, model.examples.lookup), model).drop("fp")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
