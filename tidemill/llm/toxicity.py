@@ -43,8 +43,8 @@ NEIGHBOURS, BLOCK = 15, 512
 COMMON, FEW = 16, 100
 #: Stems that a worker remembers; documents scored at a time, and multiplied at a time; slices of a count vector.
 CACHE, BATCH, TOGETHER, SLICES = 300_000, 512, 64, 64
-#: Hashes that the driver looks up at a time.
-PIECE = 1 << 18
+#: Hashes that the driver looks up, and examples that a worker weighs, at a time.
+PIECE, SOME = 1 << 18, 1024
 #: Sums in single precision are this close to the exact ones; examples of a stretch whose largest score bounds the floor.
 CLOSE, CHUNK = 1e-5, 64
 
@@ -141,7 +141,7 @@ class Examples:
 class BlockMaxIndex:
     """The vectors of examples, and what their votes weigh.
 
-    Vectors are held by example (terms, values from begins) and by term
+    Vectors are held by example (terms, counts from begins; norms) and by term
     (places, weights from starts); common terms as rows of a matrix.  tops
     are the largest weights of a term in each block it occurs in.
     """
@@ -151,7 +151,9 @@ class BlockMaxIndex:
     ids: np.ndarray
     begins: np.ndarray
     terms: np.ndarray
-    values: np.ndarray
+    counts: np.ndarray
+    logs: np.ndarray
+    norms: np.ndarray
     starts: np.ndarray
     places: np.ndarray
     weights: np.ndarray
@@ -167,14 +169,19 @@ class BlockMaxIndex:
     def build(cls, x: Examples) -> BlockMaxIndex:
         n, n_terms = len(x.ids), len(x.weight_of)
         sizes = np.diff(x.begins)
-        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        raw = (1 + np.log(x.counts.astype(float))) * x.weight_of[x.terms]
-        norm = np.sqrt(np.bincount(example, raw * raw, n))
-        values = raw / norm[example]
+        logs = 1 + np.log(np.maximum(1, np.arange(int(x.counts.max(initial=0)) + 1)))
+        norms, weights = np.zeros(n), np.zeros(len(x.terms), np.float32)
+        for lo in range(0, n, SOME):  # a worker holds little more than the index itself
+            begin, end = x.begins[lo], x.begins[min(n, lo + SOME)]
+            raw = logs[x.counts[begin:end]] * x.weight_of[x.terms[begin:end]]
+            norms[lo : lo + SOME] = np.sqrt(np.add.reduceat(raw * raw, x.begins[lo : min(n, lo + SOME)] - begin))
+            weights[begin:end] = raw / np.repeat(norms[lo : lo + SOME], sizes[lo : lo + SOME])
         order = np.argsort(x.terms, kind="stable")
-        by_term, places, weights = x.terms[order], example[order], values[order].astype(np.float32)
+        places = np.repeat(np.arange(n, dtype=np.uint16 if n < 1 << 16 else np.int32), sizes)[order]
+        by_term, weights = x.terms[order], weights[order]
+        del order
         starts = np.searchsorted(by_term, np.arange(n_terms + 1))
-        block = places // BLOCK
+        block = (places // BLOCK).astype(np.int32)
         cut = np.flatnonzero(np.concatenate([[True], (by_term[1:] != by_term[:-1]) | (block[1:] != block[:-1])])) if len(places) else np.zeros(0, np.int64)
         tops = np.maximum.reduceat(weights, cut) if len(cut) else weights
         top_starts = np.searchsorted(by_term[cut], np.arange(n_terms + 1))
@@ -186,7 +193,7 @@ class BlockMaxIndex:
         rows = np.zeros((len(common), n), np.float32)
         own = row_of[by_term] >= 0
         rows[row_of[by_term[own]], places[own]] = weights[own]
-        return cls(x.weight_of, x.votes, x.ids, x.begins, x.terms, values, starts, places, weights, top_starts, block[cut], tops, largest, row_of, rows, x.zero)
+        return cls(x.weight_of, x.votes, x.ids, x.begins, x.terms, x.counts, logs, norms, starts, places, weights, top_starts, block[cut], tops, largest, row_of, rows, x.zero)
 
     @staticmethod
     def unit(terms: np.ndarray, counts: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +204,10 @@ class BlockMaxIndex:
         """Cosines of a query with some examples, rounded to 9 digits; spread has a zero for every term."""
         sizes = self.begins[places + 1] - self.begins[places]
         at = _gather(self.begins[places], sizes)
-        spread[terms] = w
-        out = np.round(np.add.reduceat(spread[self.terms[at]] * self.values[at], np.cumsum(sizes) - sizes), 9)
+        spread[terms] = w * self.weight_of[terms]
+        out = np.add.reduceat(spread[self.terms[at]] * self.logs[self.counts[at]], np.cumsum(sizes) - sizes) / self.norms[places]
         spread[terms] = 0.0
-        return out
+        return np.round(out, 9)
 
     def nearest(self, bags: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each bag the vectors and cosines of the k nearest and all that tie with the k-th, nearest first.  Only cosines above zero count."""
