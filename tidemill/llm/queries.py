@@ -81,7 +81,27 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "lossless")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_exact_dedup, op3_kd_sharding, op4_toxicity, op5_jaccard_join, op6_language_id, op7_secret_scans, op8_decontamination, op9_suffix_dedup, op10_piece_dropout)}
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.url_filters import filter_urls
+
+    out = filter_urls(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined", " ").alias("mined"), "confidence")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.source_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_license_scans, op2_exact_dedup, op3_kd_sharding, op4_toxicity, op5_jaccard_join, op6_language_id, op7_secret_scans, op8_decontamination, op9_suffix_dedup, op10_piece_dropout, op11_url_rules, op12_hard_negatives, op13_source_audit)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
 def _positions(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
@@ -99,6 +119,9 @@ def _positions(kind: str, pattern: str, group: int, least: int, rank: int) -> st
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+#: A-Z lowered and nothing else.
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -126,4 +149,53 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_url_rules": f"""
+        WITH pages_ AS (SELECT page_id, url, coalesce({_LOWERED.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
+                               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        rules(verdict, rule, h, p) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+                                              ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+        known AS (SELECT page_id, url, host, path, (SELECT max_by((rule, verdict), (length(rule), rule)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS r,
+            CASE WHEN contains(coalesce(url, ''), '://') THEN list_sort(list_distinct(list_concat(
+                list_transform(list_filter([{_LOWERED.format("regexp_extract(url, '(?s)^(.*?)://', 1)")}], lambda x: x <> ''), lambda x: 'scheme:' || x),
+                list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || x),
+                list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path:' || regexp_replace(x, '[0-9]+', '0', 'g')),
+                list_transform(list_filter(list_transform(string_split(path, '/'), lambda x: regexp_extract(x, '^([0-9])', 1)), lambda x: x <> ''), lambda x: 'digit:' || x),
+                list_transform(list_filter(list_transform(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '(?s)^([^=]*)', 1)), lambda x: x <> ''), lambda x: 'query:' || x),
+                list_transform(list_filter([regexp_extract(url, '(?s)^.*?://[^#]*#(.*)', 1)], lambda x: x <> ''), lambda x: 'fragment:' || x)))) ELSE [] END AS tokens FROM pages_),
+        labelled AS (SELECT row_number() OVER () AS i, tokens, r[2] AS verdict FROM known WHERE r IS NOT NULL),
+        totals AS (SELECT count(*) AS n, count(*) FILTER (verdict = 'block') AS b FROM labelled),
+        told AS (SELECT token, abs(c.b::HUGEINT * t.n - c.n::HUGEINT * t.b) AS gain FROM (SELECT token, count(*) AS n, count(*) FILTER (verdict = 'block') AS b FROM (SELECT unnest(tokens) AS token, verdict FROM labelled) GROUP BY token) c, totals t
+                 WHERE c.n >= ceil(t.n * 0.02::DOUBLE) AND abs(c.b::HUGEINT * t.n - c.n::HUGEINT * t.b) > 0),
+        items AS (SELECT i, verdict, list_sort(list_slice(list(token ORDER BY gain DESC, token), 1, 12)) AS told FROM (SELECT i, verdict, unnest(tokens) AS token FROM labelled) JOIN told USING (token) GROUP BY i, verdict),
+        subsets AS (SELECT verdict, list_filter(told, lambda x, k: (m >> (k - 1)) & 1 = 1) AS combination FROM (SELECT verdict, told, unnest(range(1, 1::BIGINT << len(told))) AS m FROM items)),
+        counted AS (SELECT combination, count(*) AS n, count(*) FILTER (verdict = 'block') AS block, count(*) FILTER (verdict = 'allow') AS allow FROM subsets GROUP BY combination),
+        mined AS (SELECT combination, verdict, pages, pages / c.n::DOUBLE AS confidence FROM (SELECT combination, n, unnest(['block', 'allow']) AS verdict, unnest([block, allow]) AS pages FROM counted) c, totals t
+                  WHERE pages >= ceil(t.n * 0.02::DOUBLE) AND pages / c.n::DOUBLE >= 0.8),
+        pruned AS (SELECT * FROM mined m WHERE NOT EXISTS (SELECT 1 FROM mined o WHERE o.verdict = m.verdict AND len(o.combination) < len(m.combination) AND list_has_all(m.combination, o.combination) AND o.confidence >= m.confidence)),
+        asked AS (SELECT DISTINCT tokens FROM known WHERE r IS NULL),
+        best AS (SELECT tokens, arg_min((combination, verdict, confidence), (-confidence, -pages, combination, verdict)) AS m FROM asked JOIN pruned ON list_has_all(tokens, combination) GROUP BY tokens)
+        SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], m[2], 'allow') AS verdict, array_to_string(m[1], ' ') AS mined, m[3] AS confidence
+        FROM known LEFT JOIN best ON known.r IS NULL AND known.tokens = best.tokens""",
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3""",
+    "op13_source_audit": """
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        t AS (SELECT lang, source, doc_id, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(n, 0) AS own, coalesce(v, 0) AS v, coalesce(all_n, 0) AS all_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN langs USING (lang)),
+        p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, CAST(1 + 1000000000 * (coalesce(n, 0) + 1) // (own + v) AS BIGINT) AS p, CAST(1 + 1000000000 * (total + 1) // (all_n + v) AS BIGINT) AS q
+              FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+                  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every QUALIFY part = 'pair' OR rank <= 200""",
 }
