@@ -82,7 +82,8 @@ class Best:
         """scores, allowed: a row for each list, a column for each id."""
         held = np.where(allowed, scores, _LEAST)
         least = self.least
-        if held.shape[1] > self.few and (least == _LEAST + 1).any():
+        # Equal pairs count once, so the slice's own bound holds only if each id comes once.
+        if held.shape[1] > self.few and (least == _LEAST + 1).any() and len(np.unique(ids)) == len(ids):
             least = np.maximum(least, np.partition(held, held.shape[1] - self.few, axis=1)[:, -self.few])
         at, row = np.nonzero(held >= least[:, None])
         if not len(at):
@@ -146,7 +147,7 @@ def negatives(rows: DataFrame, block: Block, near: tuple[np.ndarray, np.ndarray]
         for batch in batches:
             for ids, theirs, values in _slices(batch, block):
                 found = scores(block[2], values)
-                other = block[1][:, None] != theirs
+                other = (block[1][:, None] != theirs) & (block[0][:, None] != ids)
                 for t, b in zip(turns, best):
                     x, a = found[place[t]], place[t]
                     b.add(x, other[a] & (x >= least[t][:, None]) & (x <= most[t][:, None]), ids)

@@ -113,18 +113,17 @@ def shares(counts: np.ndarray, total: int, v: int) -> np.ndarray:
 _MOST = int(np.iinfo(np.int64).max)
 
 
-def _tile(header: list[tuple], chunks: Iterator[list[tuple[str, np.ndarray, np.ndarray]]]) -> Iterator[tuple[str, str, int]]:
-    """(source, item, value) of the pairs of a tile over one span.
+def _tile(i: int, j: int, header: list[tuple], chunks: Iterator[list[tuple[str, np.ndarray, np.ndarray]]]) -> Iterator[tuple[str, str, int]]:
+    """(source, item, value) of the pairs of the tile of blocks i and j over one span.
 
     header: (source, block, n, v, width of the span) of each group; chunks: of
     each chunk the groups' packed (source, places, counts).
     """
-    low = min(h[1] for h in header)
-    groups = sorted({h[0]: h for h in header}.values(), key=lambda h: (h[1] != low, h[0]))
-    at = {h[0]: i for i, h in enumerate(groups)}
+    groups = sorted(header, key=lambda h: (h[1] != i, h[0]))
+    at = {h[0]: k for k, h in enumerate(groups)}
     n, v, width = [h[2] for h in groups], groups[0][3], groups[0][4]
-    first = sum(h[1] == low for h in groups)
-    twice = first < len(groups)  # two blocks: all pairs across them; one block: all inside
+    first = sum(h[1] == i for h in groups)
+    twice = i != j  # all pairs across two blocks; else all inside one
     ours, theirs = (range(first), range(first, len(groups))) if twice else (range(first), range(first))
     value = np.zeros((len(groups), len(groups)), np.int64)
 
@@ -183,7 +182,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row = next(rows, None)
                 yield packed
 
-        out = list(_tile(header, chunks()))
+        out = list(_tile(key[1], key[2], header, chunks()))
         source, item, value = zip(*out) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.string()), pa.array(source, pa.string()), pa.array(item, pa.string()), pa.array(value, pa.int64())], ["lang", "source", "item", "value"])
 
