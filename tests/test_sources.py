@@ -190,7 +190,7 @@ def test_paced_and_cyclic_replay(spark, folder):
 def test_sql_names(spark):
     names = register_all(spark)
     assert {"nvl", "value_count", "value_sum", "json_tuple", "extract_unix_timestamp", "slice", "sort_array"} <= set(names)
-    rows = spark.sql("SELECT g, value_count(v) AS c, value_sum(v, n) AS s FROM VALUES (1, 'x', 2), (1, 'x', 3), (1, 'y', CAST(NULL AS INT)), (2, CAST(NULL AS STRING), 1) AS t(g, v, n) GROUP BY g ORDER BY g").collect()
+    rows = spark.sql("SELECT g, value_count(v, 1) AS c, value_sum(v, n) AS s FROM VALUES (1, 'x', 2), (1, 'x', 3), (1, 'y', CAST(NULL AS INT)), (2, CAST(NULL AS STRING), 1) AS t(g, v, n) GROUP BY g ORDER BY g").collect()
     assert [(r.g, r.c, r.s) for r in rows] == [(1, {"x": 2, "y": 1}, {"x": 5}), (2, {}, {})]
     assert spark.sql("SELECT array_size_or_minus1(array(1, 2)), array_size_or_minus1(NULL)").first() == (2, -1)
 

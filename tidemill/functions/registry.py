@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import warnings
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
-from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import ArrowUDFType, arrow_udf, udtf
+
+from tidemill.functions.table_functions import TABLE_FUNCTIONS
 
 #: Name, parameters, result and body of each function; the bodies are inlined by the planner.
 SQL_FUNCTIONS = [
@@ -25,26 +27,72 @@ SQL_FUNCTIONS = [
 BUILT_IN = ["nvl", "substring_index", "concat_ws", "split", "regexp_extract", "get_json_object", "to_json", "from_json", "named_struct", "slice", "array_distinct", "array_contains", "array_max", "array_min", "sort_array", "explode", "posexplode", "json_tuple"]
 
 
-def _value_count(values: pd.Series) -> dict:
-    return values.dropna().astype(str).value_counts().to_dict()
+#: Types of the keys of value maps in GROUP BY, by the ending of the function's name; the bare name takes strings.
+KEY_TYPES = {"": pa.string(), "_int": pa.int32(), "_bigint": pa.int64(), "_double": pa.float64(), "_boolean": pa.bool_(), "_date": pa.date32(), "_timestamp": pa.timestamp("us", tz="UTC")}
+_SQL_TYPES = {"": "string", "_int": "int", "_bigint": "bigint", "_double": "double", "_boolean": "boolean", "_date": "date", "_timestamp": "timestamp"}
+
+
+def _checked(values: pa.Array, kind: pa.DataType, name: str) -> pa.Array:
+    """The values, if their type is the function's; another type is an error and never cast."""
+    if pa.types.is_null(values.type):
+        return values.cast(kind)
+    if pa.types.is_timestamp(kind) and pa.types.is_timestamp(values.type) and values.type.tz is not None:
+        return values.cast(kind)
+    if values.type != kind:
+        raise TypeError(f"{name} takes {kind}, not {values.type}; other types have functions of their own, and the table functions take any")
+    return pc.add(values, 0.0) if pa.types.is_floating(kind) else values  # no negative zero
+
+
+def _counting(name: str, kind: pa.DataType, out: pa.DataType):
+    def value_count(values: pa.Array, *wide: pa.Array) -> pa.Scalar:
+        found = _checked(values, kind, name).drop_null().value_counts()
+        return pa.scalar(list(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())), pa.map_(kind, out))
+
+    return value_count
+
+
+def _adding(name: str, kind: pa.DataType, out: pa.DataType):
+    def value_sum(keys: pa.Array, values: pa.Array) -> pa.Scalar:
+        keys = _checked(keys, kind, name)
+        if not pa.types.is_null(values.type) and (pa.types.is_integer(values.type), pa.types.is_floating(values.type)) != (pa.types.is_integer(out), pa.types.is_floating(out)):
+            raise TypeError(f"{name} adds up {out}, not {values.type}")
+        # Whole numbers are added up in decimals, as 64 bits would wrap around.
+        pairs = pa.table({"k": keys, "v": values.cast(pa.decimal128(38, 0) if pa.types.is_integer(out) else out)}).drop_null()
+        found = pairs.group_by("k").aggregate([("v", "sum")])
+        sums = found.column("v_sum").to_pylist()
+        if pa.types.is_integer(out):
+            sums = [int(s) for s in sums]
+            if any(not -(2**63) <= s < 2**63 for s in sums):
+                raise OverflowError("a sum doesn't fit in 64 bits")
+        return pa.scalar(list(zip(found.column("k").to_pylist(), sums)), pa.map_(kind, out))
 
+    return value_sum
 
-def _value_sum(keys: pd.Series, values: pd.Series) -> dict:
-    held = pd.DataFrame({"k": keys, "v": values}).dropna()
-    return {str(k): int(v) for k, v in held.groupby("k")["v"].sum().items()}
 
+def aggregates() -> dict[str, tuple]:
+    """Aggregates for GROUP BY: name to (function, type of the result).
 
-#: Aggregates that give maps; in SQL a group's values go to one task (operators.aggregates has forms that reduce before the shuffle).
-SQL_AGGREGATES = {"value_count": _value_count, "value_sum": _value_sum}
+    value_count[_<key type>] gives map<key, int>, value_count_wide[...] map<key,
+    bigint>; a second argument is taken and ignored.  value_sum[_<key type>]
+    adds up whole numbers to bigint, value_sum_of_doubles[...] doubles.  A
+    group's values go to one task; the table functions take partial counts.
+    """
+    out = {}
+    for ending, kind in KEY_TYPES.items():
+        sql = _SQL_TYPES[ending]
+        for name, amount, text, make in (("value_count", pa.int32(), "int", _counting), ("value_count_wide", pa.int64(), "bigint", _counting), ("value_sum", pa.int64(), "bigint", _adding), ("value_sum_of_doubles", pa.float64(), "double", _adding)):
+            out[name + ending] = (make(name + ending, kind, amount), f"map<{sql},{text}>")
+    return out
 
 
 def register_all(spark: SparkSession) -> list[str]:
     """Make the functions known to SQL in this session; gives all names that can be used."""
     for name, parameters, result, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
-    counts = T.MapType(T.StringType(), T.LongType())
     with warnings.catch_warnings():
-        warnings.simplefilter("ignore")  # a map can't be told from type hints
-        for name, function in SQL_AGGREGATES.items():
-            spark.udf.register(name, pandas_udf(function, counts, PandasUDFType.GROUPED_AGG))
-    return [*(name for name, *_ in SQL_FUNCTIONS), *SQL_AGGREGATES, *BUILT_IN]
+        warnings.simplefilter("ignore")  # the kind can't be told from type hints where there may be more arguments
+        for name, (function, result) in aggregates().items():
+            spark.udf.register(name, arrow_udf(function, result, ArrowUDFType.GROUPED_AGG))
+    for name, one in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, udtf(one))
+    return [*(name for name, *_ in SQL_FUNCTIONS), *aggregates(), *TABLE_FUNCTIONS, *BUILT_IN]

@@ -453,13 +453,58 @@ def fn_java_method(spark, sf_dir):
 
 
 @query("""
-    SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') AS open_orders, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS filled_keys, count(DISTINCT o_orderstatus) AS kinds
+    SELECT o_orderpriority, CAST(count(*) FILTER (o_orderstatus = 'O') AS INTEGER) AS open_orders, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS filled_keys, count(DISTINCT o_orderstatus) AS kinds,
+           CAST(count(*) FILTER (o_custkey % 4 = 1) AS INTEGER) AS ones, count(*) FILTER (CAST(o_orderdate AS DATE) = DATE '1996-01-02') AS on_day, sum(o_totalprice) FILTER (o_custkey % 4 = 3) AS price_of_threes
     FROM orders GROUP BY 1""")
 def sql_value_maps(spark, sf_dir):
-    """value_count and value_sum by their SQL names."""
+    """value_count and value_sum in GROUP BY: strings, nullable whole numbers and dates as keys, sums of whole numbers and doubles."""
     registry.register_all(spark)
     read(spark, sf_dir, "orders").createOrReplaceTempView("tidemill_orders")
-    return spark.sql("SELECT o_orderpriority, value_count(o_orderstatus)['O'] AS open_orders, value_sum(o_orderstatus, o_custkey)['F'] AS filled_keys, CAST(map_size_or_minus1(value_count(o_orderstatus)) AS BIGINT) AS kinds FROM tidemill_orders GROUP BY o_orderpriority")
+    return spark.sql("""
+        SELECT o_orderpriority, coalesce(try_element_at(value_count(o_orderstatus), 'O'), 0) AS open_orders, try_element_at(value_sum(o_orderstatus, o_custkey), 'F') AS filled_keys,
+               CAST(map_size_or_minus1(value_count(o_orderstatus)) AS BIGINT) AS kinds, coalesce(try_element_at(value_count_bigint(nullif(o_custkey % 4, 0)), 1L), 0) AS ones,
+               coalesce(try_element_at(value_count_wide_date(CAST(o_orderdate AS DATE)), DATE'1996-01-02'), 0L) AS on_day, try_element_at(value_sum_of_doubles_bigint(nullif(o_custkey % 4, 0), o_totalprice), 3L) AS price_of_threes
+        FROM tidemill_orders GROUP BY o_orderpriority""")
+
+
+@query("SELECT l_returnflag, CAST(nullif(l_linenumber % 4, 0) AS INTEGER) AS k, count(*) AS n FROM lineitem WHERE l_linenumber % 4 <> 0 GROUP BY ALL")
+def sql_value_count_table(spark, sf_dir):
+    """value_count as a table function: nullable INT keys stay INT; partial counts are taken before the shuffle."""
+    registry.register_all(spark)
+    read(spark, sf_dir, "lineitem").createOrReplaceTempView("tidemill_lines")
+    return spark.sql("""
+        SELECT l_returnflag, k, n FROM value_count(TABLE(SELECT l_returnflag, nullif(l_linenumber % 4, 0) AS k, count(*) AS n FROM tidemill_lines GROUP BY ALL), 'l_returnflag', 'k', weight => 'n')
+        LATERAL VIEW explode(counts) AS k, n""")
+
+
+@query("""
+    SELECT l_shipmode_like AS ship, k, round(sum(v), 2) AS total FROM (SELECT l_returnflag || l_linestatus AS l_shipmode_like, nullif(l_quantity, 7) AS k, CASE WHEN l_linenumber <> 2 THEN l_extendedprice END AS v FROM lineitem)
+    WHERE k IS NOT NULL AND v IS NOT NULL GROUP BY ALL""")
+def sql_value_sum_table(spark, sf_dir):
+    """value_sum as a table function: DOUBLE keys and sums, pairs with nulls left out, sums by key before the shuffle."""
+    registry.register_all(spark)
+    read(spark, sf_dir, "lineitem").createOrReplaceTempView("tidemill_lines")
+    return spark.sql("""
+        SELECT ship, k, round(total, 2) AS total FROM value_sum(TABLE(SELECT l_returnflag || l_linestatus AS ship, nullif(l_quantity, 7D) AS k, sum(CASE WHEN l_linenumber <> 2 THEN l_extendedprice END) AS v
+                                                                   FROM tidemill_lines GROUP BY ALL), 'ship', 'k', 'v') LATERAL VIEW explode(sums) AS k, total""")
+
+
+@query("SELECT user_id, event_type AS kind, count(*) AS n, count(*) AS places FROM events GROUP BY ALL")
+def sql_multiset_table(spark, sf_dir):
+    """A multiset from SQL and back: value_count as a table function, then posexplode, with elements as often as they count, side by side."""
+    registry.register_all(spark)
+    read(spark, sf_dir, "events").createOrReplaceTempView("tidemill_events")
+    return spark.sql("""
+        SELECT user_id, col AS kind, count(*) AS n, CAST(max(pos) - min(pos) + 1 AS BIGINT) AS places FROM multiset_posexplode(TABLE(
+            SELECT user_id, counts FROM value_count(TABLE(SELECT user_id, event_type, count(*) AS n FROM tidemill_events GROUP BY ALL), 'user_id', 'event_type', weight => 'n')), 'counts') GROUP BY user_id, col""")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events")
+def sql_json_fields(spark, sf_dir):
+    """A table function whose columns follow from a literal: named fields of JSON with their types."""
+    registry.register_all(spark)
+    read(spark, sf_dir, "events").createOrReplaceTempView("tidemill_events")
+    return spark.sql("SELECT event_id, k, none FROM json_fields(TABLE(SELECT event_id, props FROM tidemill_events), 'props', 'k BIGINT, none STRING')")
 
 
 @query("""
