@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,10 +15,11 @@ from tidemill.functions import collections as arrays
 from tidemill.functions import dates, multiset, reflection, registry, strings, tables
 from tidemill.functions import json as js
 from tidemill.operators import aggregates, batches, joins, windows
+from tidemill.session import SETTINGS
 from tidemill.sinks import files
 from tidemill.sources import faker, formats
 from tidemill.sources.tables import Table, read_files
-from tidemill.streaming import stateful
+from tidemill.streaming import changelog, stateful
 from tidemill.streaming.windows import changes, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,6 +253,47 @@ def cube_counts(spark, sf_dir):
 # ---- windows ----
 
 
+@contextmanager
+def rocks(spark):
+    """The library's state store, for operators that keep state of their own."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, SETTINGS[provider])
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
+def run_once(spark, stream, name, **options):
+    """Run a stream over what is there, into files; gives them as a table."""
+    sink = scratch(spark, name)
+    with rocks(spark):
+        files.exactly_once_files(stream, sink, scratch(spark, "state"), "parquet", once=True, **options).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+@query("SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(o_totalprice) AS largest, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY o_custkey")
+def stream_group_changelog(spark, sf_dir):
+    """The change log of a GROUP BY over a table that grows in four steps; replayed, it is the GROUP BY."""
+    orders, path = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"), scratch(spark, "orders")
+    orders.repartitionByRange(4, "o_orderkey").write.parquet(path)
+    log = changelog.group_changes(replay(spark, path, orders.schema), ["o_custkey"], {"n": ("count", "*"), "keys": ("sum", "o_orderkey"), "largest": ("max", "o_totalprice"), "kinds": ("count_distinct", "o_orderstatus")})
+    return changelog.replayed(run_once(spark, log, "changes"))
+
+
+@query("""
+    SELECT o_orderstatus, count(*) AS customers, max(o_totalprice) AS largest FROM
+        (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) GROUP BY o_orderstatus""")
+def stream_changelog_of_latest(spark, sf_dir):
+    """Two chained operators: the latest order of each customer as a change log, and an aggregate that takes back what a later order replaces."""
+    orders, path = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "o_totalprice"), scratch(spark, "orders")
+    orders.repartition(4, "o_orderkey").write.parquet(path)
+    latest = changelog.latest_changes(replay(spark, path, orders.schema), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    log = changelog.group_changes(latest, ["o_orderstatus"], {"customers": ("count", "*"), "largest": ("max", "o_totalprice")}, op="op")
+    return changelog.replayed(run_once(spark, log, "changes"))
+
+
 @query("""
     SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS largest, len(list_distinct(list(event_type) OVER w)) AS kinds
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTE PRECEDING AND CURRENT ROW)""")
@@ -649,26 +692,59 @@ def watermark_drop(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(sink)
 
 
+@contextmanager
+def rocks(spark):
+    """The library's state store, for operators that keep state of their own."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, SETTINGS[provider])
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
+def run_once(spark, stream, name, **options):
+    """Run a stream over what is there, into files; gives them as a table."""
+    sink = scratch(spark, name)
+    with rocks(spark):
+        files.exactly_once_files(stream, sink, scratch(spark, "state"), "parquet", once=True, **options).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+@query("SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(o_totalprice) AS largest, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY o_custkey")
+def stream_group_changelog(spark, sf_dir):
+    """The change log of a GROUP BY over a table that grows in four steps; replayed, it is the GROUP BY."""
+    orders, path = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"), scratch(spark, "orders")
+    orders.repartitionByRange(4, "o_orderkey").write.parquet(path)
+    log = changelog.group_changes(replay(spark, path, orders.schema), ["o_custkey"], {"n": ("count", "*"), "keys": ("sum", "o_orderkey"), "largest": ("max", "o_totalprice"), "kinds": ("count_distinct", "o_orderstatus")})
+    return changelog.replayed(run_once(spark, log, "changes"))
+
+
+@query("""
+    SELECT o_orderstatus, count(*) AS customers, max(o_totalprice) AS largest FROM
+        (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) GROUP BY o_orderstatus""")
+def stream_changelog_of_latest(spark, sf_dir):
+    """Two chained operators: the latest order of each customer as a change log, and an aggregate that takes back what a later order replaces."""
+    orders, path = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "o_totalprice"), scratch(spark, "orders")
+    orders.repartition(4, "o_orderkey").write.parquet(path)
+    latest = changelog.latest_changes(replay(spark, path, orders.schema), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    log = changelog.group_changes(latest, ["o_orderstatus"], {"customers": ("count", "*"), "largest": ("max", "o_totalprice")}, op="op")
+    return changelog.replayed(run_once(spark, log, "changes"))
+
+
 @query("""
     SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS largest, count(DISTINCT event_type) OVER w AS kinds FROM events
     WHERE ts <= (SELECT max(ts) - INTERVAL 5 second FROM events)
     WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10 minute PRECEDING AND CURRENT ROW)""")
 def stream_over_range(spark, sf_dir):
     """A rolling frame on event time, over a stream: what the watermark has passed.  Its state needs the library's state store."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
-    path, name = scratch(spark, "frames"), f"frames_{uuid.uuid4().hex}"
+    path = scratch(spark, "frames")
     events.repartitionByRange(4, "ts").write.parquet(path)
     stream = replay(spark, path, events.schema, files_per_trigger=1000)
     out = stateful.rolling_stream(stream, "user_id", "ts", 600, {"n": ("count", "*"), "largest": ("max", "value"), "kinds": ("count_distinct", "event_type")})
-    sink = scratch(spark, name)
-    try:
-        files.exactly_once_files(out, sink, scratch(spark, "state"), "parquet", once=True).awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
-    rows = spark.read.schema(out.schema).parquet(sink)
+    rows = run_once(spark, out, "frames-out")
     return rows.select(F.get_json_object("row", "$.event_id").cast("long").alias("event_id"), "n", "largest", "kinds")
 
 
