@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemill.streaming.changelog import ExactSum
+
 #: (new, old) to (replace the kept row, hand the row on).
 Gate = Callable[[dict, dict], tuple[bool, bool]]
 
@@ -180,68 +182,225 @@ def _unique(values: list) -> list:
     return list({json.dumps(v, sort_keys=True): v for v in values}.values())
 
 
-#: Aggregates of a frame's values (nulls left out), and their type from the column's.
-FRAME_FUNCTIONS: dict[str, tuple[Callable[[list], Any], Callable[[str], str]]] = {
-    "count": (len, lambda kind: "long"),
-    "count_distinct": (lambda v: len(_unique(v)), lambda kind: "long"),
-    "sum": (lambda v: sum(v) if v else None, lambda kind: "long" if kind in ("tinyint", "smallint", "int", "bigint") else "double"),
-    "avg": (lambda v: sum(v) / len(v) if v else None, lambda kind: "double"),
-    "max": (lambda v: max(v, default=None), lambda kind: kind),
-    "min": (lambda v: min(v, default=None), lambda kind: kind),
-    "first": (lambda v: v[0] if v else None, lambda kind: kind),
-    "last": (lambda v: v[-1] if v else None, lambda kind: kind),
-    "collect": (list, lambda kind: f"array<{kind}>"),
-    "collect_distinct": (_unique, lambda kind: f"array<{kind}>"),
-    "listagg": (lambda v: ",".join(map(str, v)), lambda kind: "string"),
+def _whole(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint")
+
+
+#: Aggregates of a frame (nulls left out): how they are kept, and their type from the column's.  Those kept as a list cost as much as their result is long.
+FRAME_FUNCTIONS: dict[str, tuple[str, Callable[[str], str]]] = {
+    "count": ("count", lambda kind: "long"),
+    "count_distinct": ("distinct", lambda kind: "long"),
+    "sum": ("sum", lambda kind: "long" if _whole(kind) else "double"),
+    "avg": ("sum", lambda kind: "double"),
+    "max": ("stack", lambda kind: kind),
+    "min": ("stack", lambda kind: kind),
+    "first": ("stack", lambda kind: kind),
+    "last": ("stack", lambda kind: kind),
+    "collect": ("list", lambda kind: f"array<{kind}>"),
+    "collect_distinct": ("list", lambda kind: f"array<{kind}>"),
+    "listagg": ("list", lambda kind: "string"),
 }
+#: Of an older and a later value, neither null, the one that stays.
+_STAYS: dict[str, Callable[[Any, Any], Any]] = {"max": lambda a, b: max(a, b), "min": lambda a, b: min(a, b), "first": lambda a, b: a, "last": lambda a, b: b}
+
+
+class _Frame:
+    """The rows of a range by time, with aggregates that follow as times come and go.
+
+    Times are a linked list of buckets in a map state.  Counts and sums are
+    added and taken back (sums exactly).  Of what can't be taken back there are
+    two stacks: the older buckets hold the aggregate from them to the younger
+    end of their stack, the younger ones one for all of them; when the older
+    stack runs out the younger one is turned over.  So a time costs the same,
+    however long the frame is, but for results that are lists of the frame.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, aggregates: dict[str, tuple[str, str]], kinds: dict[str, str]):
+        self.aggregates, self.kinds = aggregates, kinds
+        kept = lambda *how: sorted({c for f, c in aggregates.values() if FRAME_FUNCTIONS[f][0] in how and c != "*"})
+        self.counted, self.summed, self.told_apart = kept("count", "sum", "distinct", "stack", "list"), kept("sum"), kept("distinct")
+        self.stacks = [(f, c) for f, c in aggregates.values() if FRAME_FUNCTIONS[f][0] == "stack"]
+        self.lists = any(FRAME_FUNCTIONS[f][0] == "list" for f, _ in aggregates.values())
+        self.buckets = handle.getMapState("buckets", "at long", "next long, held string, front string")
+        self.values = handle.getMapState("values", "name string, value string", "n long")
+        self.state = handle.getValueState("frame", "frame string")
+
+    def load(self) -> None:
+        empty = {"head": None, "tail": None, "flip": None, "back": None, "n": 0, "count": {}, "sum": {}, "distinct": {}}
+        self.now = json.loads(self.state.get()[0]) if self.state.exists() else empty
+
+    def save(self) -> None:
+        if self.now["head"] is None:
+            self.state.clear()
+        else:
+            self.state.update((json.dumps(self.now),))
+
+    def _bucket(self, at: int) -> tuple[int | None, dict, list | None]:
+        following, held, front = tuple(self.buckets.getValue((at,)))
+        return following, json.loads(held), json.loads(front) if front else None
+
+    def _put(self, at: int, following: int | None, held: dict, front: list | None) -> None:
+        self.buckets.updateValue((at,), (following, json.dumps(held), json.dumps(front) if front is not None else None))
+
+    def _both(self, older: list | None, later: list | None) -> list | None:
+        if older is None or later is None:
+            return later if older is None else older
+        return [a if b is None else b if a is None else _STAYS[f](a, b) for (f, _), a, b in zip(self.stacks, older, later)]
+
+    def _own(self, held: dict) -> list:
+        of = lambda f, v: None if not v else v[0] if f == "first" else v[-1] if f == "last" else (max if f == "max" else min)(v)
+        return [of(f, held["values"].get(c, [])) for f, c in self.stacks]
+
+    def _count(self, held: dict, sign: int) -> None:
+        now = self.now
+        now["n"] += sign * held["n"]
+        for c in self.counted:
+            now["count"][c] = now["count"].get(c, 0) + sign * len(held["values"].get(c, []))
+        for c in self.summed:
+            if _whole(self.kinds[c]):
+                now["sum"][c] = now["sum"].get(c, 0) + sign * sum(held["values"].get(c, []))
+            else:
+                exact = ExactSum(*now["sum"].get(c, ([], [0, 0, 0])))
+                for v in held["values"].get(c, []):
+                    exact.add(float(v), sign)
+                now["sum"][c] = [exact.partials, exact.strange]
+        for c in self.told_apart:
+            change: dict[str, int] = {}
+            for v in held["values"].get(c, []):
+                text = json.dumps(v, sort_keys=True)
+                change[text] = change.get(text, 0) + sign
+            for text, d in change.items():
+                before = self.values.getValue((c, text))[0] if self.values.containsKey((c, text)) else 0
+                if before + d:
+                    self.values.updateValue((c, text), (before + d,))
+                else:
+                    self.values.removeKey((c, text))
+                now["distinct"][c] = now["distinct"].get(c, 0) + (before + d > 0) - (before > 0)
+
+    def add(self, at: int, rows: list[str]) -> None:
+        """The rows of a time after all times held."""
+        parsed = [json.loads(r) for r in rows]
+        held = {"n": len(parsed), "values": {c: [r[c] for r in parsed if r.get(c) is not None] for c in self.counted}}
+        now = self.now
+        if now["tail"] is not None:
+            _, before, front = self._bucket(now["tail"])
+            self._put(now["tail"], at, before, front)
+        self._put(at, None, held, None)
+        now["head"], now["tail"] = at if now["head"] is None else now["head"], at
+        if self.stacks:
+            now["back"] = self._both(now["back"], self._own(held))
+        self._count(held, 1)
+
+    def drop(self, before: int) -> None:
+        """Times before this one leave."""
+        now = self.now
+        while now["head"] is not None and now["head"] < before:
+            following, held, _ = self._bucket(now["head"])
+            self.buckets.removeKey((now["head"],))
+            self._count(held, -1)
+            now["head"] = following
+            if following is None:
+                now |= {"tail": None, "flip": None, "back": None}
+            elif self.stacks and (now["flip"] is None or following > now["flip"]):
+                self._turn(following)
+
+    def _turn(self, at: int | None) -> None:
+        young = []
+        while at is not None:
+            following, held, _ = self._bucket(at)
+            young.append((at, following, held))
+            at = following
+        later = None
+        for at, following, held in reversed(young):
+            later = self._both(self._own(held), later)
+            self._put(at, following, held, later)
+        self.now |= {"flip": young[-1][0], "back": None}
+
+    def results(self) -> dict[str, Any]:
+        now, stacked, lists = self.now, {}, {}
+        if self.stacks:
+            front = self._bucket(now["head"])[2] if now["flip"] is not None and now["head"] <= now["flip"] else None
+            stacked = dict(zip(self.stacks, self._both(front, now["back"]) or []))
+        if self.lists:
+            at = now["head"]
+            while at is not None:
+                at, held, _ = self._bucket(at)
+                for c, v in held["values"].items():
+                    lists.setdefault(c, []).extend(v)
+        out = {}
+        for name, (function, column) in self.aggregates.items():
+            n = now["n"] if column == "*" else now["count"].get(column, 0)
+            if function == "count":
+                out[name] = n
+            elif function == "count_distinct":
+                out[name] = now["distinct"].get(column, 0)
+            elif function in ("sum", "avg"):
+                held = now["sum"].get(column)
+                total = None if not n else held if _whole(self.kinds[column]) else ExactSum(*held).value()
+                out[name] = total / n if n and function == "avg" else total
+            elif (function, column) in stacked:
+                out[name] = stacked[function, column]
+            else:
+                values = lists.get(column, [])
+                out[name] = ",".join(map(str, values)) if function == "listagg" else _unique(values) if function == "collect_distinct" else values
+        return out
 
 
 class _Rolling(StatefulProcessor):
-    """Rows of a frame per key, as JSON.
+    """A frame per key.
 
     Event time: a row's result leaves when the watermark has passed it, so
     that none of its peers can come.  Processing time: it leaves at once, and
     the rows of a batch are peers.
     """
 
-    def __init__(self, key: str, range_ms: int, aggregates: dict[str, tuple[str, str]], event_time: bool):
-        self.key, self.range, self.aggregates, self.event_time = key, range_ms, aggregates, event_time
+    def __init__(self, key: str, range_ms: int, aggregates: dict[str, tuple[str, str]], kinds: dict[str, str], event_time: bool):
+        self.key, self.range, self.aggregates, self.kinds, self.event_time = key, range_ms, aggregates, kinds, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at long, row string, done boolean")
+        self.frame = _Frame(handle, self.aggregates, self.kinds)
+        self.waiting = handle.getMapState("waiting", "at long", "rows array<string>")
 
-    def _results(self, key: Any, at: int, frame: list[str], peers: list[str]) -> pd.DataFrame:
-        held = [json.loads(r) for r in frame]
-        values = {name: FRAME_FUNCTIONS[function][0]([1 for _ in held] if column == "*" else [r[column] for r in held if r.get(column) is not None]) for name, (function, column) in self.aggregates.items()}
-        return pd.DataFrame([{self.key: key[0], "time_ms": at, "row": row} | values for row in peers], dtype=object)
+    def _out(self, key: Any, at: int, rows: list[str]) -> pd.DataFrame:
+        values = self.frame.results()
+        return pd.DataFrame([{self.key: key[0], "time_ms": at, "row": row} | values for row in rows], dtype=object)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if not self.event_time:
             now = timerValues.getCurrentProcessingTimeInMs()
             new = [r for pdf in rows for r in pdf["row"]]
-            kept = [(t, r, True) for t, r, _ in map(tuple, self.rows.get()) if t >= now - self.range] + [(now, r, True) for r in new]
-            self.rows.put(kept)
-            yield self._results(key, now, [r for _, r, _ in kept], new)
+            self.frame.load()
+            self.frame.drop(now - self.range)
+            # Two batches of one millisecond are a millisecond apart.
+            self.frame.add(max(now, (self.frame.now["tail"] or 0) + 1), new)
+            self.frame.save()
+            yield self._out(key, now, new)
             return
         watermark = timerValues.getCurrentWatermarkInMs()
+        came: dict[int, list[str]] = {}
         for pdf in rows:
             for at, row in zip(pdf["time_ms"].astype("int64"), pdf["row"]):
                 if at > watermark:  # later rows are dropped
-                    self.rows.appendValue((int(at), row, False))
-                    self.handle.registerTimer(int(at))
+                    came.setdefault(int(at), []).append(row)
+        for at, new in came.items():
+            held = list(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+            if not held:
+                self.handle.registerTimer(at)
+            self.waiting.updateValue((at,), (held + new,))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # Timers expire in the order of their times.
         at = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[0])
-        peers = [r for t, r, done in held if t == at and not done]
-        kept = [(t, r, done or t == at) for t, r, done in held if t > at - self.range]
-        frame = [r for t, r, _ in held if at - self.range <= t <= at]
-        self.rows.clear()
-        if kept:
-            self.rows.put(kept)
-        if peers:
-            yield self._results(key, at, frame, peers)
+        self.frame.load()
+        self.frame.drop(at - self.range)
+        rows = list(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+        if rows:
+            self.waiting.removeKey((at,))
+            self.frame.add(at, rows)
+            self.handle.registerTimer(at + self.range + 1)  # then these rows leave, though no others come
+            yield self._out(key, at, rows)
+        self.frame.save()
 
     def close(self) -> None:
         pass
@@ -255,7 +414,8 @@ def rolling_stream(stream: DataFrame, key: str, time: str | None, range_seconds:
     passed them.  None: processing time; results leave at once.
     aggregates: name to (one of FRAME_FUNCTIONS, column or `*`).  Columns: the
     key, time_ms, the row as JSON, and the aggregates.  The frame of a key is
-    kept as state, for as long as the range.
+    kept as state, for as long as the range; a row costs the same however many
+    rows its frame has, but for aggregates that are lists.
     """
     kinds = dict(stream.dtypes)
     for name, (function, column) in aggregates.items():
@@ -268,5 +428,5 @@ def rolling_stream(stream: DataFrame, key: str, time: str | None, range_seconds:
     timed = stream.withWatermark(time, watermark) if time else stream
     rows = timed.select(key, *([time, F.unix_millis(time).alias("time_ms")] if time else []), row.alias("row"))
     out = ", ".join([f"{key} {kinds[key]}", "time_ms long", "row string", *(f"{name} {FRAME_FUNCTIONS[f][1](kinds.get(c, 'long'))}" for name, (f, c) in aggregates.items())])
-    processor = _Rolling(key, int(range_seconds * 1000), aggregates, time is not None)
+    processor = _Rolling(key, int(range_seconds * 1000), aggregates, {c: kinds[c] for _, c in aggregates.values() if c != "*"}, time is not None)
     return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append" if time else "Update", timeMode="EventTime" if time else "ProcessingTime")
