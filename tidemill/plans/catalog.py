@@ -19,7 +19,7 @@ from tidemill.session import SETTINGS
 from tidemill.sinks import files
 from tidemill.sources import faker, formats
 from tidemill.sources.tables import Table, read_files
-from tidemill.streaming import changelog, stateful
+from tidemill.streaming import changelog, stateful, temporal
 from tidemill.streaming.windows import changes, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -759,3 +759,20 @@ def table_changes(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     after = rows.where("c_custkey % 5 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
     return changes(rows.where("c_custkey % 3 <> 0"), after, ["c_custkey"])
+
+
+@query("""
+    WITH e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events),
+    facts AS (SELECT * FROM e WHERE event_type <> 'purchase'),
+    versions AS (SELECT user_id, ms, arg_max(value, event_id) AS value FROM e WHERE event_type = 'purchase' GROUP BY user_id, ms),
+    passed AS (SELECT least((SELECT max(ms) FROM facts), (SELECT max(ms) FROM versions)) - 5000 AS upto)
+    SELECT f.event_id, f.user_id, v.ms AS since_ms, v.value AS held FROM (SELECT * FROM facts, passed WHERE ms <= upto) f ASOF LEFT JOIN versions v ON f.user_id = v.user_id AND f.ms >= v.ms""")
+def stream_temporal_join(spark, sf_dir):
+    """Every other event with the purchase of its user that was the latest at its own time: two streams, versions kept as state."""
+    events, paths = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type"), []
+    for name, rows in (("facts", events.where("event_type <> 'purchase'")), ("versions", events.where("event_type = 'purchase'"))):
+        paths.append(scratch(spark, name))
+        rows.repartitionByRange(4, "ts").write.parquet(paths[-1])
+    facts, versions = (replay(spark, p, events.schema, files_per_trigger=1000) for p in paths)
+    rows = run_once(spark, temporal.temporal_join(facts, versions, "user_id", "ts", "ts", seq="event_id"), "joined")
+    return rows.select(F.get_json_object("row", "$.event_id").cast("long").alias("event_id"), "user_id", "since_ms", F.get_json_object("version", "$.value").cast("double").alias("held"))
