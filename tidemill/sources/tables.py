@@ -14,6 +14,7 @@ from tidemill.operators.joins import RefreshedDimension
 from tidemill.sources import faker, formats
 from tidemill.sources.ddl import parse_schema, to_text
 from tidemill.sources.lookups import CLIENTS, KeyedDimension, cells_client
+from tidemill.sources.replay import START, lines_from, replay_lines
 
 
 @dataclass
@@ -73,20 +74,12 @@ def read_lines(spark: SparkSession, table: Table) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, table: Table) -> DataFrame:
-    """A text file's lines one after the other, over and over: one each source.sleep (10 ms), for cycle-num cycles or number-of-rows-subtask rows if given.
-
-    The file is one to replay, not a table: its lines are one value of one row, joined to a running number.
-    """
-    whole = spark.read.option("wholetext", "true").text(table.need("path"))
-    lines = whole.select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("_at", "value"))
-    n = lines.count()
-    if not n:
+    """A text file's lines one after the other, over and over: one each source.sleep (10 ms), for cycle-num cycles or number-of-rows-subtask rows if given."""
+    path, sleep = table.need("path"), float(table.options.get("source.sleep", "10 ms").split()[0])
+    if not any(True for _ in lines_from(path, dict(START), 1, 1)):
         raise ValueError("there is no line to replay")
-    sleep = table.options.get("source.sleep", "10 ms").split()[0]
-    rate = spark.readStream.format("rate").option("rowsPerSecond", max(1, round(1000 / float(sleep)))).load().withColumnRenamed("value", "_n")
-    ends = [int(table.options[k]) * (n if k == "cycle-num" else 1) for k in ("cycle-num", "number-of-rows-subtask") if k in table.options]
-    rate = rate.where(F.col("_n") < min(ends)) if ends else rate
-    return decode_lines(rate.join(F.broadcast(lines), F.col("_n") % n == F.col("_at")).select("value"), table)  # one file's lines
+    number = lambda k: int(table.options[k]) if k in table.options else None
+    return decode_lines(replay_lines(spark, path, 1000 / max(sleep, 0.01), number("cycle-num"), number("number-of-rows-subtask")), table)
 
 
 def stream_files(spark: SparkSession, table: Table) -> DataFrame:
