@@ -17,6 +17,7 @@ from tidemill.functions import json as js
 from tidemill.operators import aggregates, batches, joins, windows
 from tidemill.session import SETTINGS
 from tidemill.sinks import files
+from tidemill.sinks.keyvalue import KeyValueTable
 from tidemill.sources import faker, formats
 from tidemill.sources.tables import Table, read_files
 from tidemill.streaming import changelog, stateful, temporal
@@ -619,6 +620,17 @@ def kv_table_upsert(spark, sf_dir):
     return files.read_kv(spark, path, ["s_suppkey"])
 
 
+@query("""
+    SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) WHERE o_orderstatus <> 'F'""")
+def kv_table_changes(spark, sf_dir):
+    """Upserts and deletions in nine batches that come in no order: an order column guards the rows, runs are merged in levels."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_orderstatus") == "F").alias("gone"))
+    table = KeyValueTable(spark, scratch(spark, "kv"), ["o_custkey"], order="o_orderkey", gone="gone")
+    for number in range(9):
+        table.write(orders.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(9)) == number), number)
+    return table.read()
+
+
 @query("""
     SELECT 1000 AS n, 0 AS strange_ids, true AS a_fifth_unnamed, 0 AS levels_outside, 20 AS levels, 0 AS scores_outside, 0 AS times_outside, 0 AS ages_outside, 0 AS without_data""")
 def faker_scan(spark, sf_dir):

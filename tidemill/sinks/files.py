@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemill.sinks.batching import Writer
+from tidemill.sinks.keyvalue import KeyValueTable
 from tidemill.sources.formats import encode_csv, encode_json
 
 log = logging.getLogger("tidemill.rows")
@@ -56,20 +57,18 @@ def compact(spark: SparkSession, source: str, target: str, fmt: str = "orc", fil
     return files
 
 
-def kv_writer(path: str, keys: list[str], spark: SparkSession) -> Writer:
-    """Keep a table of the latest row by key as Parquet, a folder per batch; read_kv gives its current rows."""
+def kv_writer(path: str, keys: list[str], spark: SparkSession, order: str | None = None, gone: str | None = None) -> Writer:
+    """Keep a table of the latest row by key (see KeyValueTable); read_kv gives its current rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        KeyValueTable(spark, path, keys, order, gone).write(batch, number)
 
     return write
 
 
 def read_kv(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The rows of the latest batch of each key."""
-    rows = spark.read.parquet(f"{path}/batch=*")
-    columns = [c for c in rows.columns if c != "_batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_r")).select("_r.*")
+    """The current row of each key."""
+    return KeyValueTable(spark, path, keys).read()
 
 
 def _say(level: str, line: str) -> None:
