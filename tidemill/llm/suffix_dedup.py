@@ -12,11 +12,14 @@ anywhere else in the corpus, the same text included.
    repeat as they are.  The contexts left under a key are gathered in shards; a
    shard gets its suffix array by Larsson-Sadakane refinement and its common
    prefixes by Kasai's inequality.  A key with more contexts than a shard holds is cut
-   into several, whose suffix arrays are merged by binary search.  A key with
-   more than HOT bytes of contexts (such as a common line in ever other
-   surroundings) would not fit one task: the strings of its distinct contexts
-   are dealt by their own hashes instead.
-4. What repeats is joined back to every text with that context.
+   into several, whose suffix arrays are merged by binary search.
+4. A key with more than HOT bytes of contexts (such as a common line in ever
+   other surroundings) would not fit one task.  Its contexts are filed once more,
+   each start under the least k-gram by another hash, which equal strings share
+   too and which mostly lies in the surroundings; keys of one place are done
+   again, and the rest goes through steps 2 to 4.  Where that no longer makes
+   the contexts fewer, strings are counted by their own hashes.
+5. What repeats is joined back to every text with that context.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, written
-from tidemill.llm.hashing import prefix_sums, substring_hashes, utf8
+from tidemill.llm.hashing import mix, prefix_sums, substring_hashes, utf8
 
 GRAM = 16
 #: Starts looked at in one go; starts of one context; bytes of a shard, and of the contexts of a key that one task takes.
 STEP, CONTEXT, SHARD, HOT = 1 << 19, 4096, 1 << 18, 1 << 20
+#: How often contexts of hot keys are filed anew, and what share of them may be left each time to go on.
+LEVELS, LEFT = 12, 0.9
 #: Contexts that a task counts before it sends the counts on.
 COUNTED = 1_000_000
 
@@ -204,7 +209,7 @@ def _sliding(f: np.ufunc, x: np.ndarray, w: int, fill) -> np.ndarray:
     return f(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int, level: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, start, number of starts, key, places of the key's k-gram, 1 or 2 for more) of every context, some rows at a time."""
     lo, hi, w = int(offsets[0]), int(offsets[-1]), length - GRAM + 1
     most = np.uint64(2**64 - 1)
@@ -215,6 +220,8 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[
         sums = prefix_sums(part)
         at = np.arange(len(part) - GRAM + 1)
         grams = substring_hashes(sums, at, at + GRAM)
+        if level:  # another order of the same grams
+            grams = mix(grams + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
         least = _sliding(np.minimum, grams, w, most)
         n = len(least)
         # Starts whose string would reach into the next row are none.
@@ -243,11 +250,14 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[
         yield row, begin + a - offsets[row], size, key, 1 + np.isin(key, more)
 
 
-def _file(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _file(batches: Iterator[pa.RecordBatch], length: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Rows (k, fp, text, parent); the contexts of the texts, under keys within those of the parent."""
     for batch in batches:
         data, offsets = utf8(batch.column(2))
-        ids, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for row, start, size, key, places in contexts_of(data, offsets, length):
+        ids, fps, parents = (batch.column(c).to_numpy() for c in (0, 1, 3))
+        for row, start, size, key, places in contexts_of(data, offsets, length, level):
+            if level:
+                key = mix(key + parents[row].view(np.uint64) * np.uint64(3))
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(fps[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(places.astype(np.int32))], ["k", "fp", "start", "size", "key", "places"])
 
 
@@ -255,12 +265,12 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     """Contexts with a hash of their bytes.
 
     The first of equal contexts of a partition takes along the bytes and
-    counts one; a last row without a text counts the others.
+    counts as often as its text; a last row without a text counts the others.
     """
-    seen: dict[tuple[int, bytes], int] = {}
+    seen: dict[tuple[int, bytes], int] = {}  # those after the first
 
     def counts() -> Iterator[pa.RecordBatch]:
-        more = [(None, None, None, None, key, digest, n - 1, None) for (key, digest), n in seen.items() if n > 1]
+        more = [(None, None, None, None, key, digest, n, None) for (key, digest), n in seen.items() if n]
         for i in range(0, len(more), 20_000):
             yield rows(more[i : i + 20_000])
         seen.clear()
@@ -268,15 +278,15 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     rows = lambda out: pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r)) for r in out], _CUT)
     for batch in batches:
         out: list[tuple] = []
-        for k, fp, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        for k, fp, text, places, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist()):
             data = memoryview(text.as_buffer())
             fields = places.values
             for start, size, key in zip(*(fields.field(i).to_pylist() for i in range(3))):
                 held = data[start : start + size + length - 1]
                 digest = xxhash.xxh3_128_digest(held)
-                before = seen.get((key, digest), 0)
-                seen[key, digest] = before + 1
-                out.append((k, fp, start, size, key, digest, 0 if before else 1, None if before else bytes(held)))
+                before = seen.get((key, digest))
+                seen[key, digest] = 0 if before is None else before + times
+                out.append((k, fp, start, size, key, digest, times if before is None else 0, bytes(held) if before is None else None))
             if len(out) > 20_000:
                 yield rows(out)
                 out = []
@@ -287,7 +297,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     yield from counts()
 
 
-_CUT = pa.schema([("k", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bytes", pa.binary())])
+_CUT = pa.schema([("k", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bytes", pa.binary())])
 
 
 def _flags(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Iterator[pa.RecordBatch]:
@@ -339,15 +349,37 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.binary())], ["key", "digest", "flags"])
 
 
-def _hot_flags(cut: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """(key, digest, flags) of the contexts of hot keys that hold repeats: their strings are counted one by one."""
-    contexts = cut.join(hot, "key", "left_semi").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
+def _counted_flags(contexts: DataFrame, length: int) -> DataFrame:
+    """(key, digest, flags) of the contexts (key, digest, n, bytes) that hold repeats: their strings are counted one by one."""
     strings = written(contexts.mapInArrow(lambda it: _strings(it, length), "key long, digest binary, at int, string binary, n long"), "strings")
     again = strings.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
     hits = strings.join(again, "string").groupBy("key", "digest").agg(F.collect_list("at").alias("starts"))
     return hits.mapInArrow(_packed, "key long, digest binary, flags binary")
 
 
+def _within(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, digest, n, size, found) as (key, digest, flags): all starts of contexts that count two or more, else those found."""
+    for batch in batches:
+        flags = []
+        for n, size, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+            hit = np.full(size - length + 1, n > 1)
+            if found.is_valid and n == 1:
+                parts = found.values
+                for start, f in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist()):
+                    hit[start + np.flatnonzero(np.unpackbits(np.frombuffer(f, np.uint8)))] = True
+            flags.append(np.packbits(hit).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.binary())], ["key", "digest", "flags"])
+
+
+def _hot_flags(contexts: DataFrame, length: int, shard: int, hot: int, level: int, before: int) -> DataFrame:
+    """(key, digest, flags) of the contexts (key, digest, n, bytes) of hot keys that hold repeats: contexts are filed once more, as texts."""
+    half = lambda at: F.conv(F.hex(F.substring("digest", at, 8)), 16, -10).cast("long")
+    contexts = written(contexts.select("key", "digest", "n", F.octet_length("bytes").alias("size"), "bytes", half(1).alias("k"), half(9).alias("fp")), "hot-contexts")
+    found = _found(contexts.select("k", "fp", F.col("bytes").alias("text"), "n", F.col("key").alias("parent")), length, shard, hot, level, before)
+    both = contexts.select("k", "fp", "key", "digest", "n", "size").join(found, ["k", "fp"], "left").where("n > 1 or found is not null")
+    return both.select("key", "digest", "n", "size", "found").mapInArrow(lambda it: _within(it, length), "key long, digest binary, flags binary")
+
+
 def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The maximal removed stretches of each text."""
     for batch in batches:
@@ -362,27 +394,38 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["k", "fp", "begins", "ends"])
 
 
-def repeated_spans(texts: DataFrame, length: int, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """(k, fp, begins, ends): removed stretches of distinct texts; texts has k, fp (together a key) and text."""
-    filed = written(texts.select("k", "fp", "text").mapInArrow(lambda it: _file(it, length), "k long, fp long, start int, size int, key long, places int"), "contexts")
+def _found(texts: DataFrame, length: int, shard: int, hot: int, level: int = 0, before: int | None = None) -> DataFrame:
+    """(k, fp, found): of each text with repeats the starts of contexts and flags of the starts in them.
+
+    texts: k, fp (together a key), text, n (how often it counts) and parent (only texts of one parent are compared; of level 0, all).
+    """
+    filed = written(texts.select("k", "fp", "text", "parent").mapInArrow(lambda it: _file(it, length, level), "k long, fp long, start int, size int, key long, places int"), "contexts")
     again = filed.groupBy("key").agg(F.sum("places").alias("places")).where("places > 1").select("key")
     kept = filed.join(again, "key").groupBy("k", "fp").agg(F.collect_list(F.struct("start", "size", "key")).alias("places"))
-    cut = texts.join(kept, ["k", "fp"]).select("k", "fp", "text", "places").mapInArrow(lambda it: _cut(it, length), "k long, fp long, start int, size int, key long, digest binary, n int, bytes binary")
+    cut = texts.join(kept, ["k", "fp"]).select("k", "fp", "text", "places", "n").mapInArrow(lambda it: _cut(it, length), "k long, fp long, start int, size int, key long, digest binary, n long, bytes binary")
     cut = written(cut, "cut")
     # Dealt by key once; each partition has counted its own, so a common context comes at most twice from each.
     counted = cut.where("n > 0").select("key", "digest", "n", "bytes")
     held = counted.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("held"))
-    large = written(held.where(F.col("held") > hot).select("key"), "hot-keys")
-    n_hot = large.count()
-    few = maybe_broadcast(large, n_hot, BROADCAST_ROWS)
+    large = written(held.where(F.col("held") > hot), "hot-keys")
+    n_hot, now = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("held"), F.lit(0))).first()
+    few = maybe_broadcast(large.select("key"), n_hot, BROADCAST_ROWS)
     rest = counted.join(few, "key", "left_anti") if n_hot else counted
     once = rest.repartition("key").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
     flags = once.sortWithinPartitions("key").mapInArrow(lambda it: _flags(it, length, shard), "key long, digest binary, flags binary")
     if n_hot:
-        flags = flags.unionByName(_hot_flags(counted, few, length))
+        contexts = counted.join(few, "key", "left_semi").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
+        on = level < LEVELS and (before is None or now <= LEFT * before)
+        flags = flags.unionByName(_hot_flags(contexts, length, shard, hot, level + 1, now) if on else _counted_flags(contexts, length))
     flags = written(flags, "flags")
-    hits = cut.where("k is not null").select("k", "fp", "start", "key", "digest").join(flags, ["key", "digest"]).groupBy("k", "fp").agg(F.collect_list(F.struct("start", "flags")).alias("found"))
-    return hits.mapInArrow(lambda it: _spans(it, length), "k long, fp long, begins array<int>, ends array<int>")
+    hits = cut.where("k is not null").select("k", "fp", "start", "key", "digest").join(flags, ["key", "digest"])
+    return hits.groupBy("k", "fp").agg(F.collect_list(F.struct("start", "flags")).alias("found"))
+
+
+def repeated_spans(texts: DataFrame, length: int, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """(k, fp, begins, ends): removed stretches of distinct texts; texts has k, fp (together a key) and text."""
+    one = texts.select("k", "fp", "text", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("parent"))
+    return _found(one, length, shard, hot).mapInArrow(lambda it: _spans(it, length), "k long, fp long, begins array<int>, ends array<int>")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False, shard: int = SHARD, hot: int = HOT) -> DataFrame:
