@@ -6,9 +6,12 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
 from base64 import b64encode
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from typing import Any
 
 import pyarrow as pa
@@ -23,26 +26,78 @@ class FoundCache:
         self.max_rows, self.ttl, self.clock = max_rows, ttl_seconds, clock
         self.held: OrderedDict[Any, tuple[float, dict]] = OrderedDict()
 
-    def get(self, key: Any, find: Callable[[Any], dict | None]) -> dict | None:
+    def held_now(self, key: Any) -> dict | None:
         held = self.held.get(key)
         if held and self.clock() - held[0] < self.ttl:
             self.held.move_to_end(key)
             return held[1]
-        found = find(key)
+        return None
+
+    def put(self, key: Any, found: dict | None) -> None:
         self.held.pop(key, None)
         if found is not None and self.max_rows:
             self.held[key] = (self.clock(), found)
             while len(self.held) > self.max_rows > 0:
                 self.held.popitem(last=False)
+
+    def get(self, key: Any, find: Callable[[Any], dict | None]) -> dict | None:
+        if (held := self.held_now(key)) is not None:
+            return held
+        found = find(key)
+        self.put(key, found)
         return found
 
 
-def kv_lookup(left: DataFrame, key: str, client: Callable[[], Callable[[Any], dict | None]], columns: str, prefix: str = "", max_rows: int = 10_000, ttl_seconds: float = 600, inner: bool = False) -> DataFrame:
+class Many:
+    """A client that finds many keys with one request: many gives a dict of those found."""
+
+    def __init__(self, many: Callable[[list], dict[Any, dict]]):
+        self.many = many
+
+    def __call__(self, key: Any) -> dict | None:
+        return self.many([key]).get(key)
+
+
+#: Of a worker: client and cache of the lookups it has served lately, so that its later tasks go on with them.
+_SERVED: OrderedDict[str, tuple[Callable[[Any], dict | None], FoundCache]] = OrderedDict()
+SERVED = 8
+
+
+def _served(token: str, client: Callable[[], Callable[[Any], dict | None]], max_rows: int, ttl_seconds: float) -> tuple[Callable[[Any], dict | None], FoundCache]:
+    if token not in _SERVED:
+        _SERVED[token] = (client(), FoundCache(max_rows, ttl_seconds))
+        while len(_SERVED) > SERVED:
+            _SERVED.popitem(last=False)
+    _SERVED.move_to_end(token)
+    return _SERVED[token]
+
+
+def find_all(keys: list, find: Callable[[Any], dict | None], cache: FoundCache, batch_size: int, pool: ThreadPoolExecutor | None) -> dict[Any, dict | None]:
+    """What each distinct key finds: from the cache, or asked for, batch_size of them in a request where the client can."""
+    out = {k: cache.held_now(k) for k in dict.fromkeys(keys) if k is not None}
+    open_ = [k for k, found in out.items() if found is None]
+    if isinstance(find, Many):
+        parts = [open_[i : i + batch_size] for i in range(0, len(open_), batch_size)]
+        answers = pool.map(find.many, parts) if pool and len(parts) > 1 else map(find.many, parts)
+        found = {k: row for answer in answers for k, row in answer.items()}
+    else:
+        found = {k: find(k) for k in open_}
+    for k in open_:
+        out[k] = found.get(k)
+        cache.put(k, out[k])
+    return out
+
+
+def kv_lookup(left: DataFrame, key: str, client: Callable[[], Callable[[Any], dict | None]], columns: str, prefix: str = "", max_rows: int = 10_000, ttl_seconds: float = 600, inner: bool = False, batch_size: int = 500, in_flight: int = 4) -> DataFrame:
     """Add columns found by key in an outside store; nulls (or no row, if inner) where nothing is found.
 
-    client is called once in every task and gives a function from a key to a
-    row or None.  Null keys are not looked up.  left may be a stream.
+    client is called once in every worker and gives a function from a key to a
+    row or None, or Many: then the distinct keys of a batch that the worker's
+    cache has not are asked for batch_size at a time, in_flight requests at once.
+    Null keys are not looked up.  left may be a stream.
     """
+    if batch_size < 1 or in_flight < 1:
+        raise ValueError("batch_size and in_flight must be positive")
     from tidemill.sources.ddl import parse_schema, to_text
 
     kind = parse_schema(columns)
@@ -51,13 +106,18 @@ def kv_lookup(left: DataFrame, key: str, client: Callable[[], Callable[[Any], di
 
     types = to_arrow_schema(kind)
 
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, cache = client(), FoundCache(max_rows, ttl_seconds)
-        for batch in batches:
-            found = [None if k is None else cache.get(k, find) for k in batch.column(key).to_pylist()]
-            extra = [pa.array([(r or {}).get(f.name) for r in found], f.type) for f in types]
-            out = pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
-            yield out.filter(pa.array([r is not None for r in found], pa.bool_())) if inner else out
+        find, cache = _served(token, client, max_rows, ttl_seconds)
+        with ThreadPoolExecutor(in_flight) if isinstance(find, Many) and in_flight > 1 else nullcontext() as pool:
+            for batch in batches:
+                keys = batch.column(key).to_pylist()
+                known = find_all(keys, find, cache, batch_size, pool)
+                found = [known.get(k) for k in keys]
+                extra = [pa.array([(r or {}).get(f.name) for r in found], f.type) for f in types]
+                out = pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
+                yield out.filter(pa.array([r is not None for r in found], pa.bool_())) if inner else out
 
     return left.mapInArrow(run, schema)
 
@@ -158,10 +218,16 @@ class RestClient:
 
 
 def document_client(hosts: list[str], index: str, **auth) -> Callable[[], Callable[[str], dict | None]]:
-    """A client for kv_lookup that gets documents of an index by id."""
+    """A client for kv_lookup that gets documents of an index by id, many with one request."""
 
-    def start() -> Callable[[str], dict | None]:
+    def start() -> Many:
         rest = RestClient(hosts, **auth)
-        return lambda key: (rest.call(f"{index}/_doc/{key}") or {}).get("_source")
+
+        def many(keys: list) -> dict[Any, dict]:
+            ids = {str(k): k for k in keys}
+            answer = rest.call(f"{index}/_mget", json.dumps({"ids": list(ids)}).encode(), "application/json") or {}
+            return {ids[d["_id"]]: d["_source"] for d in answer.get("docs", []) if d.get("found") and d.get("_id") in ids}
+
+        return Many(many)
 
     return start
