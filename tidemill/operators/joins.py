@@ -21,16 +21,16 @@ def small_enough(dim: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool
     return found["n"] <= rows and found["bytes"] <= size
 
 
-def lookup_join(left: DataFrame, dim: DataFrame, on: dict[str, str], how: str = "left", null_keys_match: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, dim: DataFrame, on: dict[str, str], how: str = "left", null_keys_match: bool = False, broadcast_rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
     """Join each row with all rows of the dimension that have its keys.
 
     on: column of left to column of dim.  The dimension's rows and bytes are
-    counted, and it is broadcast if it is small; else both sides are shuffled.  left may be a stream.
+    counted (unless small tells), and it is broadcast if it is small; else both sides are shuffled.  left may be a stream.
     Columns of dim whose name left has too get the prefix dim_.
     """
     clash = {c: f"dim_{c}" for c in dim.columns if c in left.columns}
     renamed = dim.withColumnsRenamed(clash)
-    side = F.broadcast(renamed) if small_enough(dim, broadcast_rows) else renamed
+    side = F.broadcast(renamed) if (small_enough(dim, broadcast_rows) if small is None else small) else renamed
     conditions: list[Column] = []
     for a, b in on.items():
         right = side[clash.get(b, b)]
@@ -48,6 +48,7 @@ class RefreshedDimension:
     def __init__(self, read: Callable[[], DataFrame], ttl_seconds: float = 3600, max_rows: int = MAX_ROWS, tries: int = 3, wait_seconds: float = 1.0, clock: Callable[[], float] = time.monotonic):
         self.read, self.ttl, self.max_rows, self.tries, self.wait, self.clock = read, ttl_seconds, max_rows, tries, wait_seconds, clock
         self._frame: DataFrame | None = None
+        self._small: bool | None = None  # of the frame, found out by its first join
         self._loaded = 0.0
         self.loads = 0
 
@@ -56,7 +57,7 @@ class RefreshedDimension:
             fresh = self._load()
             if self._frame is not None:
                 self._frame.unpersist()
-            self._frame, self._loaded = fresh, self.clock()
+            self._frame, self._loaded, self._small = fresh, self.clock(), None
             self.loads += 1
         return self._frame
 
@@ -77,7 +78,10 @@ class RefreshedDimension:
         raise AssertionError
 
     def join(self, batch: DataFrame, on: dict[str, str], how: str = "left") -> DataFrame:
-        return lookup_join(batch, self.frame(), on, how, broadcast_rows=self.max_rows)
+        frame = self.frame()
+        if self._small is None:
+            self._small = small_enough(frame, self.max_rows)
+        return lookup_join(batch, frame, on, how, small=self._small)
 
 
 def lateral_explode(df: DataFrame, array: Column, alias: str) -> DataFrame:
