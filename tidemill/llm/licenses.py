@@ -35,6 +35,9 @@ TEMPLATES = {
         "This project is released under the Apache 2.0 license",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License, Version 2.0",
+        "Apache License 2.0",
+        "Licensed under Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License",
@@ -42,6 +45,11 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "This software is distributed under the terms of the MIT license",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "The MIT License (MIT)",
+        "see the MIT license",
+        "MIT licensed",
+        "Distributed under the MIT License",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3",
@@ -49,48 +57,98 @@ TEMPLATES = {
         "You should have received a copy of the GNU General Public License along with this program",
         "Licensed under the GNU GPL v3 or later",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License",
+        "GNU GPL v3",
+        "GPL v3",
+        "GPL v2",
+        "Distributed under GNU GPL v3",
+        "Licensed under GPLv2",
+        "Licensed under GPLv3",
+        "Licensed under the GPL",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "GNU Lesser General Public License",
+        "Licensed under the LGPL v2.1",
+        "Licensed under LGPLv3",
     ],
     "agpl": [
         "This work is licensed under the GNU Affero General Public License, version 3",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "GNU Affero General Public License",
+        "Licensed under the AGPL v3",
+        "Licensed under AGPLv3",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 2-Clause License",
+        "BSD 3-Clause License",
+        "Released under the BSD 2-Clause License",
+        "Licensed under the BSD license",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License, Version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License 2.0",
+        "Licensed under MPL 2.0",
     ],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
         "Licensed under CC BY 4.0",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "CC BY 4.0",
+        "Creative Commons Attribution 4.0 International",
     ],
     "cc-by-sa": [
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
         "Licensed under CC BY-SA 4.0",
+        "CC BY-SA 4.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "cc-by-nc": [
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
         "Licensed under CC BY-NC 4.0",
+        "CC BY-NC 4.0",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "cc0": [
         "To the extent possible under law, the author has waived all copyright and related rights; CC0 1.0 Universal public domain dedication",
         "This is free and unencumbered software released into the public domain",
+        "CC0 1.0 Universal",
+        "Released under CC0",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "isc": [
+        "ISC License",
+        "Licensed under the ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "epl": [
+        "Eclipse Public License 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "mit-or-apache": [
+        "Dual licensed under MIT or Apache-2.0",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option",
+        "SPDX-License-Identifier: MIT OR Apache-2.0",
     ],
     "proprietary": [
         "Copyright 2024 Example Corporation. All rights reserved",
         "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential",
+        "All rights reserved",
+        "Copyright 2024 Example. All rights reserved",
+        "Proprietary and confidential",
     ],
 }
 #: Whole notices by family, as they stand at the head of files; they train and are templates as well.
@@ -126,8 +184,8 @@ NOTICES = {
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
-#: Every notice has one of these stems.
-STEMS = ["licen", "permission", "redistribut", "copyright", "warrant", "rights", "unencumbered"]
+#: Marks of which every template holds one at least (a test sees to it), so that a paragraph without any is like none of them.
+STEMS = ["licen", "permission", "redistribut", "copyright", "warrant", "rights", "unencumbered", "gpl", "confidential", "cc by", "cc0", "creative commons"]
 #: Lines that use the same words and are no notice.
 OTHERS = [
     "The driver showed a license to the officer and went on", "A fishing license costs more this year", "The museum is open to the public on weekends",
