@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +44,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and reread it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Remove tables that `written` has made; nothing that is still to be computed may read them."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within it, Python workers are sent at most so many rows at a time: rows that hold texts or sets are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Memory that the driver's Python no longer uses goes back to the system: unreachable objects, Arrow's pool, the allocator's free lists."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow whose worker gives memory back at the end of a task: workers live on, and their next task is another stage's."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:

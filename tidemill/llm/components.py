@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import written
+from tidemill.llm.common import done_with, written
 
 
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("x")).join(least, "u").select(F.col("x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        done_with(old)
         done += 1
         if done == rounds:
             break

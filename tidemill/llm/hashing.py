@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; bounds the memory of a worker.  A longer text is cut between words.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, text_key, without, written
+from tidemill.llm.common import BROADCAST_ROWS, done_with, maybe_broadcast, released, small_batches, text_key, without, written
 from tidemill.llm.components import components
 from tidemill.llm.hashing import shingles, utf8, words_by_row
 
@@ -41,7 +41,9 @@ DIMENSIONS, FINE_BITS = 256, 20
 #: Counts from here on are only known to be as large.
 FULL = 255
 #: Points of a box; points under one shingle that are joined in one piece; pairs whose bounds are taken at once.
-LEAF, TILE, PAIRS = 32, 2048, 100_000
+LEAF, TILE, PAIRS = 32, 2048, 25_000
+#: Rows with a text, with two sets or with a vector that a worker is sent at once.
+TEXTS, SETS, VECTORS = 1000, 250, 4000
 #: Candidates of a pair of components in the second round, and how many times more in each round after it.
 FEW, MORE = 16, 16
 
@@ -77,7 +79,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def group_totals(docs: DataFrame, k: int) -> np.ndarray:
     """Totals of the fine groups over all documents: 2**FINE_BITS numbers, whatever the input's size."""
-    parts = docs.mapInArrow(lambda it: _totals(it, k), "slice int, counts binary").repartition("slice").mapInArrow(_added, "slice int, counts binary").collect()
+    parts = docs.mapInArrow(released(lambda it: _totals(it, k)), "slice int, counts binary").repartition("slice").mapInArrow(_added, "slice int, counts binary").collect()
     out = np.zeros((64, (1 << FINE_BITS) // 64), np.int64)
     for r in parts:
         out[r["slice"]] += np.frombuffer(r["counts"], np.int64)
@@ -106,7 +108,7 @@ def points(docs: DataFrame, k: int, percent: int) -> DataFrame:
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), _digests(sets), pa.array(vectors, pa.binary()), prefix], ["doc_id", "fp", "n", "p", "vector", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, n long, p binary, vector binary, prefix array<long>")
+    return docs.mapInArrow(released(run), "doc_id long, fp long, n long, p binary, vector binary, prefix array<long>")
 
 
 def shared_bound(vectors: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,9 +126,9 @@ def box_pairs(n: np.ndarray, vectors: np.ndarray, percent: int) -> Iterator[tupl
     least = np.minimum.reduceat(n, begins)
     for i in range(len(begins)):
         bound = shared_bound(upper, np.full(i + 1, i), np.arange(i + 1))
-        mine = np.arange(begins[i], min(begins[i] + LEAF, len(n)))
+        mine = np.arange(begins[i], min(begins[i] + LEAF, len(n)), dtype=np.int32)
         for j in np.flatnonzero(bound >= needed(least[i], least[: i + 1], percent)):
-            theirs = np.arange(begins[j], min(begins[j] + LEAF, len(n)))
+            theirs = np.arange(begins[j], min(begins[j] + LEAF, len(n)), dtype=np.int32)
             a, b = np.repeat(mine, len(theirs)), np.tile(theirs, len(mine))
             yield (a[a > b], b[a > b]) if i == j else (a, b)
 
@@ -142,8 +144,9 @@ def run_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def passing(n: np.ndarray, vectors: np.ndarray, labels: np.ndarray, side: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs of places those with different labels whose bound is large enough, and their bounds."""
-    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
     for a, b in pairs:
+        a, b = a.astype(np.int32, copy=False), b.astype(np.int32, copy=False)
         ok = (labels[a] != labels[b]) & ((side[a] != side[b]) | (side[a] == 2)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         a, b = a[ok], b[ok]
         for i in range(0, len(a), PAIRS):
@@ -288,7 +291,7 @@ def _opposed(labelled: DataFrame) -> DataFrame:
 def _candidates(entries: DataFrame, vectors: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (a, b, more) from entries (token, key, side, p, n, label)."""
     full = entries.join(vectors.hint("merge"), "p").select("token", "key", "side", "p", F.col("n").cast("long").alias("n"), "vector", "label")
-    met = full.repartition("token", "key").sortWithinPartitions("token", "key", "n").mapInArrow(lambda it: _join(it, percent, most), "a binary, b binary, more boolean")
+    met = full.repartition("token", "key").sortWithinPartitions("token", "key", "n").mapInArrow(released(lambda it: _join(it, percent, most)), "a binary, b binary, more boolean")
     return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
@@ -302,7 +305,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, k: int, per
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())], ["p", "set"])
 
-    held = written(texts.mapInArrow(sets, "p binary, set binary").dropDuplicates(["p"]), "sets")
+    with small_batches(docs.sparkSession, TEXTS):
+        held = written(texts.mapInArrow(released(sets), "p binary, set binary").dropDuplicates(["p"]), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +319,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, k: int, per
 
     one = held.select(F.col("p").alias("a"), F.col("set").alias("x"))
     two = held.select(F.col("p").alias("b"), F.col("set").alias("y"))
-    return written(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "links")
+    with small_batches(docs.sparkSession, SETS):
+        links = written(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(released(check), "a binary, b binary"), "links")
+    done_with(held, rows)
+    return links
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -324,7 +331,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _prepared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Points of all rows; of each class of equal sets its holder, its vector, and its entries."""
-    every = written(points(docs, k, percent), "points")
+    with small_batches(docs.sparkSession, TEXTS):
+        every = written(points(docs, k, percent), "points")
     # Rows with equal sets collapse before the shuffle, so a set that fills the corpus moves once per partition.
     filled = every.where("n > 0")
     classes = written(filled.groupBy("p").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "fp")).alias("row")).select("p", "least", "row.doc_id", "row.fp"), "classes")
@@ -335,7 +343,8 @@ def _prepared(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
 def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points of all rows, classes of equal sets, and the component (id, component) of every class with a link."""
     every, classes, vectors, met = _prepared(docs, k, percent)
-    done = written(_candidates(_tiled(met), vectors, percent, 0).select("a", "b"), "pairs")
+    with small_batches(docs.sparkSession, VECTORS):
+        done = written(_candidates(_tiled(met), vectors, percent, 0).select("a", "b"), "pairs")
     links, most, open_ = _verified(done, docs, classes, k, percent), FEW, None
     # Two rounds bring nearly all of a group together, which is what later rounds need to leave out.
     labels, whole = written(components(links, 2), "labels"), False
@@ -344,7 +353,8 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
         if open_ is not None:
             labelled = labelled.join(open_, "label", "left_semi")
         found = _candidates(_opposed(labelled), vectors, percent, most)
-        found = written(found.join(done.withColumn("old", F.lit(True)), ["a", "b"], "left"), "pairs")
+        with small_batches(docs.sparkSession, VECTORS):
+            found = written(found.join(done.withColumn("old", F.lit(True)), ["a", "b"], "left"), "pairs")
         new = found.where("old is null").select("a", "b")
         linked = _verified(new, docs, classes, k, percent)
         if not linked.isEmpty():
@@ -367,7 +377,8 @@ def similar_pairs(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataF
     """
     docs = _rows(docs)
     every, classes, vectors, met = _prepared(docs, k, percent)
-    pairs = written(_candidates(_opposed(met.withColumn("label", F.col("p"))), vectors, percent, None), "pairs")
+    with small_batches(docs.sparkSession, VECTORS):
+        pairs = written(_candidates(_opposed(met.withColumn("label", F.col("p"))), vectors, percent, None), "pairs")
     return _verified(pairs, docs, classes, k, percent), every.select("doc_id", "fp", "p", "n")
 
 
@@ -390,7 +401,9 @@ def similar_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     doc_id that links lead to (rows without one link as others do, but give no
     id).  Null and wordless texts have empty sets and link with nothing.  Rows
     with equal sets are linked with each other.  Rows that repeat a doc_id are
-    one document each, with a set of its own.
+    one document each, with a set of its own.  Long texts count whole.  An
+    empty table gives an empty result; columns besides doc_id and text are not
+    read, whatever their names.
     """
     out = _grouped(docs, k, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
