@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import released
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A word with the spaces before it; no piece reaches beyond (checked when a model is read).
@@ -415,7 +417,9 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dro
     """doc_id, ids, n_bytes (of the text), lossless of every row, from its whole text.
 
     Null and empty texts have no pieces.  lossless tells that the ids decode
-    to the text's very bytes.  Equal rows get equal ids.  The model is read by
+    to the text's very bytes.  Equal rows get equal ids; a null doc_id draws
+    as 0 does.  Long texts are encoded word by word, whole.  An empty table
+    gives no rows; columns besides doc_id and text are not read.  The model is read by
     the driver and sent to the executors; its size is that of the vocabulary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.read(model_path))
@@ -443,11 +447,11 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, seed: int = 17, dro
         if rows:
             yield done(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_bytes long, lossless boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, ids array<int>, n_bytes long, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, text of rows with ids; null ids give a null text."""
+    """doc_id, text of rows with ids; null ids give a null text, no ids an empty one.  Rows come as often as they are there; other columns are not read."""
     shared = encoded.sparkSession.sparkContext.broadcast(Pieces.read(model_path).bytes_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

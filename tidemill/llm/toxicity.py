@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import held_out, text_key, without, written
+from tidemill.llm.common import give_back, held_out, released, text_key, without, written
 
 #: Letters of a term, and the pattern that takes so many of each word.
 STEM = 8
@@ -363,7 +363,7 @@ def _bagged(docs: DataFrame, terms: Terms) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], ["doc_id", "fp", "terms", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("fp"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, terms binary, counts binary")
+    return rows.mapInArrow(released(run), "doc_id long, fp long, terms binary, counts binary")
 
 
 def _unpacked(column: pa.Array) -> list[np.ndarray]:
@@ -390,7 +390,7 @@ def document_frequencies(bags: DataFrame, n: int) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     schema = "slice int, counts binary"
-    parts = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in bags.select("terms").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()}
+    parts = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in bags.select("terms").mapInArrow(released(count), schema).repartition("slice").mapInArrow(released(add), schema).collect()}
     rows = int(parts.pop(-1, np.zeros(1))[0])
     return rows, np.concatenate([parts[s] for s in sorted(parts)]) if parts else np.zeros(n, np.int64)
 
@@ -424,7 +424,7 @@ def _fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tupl
             hashes = [np.array([term_hash(t) for t in c], np.uint64).view(np.int64) for c in found]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(1), "terms": pa.array(hashes, pa.list_(pa.int64())), "counts": pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))})
 
-    held = written(chosen.mapInArrow(bags, "doc_id long, toxic int, terms array<long>, counts array<int>"), "examples")
+    held = written(chosen.mapInArrow(released(bags), "doc_id long, toxic int, terms array<long>, counts array<int>"), "examples")
     table = held.toArrow()  # bounded by per_class
     toxic, ids = table["toxic"].to_numpy().astype(np.int8), table["doc_id"].to_numpy().copy()
     if not {0, 1} <= set(toxic.tolist()):
@@ -474,11 +474,13 @@ def _fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tupl
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p for p, _ in found], pa.float64())], ["toxic", "vote"])
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    voted = held.select("toxic", "terms", "counts").repartition(tasks).mapInArrow(votes, "toxic int, vote double").toArrow()
+    voted = held.select("toxic", "terms", "counts").repartition(tasks).mapInArrow(released(votes), "toxic int, vote double").toArrow()
     y, vote = voted["toxic"].to_numpy().astype(float), voted["vote"].to_numpy()
     order = np.lexsort((vote, y))
     y, vote = y[order], vote[order]
     slope, shift = _calibration(_logit(vote), y, np.where(y == 1, class_weight[1], class_weight[0]))
+    del voted, place, counts, has, order
+    give_back()
     return Model(learnt, slope, shift, shared), all_bags
 
 
@@ -493,7 +495,7 @@ def _score_bags(bags: DataFrame, model: Model) -> DataFrame:
                 found = _scores(shared.value, slope, shift, list(zip(_unpacked(part.column(2)), _unpacked(part.column(3)))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([near for _, near in found], pa.list_(pa.int64()))], ["doc_id", "fp", "score", "neighbours"])
 
-    return bags.mapInArrow(run, "doc_id long, fp long, score double, neighbours array<long>")
+    return bags.mapInArrow(released(run), "doc_id long, fp long, score double, neighbours array<long>")
 
 
 def _unscored(docs: DataFrame) -> DataFrame:
@@ -513,7 +515,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from labelled rows that are not held out, then score all: doc_id, held_out, score, predicted, neighbours."""
+    """Learn from labelled rows that are not held out, then score all: doc_id, held_out, score, predicted, neighbours.
+
+    One row for each row of docs, repeated ones too, each by its own whole
+    text.  Null, empty and wordless texts take the rate of examples without
+    terms.  Labels other than 0 and 1, and of ids that docs has not, teach
+    nothing; an id labelled both ways is toxic.  A null doc_id is neither
+    labelled nor held out.  Without labels of both classes every score is 0.
+    An empty table gives an empty result; columns besides doc_id and text are
+    not read.
+    """
     model, bags = _fit(docs, labels)
     out = _unscored(docs) if model is None else _score_bags(bags, model)
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours")
@@ -526,4 +537,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     also without a doc_id.  Without a model nothing goes.
     """
     model, bags = _fit(docs, labels)
-    return docs if model is None else without(docs, _score_bags(bags, model).where(F.col("score") >= threshold))
+    if model is None:
+        return docs
+    kept = without(docs, _score_bags(bags, model).where(F.col("score") >= threshold))
+    # What goes is written by now, and nothing reads the examples again.
+    model.shared.destroy()
+    del model, bags
+    give_back()
+    return kept
