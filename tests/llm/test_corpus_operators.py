@@ -348,6 +348,21 @@ def test_repeats_under_common_keys(frame, hot, shard):
     assert sorted(got, key=str) == brute_repeats(rows, 50)
 
 
+def test_hot_keys_go_through_suffix_arrays(frame, monkeypatch):
+    # A common line in ever other surroundings: filed anew, its contexts fall apart and no strings are counted.
+    rng = random.Random(11)
+    other = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line = other(24)
+    tails = [other(50) for _ in range(4)]
+    rows = [(i, other(60) + line + (tails[i % 4] if i % 3 == 0 else other(50))) for i in range(60)]
+    levels = []
+    inner = suffix_dedup._found
+    monkeypatch.setattr(suffix_dedup, "_found", lambda texts, length, shard, hot, level=0, before=None: levels.append(level) or inner(texts, length, shard, hot, level, before))
+    monkeypatch.setattr(suffix_dedup, "_counted_flags", lambda *a: pytest.fail("strings were counted"))
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(frame(rows), 50, hot=2000).collect()]
+    assert sorted(got, key=str) == brute_repeats(rows, 50) and len(levels) > 1
+
+
 # ---- classifiers ----
 
 
@@ -785,6 +800,27 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, odd, tmp_path):
+    # Nulls in every column, empty and very long texts, repeated rows and ids, columns whose names clash.
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    nulls = odd.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in odd.dtypes])
+    passage = table(spark, DATA, "benchmark").where("length(text) > 100").first().text
+    leak = odd.where("doc_id = 5").withColumn("doc_id", F.lit(20).cast("long")).withColumn("text", F.lit(f"so it goes {passage} and on"))
+    docs = odd.unionByName(nulls).unionByName(leak)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        table(spark, DATA, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    kept = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, str(tmp_path))
+        assert name == "encoding" or kept.columns == docs.columns
+        if name == "exact_dedup":  # (4, word) and (5 and 9, a b) were repeated; the null and the empty text are one
+            assert sorted((r.doc_id, (r.text or "")[:4]) for r in kept.select("doc_id", "text").collect() if r.doc_id is not None and r.doc_id < 10) == [(2, ""), (3, "  \n\t"), (4, "word"), (6, "long"), (7, "xxxx"), (8, "É ÀÇ"), (9, "a b")]
+        kept = kept.cache()
+    out = {r.doc_id: r for r in kept.collect()}
+    assert set(out) == {None, 2, 3, 4, 6, 7, 8, 9} and all(r.lossless for r in out.values()) and out[2].n_pieces == 0
+
+
 def test_similar_groups_on_odd_rows(odd):
     got = jaccard_join.similar_groups(odd).collect()
     assert len(got) == odd.count()
@@ -824,3 +860,22 @@ def test_pipeline_stage_by_stage(spark, texts):
     decoded = {r.doc_id: r.text for r in piece_dropout.decode(kept).collect()}
     assert decoded == {i: texts[i] for i in decoded}
     assert corpus_pipeline.run(spark, DATA).select(F.count(F.lit(1))).first()[0] == len(decoded)
+
+
+SHORT_NOTICES = {
+    "All rights reserved.": "proprietary", "(c) 2020 Foo. All rights reserved.": "proprietary", "GPL v3": "gpl", "Distributed under GNU GPL v3": "gpl", "Licensed under GPLv2": "gpl", "MIT License\nCopyright (c) 2020 Foo": "mit", "see the MIT license": "mit",
+    "Dual licensed under MIT or Apache-2.0": "mit-or-apache", "Eclipse Public License 2.0": "epl", "Released under the BSD 2-Clause License.": "bsd", "BSD 3-Clause License": "bsd", "Licensed under the Apache License, Version 2.0": "apache", "Apache License\nVersion 2.0, January 2004": "apache", "SPDX-License-Identifier: MPL-2.0": "mpl",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc", "CC BY-SA 4.0": "cc-by-sa", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl", "Licensed under AGPLv3": "agpl", "Released under CC0": "cc0",
+}
+
+
+def test_short_notices_are_named(frame, license_model):
+    others = licenses.OTHERS + ["The general public has the right to know", "He was MIT educated and wrote about software", "All the reserved seats were sold", "Version 2.0 of the apache plan"]
+    rows = [*enumerate(SHORT_NOTICES), *((100 + i, t) for i, t in enumerate(others)), *((200 + i, f"Some prose stands before it and has nothing to do with it.\n\n{t}\n\nMore prose after it.") for i, t in enumerate(SHORT_NOTICES))]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(frame(rows), license_model).collect()}
+    wrong = {t: got[i + k] for k in (0, 200) for i, (t, want) in enumerate(SHORT_NOTICES.items()) if got[i + k] != want}
+    assert not wrong and {got[100 + i] for i in range(len(others))} == {"unknown"}
+
+
+def test_every_template_has_a_mark():
+    assert all(any(s in t.lower() for s in licenses.STEMS) for _, t in licenses.known_texts())

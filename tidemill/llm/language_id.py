@@ -135,7 +135,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
     was learnt.  Among equal scores the language first in alphabetical order wins.
-    The score is the winner's posterior probability.
+    The score is the winner's posterior probability.  Equal texts get equal
+    results, and rows that repeat come as often as they are there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
 
@@ -151,6 +152,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that are not held out, then identify all: doc_id, held_out, lang_pred, score."""
+    """Learn from the rows that are not held out, then identify all: doc_id, held_out, lang_pred, score.
+
+    One row for each row of docs, repeated ones too; a null doc_id is not held
+    out.  Rows with a null lang teach nothing.  Texts are read whole, however
+    long.  An empty table gives an empty result; other columns than doc_id,
+    text and lang are not read, whatever their names.
+    """
     model = fit(docs.where(~held_out("doc_id")))
     return identify(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -107,7 +107,10 @@ def scan_version(docs: DataFrame, folder: str, rule_version: str = RULE_VERSION)
 
     Only pairs of blob and rule version that no earlier version had are
     scanned; they are added to the ledger.  A scan that fails adds nothing, or
-    rows that the next one finds and leaves out.
+    rows that the next one finds and leaves out.  Null texts count as empty
+    ones; rows that repeat, or share a text, share one blob and all get its
+    findings.  Texts are scanned whole.  An empty table adds nothing; columns
+    besides doc_id and text are not read.
     """
     paths = blobs(docs)
     scan_blobs(paths, read_ledger(docs.sparkSession, folder), rule_version).write.mode("append").option("compression", "zstd").parquet(folder)
