@@ -4,12 +4,15 @@ A change log is a stream of rows with an op: +I and -D for rows of new and
 gone keys, -U and +U for the two halves of an update.  Each operator keeps its
 state by key and the row that it last gave, and gives a change for each
 micro-batch in which that row has changed.  Operators can be chained, so that
-an aggregate over the latest rows takes back what a later row replaces.
+an aggregate over the latest rows takes back what a later row replaces.  Keys
+are dealt over groups and Python is called once for a group of a batch; a key
+that has rows in it costs one read and one write of its state.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from decimal import Decimal
 from typing import Any
@@ -68,146 +71,297 @@ def _plain(value: Any) -> Any:
 
 
 NUMBERS = (*WHOLE, T.FloatType, T.DoubleType)
+#: Keys are dealt over so many groups; Python is called once for each group of a batch, not once for each key.
+GROUPS = 4096
+#: So many values of a set stay in their key's own row; longer sets are dealt over parts of about as many.
+PART = 256
+#: Rows of a frame handed on.
+FRAME = 10_000
 
 
 def _flagged(df: DataFrame, keys: list[str], values: list[str], op: Column | None = None) -> DataFrame:
-    """keys; the values as value0, value1, ... as pandas keeps only names that Python allows; of numbers also whether they are null, as it makes nulls NaN."""
+    """The keys' group; keys and values as key0, ..., value0, ... as pandas keeps only names that Python allows; of numbers also whether they are null, as it makes nulls NaN."""
     kinds = {f.name: f.dataType for f in df.schema}
     number = lambda c: isinstance(kinds[c], NUMBERS)
-    filled = [(F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) if number(c) else F.col(c)).alias(f"value{i}") for i, c in enumerate(values)]
-    flags = [F.col(c).isNull().alias(f"null{i}") for i, c in enumerate(values) if number(c)]
-    return df.select(*keys, *filled, *flags, *([op.alias("row_op")] if op is not None else []))
+    named = [(f"{side}{i}", c) for side, columns in (("key", keys), ("value", values)) for i, c in enumerate(columns)]
+    filled = [(F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) if number(c) else F.col(c)).alias(name) for name, c in named]
+    flags = [F.col(c).isNull().alias(f"null_{name}") for name, c in named if number(c)]
+    return df.select(F.pmod(F.hash(*keys), F.lit(GROUPS)).alias("row_group"), *filled, *flags, *([op.alias("row_op")] if op is not None else []))
 
 
-def _values(pdf: pd.DataFrame, i: int) -> list:
-    """The i-th column's values, None for null."""
-    if f"null{i}" in pdf:
-        return [None if null else v.item() for v, null in zip(pdf[f"value{i}"].to_numpy(), pdf[f"null{i}"])]
-    return [_plain(v) for v in pdf[f"value{i}"]]
+def _values(pdf: pd.DataFrame, name: str) -> list:
+    """A column's values, None for null, one NaN for all."""
+    column = pdf[name]
+    if f"null_{name}" in pdf:
+        values = column.to_numpy().tolist()
+        if column.dtype.kind == "f":
+            values = [math.nan if v != v else v + 0.0 for v in values]
+        return [None if null else v for v, null in zip(values, pdf[f"null_{name}"])]
+    return [v if v is None or type(v) is str else _plain(v) for v in column]
+
+
+def _same(a: Any, b: Any) -> bool:
+    return a == b or a != a and b != b
+
+
+def _order(v: Any) -> tuple:
+    """Nulls first, NaN last."""
+    return (False, False, 0) if v is None else (True, v != v, 0 if v != v else v)
 
 
 class _Changing(StatefulProcessor):
-    """The last row given by a key, and the change from it to the next."""
+    """The rows of a group's keys, each with the row that its key last gave, and the change from it to the next."""
 
     columns: list[str]
     keys: list[str]
     update_before: bool
 
-    def _init_last(self, handle: StatefulProcessorHandle, schema: str) -> None:
-        self.last = handle.getValueState("last", schema)
+    def _init_rows(self, handle: StatefulProcessorHandle, keys: str, schema: str) -> None:
+        self.rows = handle.getMapState("rows", keys, schema)
 
-    def _change(self, key: tuple, new: tuple | None) -> Iterator[pd.DataFrame]:
-        old = tuple(self.last.get()) if self.last.exists() else None
-        same = old is not None and new is not None and all(a == b or a != a and b != b for a, b in zip(old, new))
+    def _by_key(self, frames: list[pd.DataFrame]) -> dict[tuple, list[int]]:
+        """The numbers of each key's rows."""
+        out: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*([v for pdf in frames for v in _values(pdf, f"key{k}")] for k in range(len(self.keys))))):
+            out.setdefault(key, []).append(i)
+        return out
+
+    def _change(self, key: tuple, old: tuple | None, new: tuple | None) -> list[tuple]:
+        same = old is not None and new is not None and all(_same(a, b) for a, b in zip(old, new))
         if same or old is None and new is None:
-            return
-        if new is None:
-            self.last.clear()
-            rows = [("-D", old)]
-        else:
-            self.last.update(new)
-            rows = [("+I", new)] if old is None else [("-U", old), ("+U", new)][0 if self.update_before else 1 :]
-        yield pd.DataFrame([(op, *key, *row) for op, row in rows], columns=["op", *self.keys, *self.columns], dtype=object)
+            return []
+        rows = [("-D", old)] if new is None else [("+I", new)] if old is None else [("-U", old), ("+U", new)][0 if self.update_before else 1 :]
+        return [(op, *key, *row) for op, row in rows]
+
+    def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(rows), FRAME):
+            yield pd.DataFrame(rows[i : i + FRAME], columns=["op", *self.keys, *self.columns], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-class _Group(_Changing):
-    def __init__(self, keys: list[str], aggregates: dict[str, tuple[str, str]], kinds: dict[str, T.DataType], out: str, update_before: bool):
-        self.keys, self.aggregates, self.kinds, self.out, self.update_before = keys, aggregates, kinds, out, update_before
-        self.columns = list(aggregates)
-        self.values = sorted({c for f, c in aggregates.values() if c != "*"})
-        self.sets = sorted({c for f, c in aggregates.values() if f in ("min", "max", "count_distinct")})
+class _Sum:
+    """Of a column: how many values aren't null; where it is added up (kind), their sum as a whole number or as doubles, and how many are strange."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._init_last(handle, self.out)
-        self.n = handle.getValueState("n", "n long")
-        # Of each column: its values that aren't null, their sum as a whole number or as doubles, how many are strange.
-        self.sums = handle.getMapState("sums", "name string", "n long, whole decimal(38,0), partials array<double>, strange array<long>")
-        self.held = {c: handle.getMapState(f"values_{i}", f"value {self.kinds[c].simpleString()}", "n long") for i, c in enumerate(self.sets)}
-        # Distinct values, least and greatest of each such column.
-        self.ends = {c: handle.getValueState(f"ends_{i}", f"n long, low {self.kinds[c].simpleString()}, high {self.kinds[c].simpleString()}") for i, c in enumerate(self.sets)}
-
-    def _sum(self, name: str, values: list, signs: list[int]) -> tuple[int, Any]:
-        kind = self.kinds[name]
-        n, whole, partials, strange = tuple(self.sums.getValue((name,))) if self.sums.containsKey((name,)) else (0, Decimal(0), [], [0, 0, 0])
-        exact, whole = ExactSum(partials, strange), int(whole)
-        for v, s in zip(values, signs):
-            if v is not None:
-                n += s
-                if isinstance(kind, WHOLE):
-                    whole += s * v
-                elif isinstance(kind, (T.FloatType, T.DoubleType)):
-                    exact.add(v, s)
-        self.sums.updateValue((name,), (n, Decimal(whole), exact.partials, exact.strange))
-        return n, whole if isinstance(kind, WHOLE) else exact.value()
-
-    def _set(self, name: str, values: list, signs: list[int]) -> tuple[int, Any, Any]:
-        n, low, high = tuple(self.ends[name].get()) if self.ends[name].exists() else (0, None, None)
-        change: dict[Any, int] = {}
-        for v, s in zip(values, signs):
-            if v is not None:
-                change[v] = change.get(v, 0) + s
-        gone = False
+    def __init__(self, kind: T.DataType | None, held: list | None):
+        self.whole, self.real = isinstance(kind, WHOLE), isinstance(kind, (T.FloatType, T.DoubleType))
+        self.n, *total = held or (0,)
+        self.total, self.exact = int(total[0]) if self.whole and total else 0, ExactSum(*total) if self.real else None
+
+    @staticmethod
+    def schema(i: int, kind: T.DataType | None) -> str:
+        return f"n{i} long" + ("" if kind is None else f", total{i} decimal(38,0)" if isinstance(kind, WHOLE) else f", total{i} array<double>, strange{i} array<long>")
+
+    @staticmethod
+    def wide(kind: T.DataType | None) -> int:
+        return 1 if kind is None else 2 if isinstance(kind, WHOLE) else 3
+
+    def add(self, v: Any, sign: int) -> None:
+        self.n += sign
+        if self.whole:
+            self.total += sign * v
+        elif self.real:
+            self.exact.add(v, sign)
+
+    def value(self) -> Any:
+        return self.total if self.whole else self.exact.value()
+
+    def held(self) -> tuple:
+        return (self.n, Decimal(self.total)) if self.whole else (self.n, self.exact.partials, self.exact.strange) if self.real else (self.n,)
+
+
+class _Set:
+    """Of a column: how many distinct values there are, the least and the greatest, and how often each value is held.
+
+    A short set stands in its key's row.  A long one is dealt by value over
+    parts, whose number doubles as it grows, so that a change reads and writes
+    a few hundred values however long the set is, and many changes of a batch
+    share that.
+    """
+
+    def __init__(self, held: list | None):
+        self.n, self.low, self.high, self.parts, values, counts = held or (0, None, None, 0, [], [])
+        self.items = dict(zip(values, counts))
+
+    @staticmethod
+    def schema(i: int, kind: str) -> str:
+        return f"kinds{i} long, low{i} {kind}, high{i} {kind}, parts{i} int, held{i} array<{kind}>, counts{i} array<long>"
+
+    @staticmethod
+    def part(v: Any, parts: int) -> int:
+        return zlib.crc32(repr(v).encode()) % parts
+
+    def read(self, state: Any, key: tuple, part: int) -> dict:
+        held = state.getValue((*key, part))
+        return dict(zip([math.nan if v != v else v for v in held[0]], held[1])) if held else {}
+
+    @staticmethod
+    def write(state: Any, key: tuple, part: int, items: dict) -> None:
+        state.updateValue((*key, part), (list(items), list(items.values())))
+
+    def _apply(self, items: dict, change: dict) -> set:
+        """Take changes over; the values that are gone."""
+        gone = set()
         for v, d in change.items():
-            if not d:
-                continue
-            before = self.held[name].getValue((v,))[0] if self.held[name].containsKey((v,)) else 0
+            before = items.get(v, 0)
             after = before + d
-            n += (after > 0) - (before > 0)
+            self.n += (after > 0) - (before > 0)
             if after:
                 # A value taken back before it came counts below nought until it comes.
-                self.held[name].updateValue((v,), (after,))
+                items[v] = after
             else:
-                self.held[name].removeKey((v,))
+                del items[v]
             if after > 0:
-                low, high = v if low is None or v < low else low, v if high is None or v > high else high
-            else:
-                gone |= v in (low, high)
-        if gone:  # only then is the whole set read
-            there = [k[0] for k, c in self.held[name].iterator() if c[0] > 0]
-            low, high = min(there, default=None), max(there, default=None)
-        self.ends[name].update((n, low, high))
-        return n, low, high
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
-        frames = list(rows)
-        signs = [SIGNS[op] for pdf in frames for op in pdf["row_op"]]
-        n = (self.n.get()[0] if self.n.exists() else 0) + sum(signs)
-        columns = {c: [v for pdf in frames for v in _values(pdf, i)] for i, c in enumerate(self.values)}
-        if n:
-            self.n.update((n,))
+                self.widen(v)
+            elif before > 0:
+                gone.add(v)
+        return gone
+
+    def widen(self, v: Any) -> None:
+        if self.low is None or _order(v) < _order(self.low):
+            self.low = v
+        if self.high is None or _order(v) > _order(self.high):
+            self.high = v
+
+    def add(self, state: Any, key: tuple, change: dict) -> None:
+        """change: by how many each value is held more, or less if below nought."""
+        change = {v: d for v, d in change.items() if d}
+        if not self.parts:
+            gone = self._apply(self.items, change)
+            if len(self.items) > PART:
+                self._deal(state, key, self.items, 2)
+                self.items = {}
         else:
-            self.n.clear()
-        sums = {c: self._sum(c, columns[c], signs) for c in self.values}
-        sets = {c: self._set(c, columns[c], signs) for c in self.sets}
-        if n <= 0:
-            if not n:
-                for state in (self.sums, *self.held.values(), *self.ends.values()):
-                    state.clear()
-            yield from self._change(key, None)
-            return
-        row = []
+            dealt: dict[int, dict] = {}
+            for v, d in change.items():
+                dealt.setdefault(self.part(v, self.parts), {})[v] = d
+            gone, longest = set(), 0
+            for part, some in dealt.items():
+                items = self.read(state, key, part)
+                gone |= self._apply(items, some)
+                self.write(state, key, part, items)
+                longest = max(longest, len(items))
+            if longest > 4 * PART:
+                every = {v: c for part in range(self.parts) for v, c in self.read(state, key, part).items()}
+                self._deal(state, key, every, self.parts)
+        if any(_same(v, end) for v in gone for end in (self.low, self.high)):  # only then is the whole set read
+            self.low = self.high = None
+            for part in range(max(self.parts, 1)):
+                for v, c in (self.read(state, key, part) if self.parts else self.items).items():
+                    if c > 0:
+                        self.widen(v)
+
+    def _deal(self, state: Any, key: tuple, items: dict, parts: int) -> None:
+        while len(items) > PART * parts:
+            parts *= 2
+        dealt: dict[int, dict] = {part: {} for part in range(parts)}
+        for v, c in items.items():
+            dealt[self.part(v, parts)][v] = c
+        for part, some in dealt.items():
+            self.write(state, key, part, some)
+        self.parts = parts
+
+    def clear(self, state: Any, key: tuple) -> None:
+        for part in range(self.parts):
+            state.removeKey((*key, part))
+
+    def held(self) -> tuple:
+        return self.n, self.low, self.high, self.parts, list(self.items), list(self.items.values())
+
+
+class _Group(_Changing):
+    def __init__(self, keys: list[str], key_schema: str, aggregates: dict[str, tuple[str, str]], kinds: dict[str, T.DataType], out: dict[str, T.DataType], update_before: bool, back: bool):
+        self.keys, self.key_schema, self.aggregates, self.kinds, self.update_before, self.back = keys, key_schema, aggregates, kinds, update_before, back
+        self.columns = list(aggregates)
+        self.values = sorted({c for f, c in aggregates.values() if c != "*"})
+        self.added = {c: kinds[c] for f, c in aggregates.values() if f in ("sum", "avg")}
+        self.sets = sorted({c for f, c in aggregates.values() if f in ("min", "max", "count_distinct")})
+        # Where nothing is taken back, least and greatest values need no set.
+        self.whole_sets = {c for f, c in aggregates.values() if f == "count_distinct" or back and f in ("min", "max")}
+        self.last = ", ".join(f"last{i} {kind.simpleString()}" for i, kind in enumerate(out.values()))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        sums = [_Sum.schema(i, self.added.get(c)) for i, c in enumerate(self.values)]
+        sets = [_Set.schema(i, self.kinds[c].simpleString()) for i, c in enumerate(self.sets)]
+        self._init_rows(handle, self.key_schema, ", ".join(["n long, given boolean", self.last, *sums, *sets]))
+        self.parts = {c: handle.getMapState(f"parts_{i}", f"{self.key_schema}, part int", f"held array<{self.kinds[c].simpleString()}>, counts array<long>") for i, c in enumerate(self.sets)}
+
+    def _row(self, n: int, sums: dict[str, _Sum], sets: dict[str, _Set]) -> tuple:
+        row: list[Any] = []
         for function, column in self.aggregates.values():
             if function == "count":
-                row.append(n if column == "*" else sums[column][0])
+                row.append(n if column == "*" else sums[column].n)
             elif function in ("sum", "avg"):
-                count, total = sums[column]
+                count, total = sums[column].n, sums[column].value()
                 row.append(None if not count else total if function == "sum" else total / count)
             else:
-                row.append(sets[column][("count_distinct", "min", "max").index(function)])
-        yield from self._change(key, tuple(row))
+                row.append(getattr(sets[column], {"count_distinct": "n", "min": "low", "max": "high"}[function]))
+        return tuple(row)
+
+    def _state(self, key: tuple) -> tuple[int, tuple | None, dict[str, _Sum], dict[str, _Set], bool]:
+        """Rows, the row last given, sums, sets, and whether the key has a state."""
+        state = self.rows.getValue(key)
+        if state is None:
+            return 0, None, {c: _Sum(self.added.get(c), None) for c in self.values}, {c: _Set(None) for c in self.sets}, False
+        state = list(state)
+        at = 2 + len(self.columns)
+        last, sums, sets = tuple(state[2:at]) if state[1] else None, {}, {}
+        for c in self.values:
+            wide = _Sum.wide(self.added.get(c))
+            sums[c] = _Sum(self.added.get(c), state[at : at + wide])
+            at += wide
+        for c in self.sets:
+            held = state[at : at + 6]
+            sets[c] = _Set([*held[:4], [math.nan if v != v else v for v in held[4]], held[5]])
+            at += 6
+        return state[0], last, sums, sets, True
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        frames = list(rows)
+        signs = [SIGNS[op] for pdf in frames for op in pdf["row_op"]]
+        columns = {c: [v for pdf in frames for v in _values(pdf, f"value{i}")] for i, c in enumerate(self.values)}
+        out: list[tuple] = []
+        for one, at in self._by_key(frames).items():
+            n, last, sums, sets, there = self._state(one)
+            n += sum(signs[i] for i in at)
+            for c, values in columns.items():
+                change: dict[Any, int] = {}
+                for i in at:
+                    v = values[i]
+                    if v is not None:
+                        sums[c].add(v, signs[i])
+                        change[v] = change.get(v, 0) + signs[i]
+                if c in self.whole_sets:
+                    sets[c].add(self.parts[c], one, change)
+                elif c in sets:
+                    for v in change:
+                        sets[c].widen(v)
+            new = self._row(n, sums, sets) if n > 0 else None
+            out += self._change(one, last, new)
+            if n:
+                empty = tuple(None for _ in self.columns)
+                self.rows.updateValue(one, (n, new is not None, *(new or empty), *(x for c in self.values for x in sums[c].held()), *(x for c in self.sets for x in sets[c].held())))
+            else:
+                for c in self.sets:
+                    sets[c].clear(self.parts[c], one)
+                if there:
+                    self.rows.removeKey(one)
+        yield from self._out(out)
 
 
-def _stateful(df: DataFrame, keys: list[str], processor: _Changing, schema: str) -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+def _stateful(df: DataFrame, processor: _Changing, schema: str) -> DataFrame:
+    return df.groupBy("row_group").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def _text(names: list[str], kinds: dict[str, T.DataType]) -> str:
     return ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in names)
 
 
+def _key_schema(keys: list[str], kinds: dict[str, T.DataType]) -> str:
+    return ", ".join(f"key{i} {kinds[c].simpleString()}" for i, c in enumerate(keys))
+
+
 def group_changes(stream: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str]], op: str | None = None, update_before: bool = True) -> DataFrame:
     """The change log of a GROUP BY: op, keys, aggregates.
 
@@ -226,27 +380,35 @@ def group_changes(stream: DataFrame, keys: list[str], aggregates: dict[str, tupl
         out[name] = T.LongType() if function in ("count", "count_distinct") else T.DoubleType() if function == "avg" or function == "sum" and not isinstance(kinds[column], WHOLE) else T.LongType() if function == "sum" else kinds[column]
     values = sorted({c for _, c in aggregates.values() if c != "*"})
     rows = _flagged(stream, keys, values, F.col(op) if op else F.lit("+I"))
-    processor = _Group(keys, aggregates, {c: kinds[c] for c in values}, _text(list(out), out), update_before)
-    return _stateful(rows, keys, processor, f"op string, {_text(keys, kinds)}, {_text(list(out), out)}")
+    processor = _Group(keys, _key_schema(keys, kinds), aggregates, {c: kinds[c] for c in values}, out, update_before, op is not None)
+    return _stateful(rows, processor, f"op string, {_text(keys, kinds)}, {_text(list(out), out)}")
 
 
 class _Latest(_Changing):
-    def __init__(self, keys: list[str], columns: list[str], order: list[str], schema: str, update_before: bool):
-        self.keys, self.columns, self.order, self.schema, self.update_before = keys, columns, order, schema, update_before
+    def __init__(self, keys: list[str], key_schema: str, columns: list[str], order: list[str], schema: str, update_before: bool):
+        self.keys, self.key_schema, self.columns, self.schema, self.update_before = keys, key_schema, columns, schema, update_before
+        self.order = [columns.index(c) for c in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._init_last(handle, self.schema)
+        self._init_rows(handle, self.key_schema, self.schema)
 
     def _rank(self, row: tuple) -> tuple:
-        return tuple((v is not None, v) for v in (row[self.columns.index(c)] for c in self.order))
+        return tuple(_order(row[i]) for i in self.order)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best = tuple(self.last.get()) if self.last.exists() else None
-        for pdf in rows:
-            for row in zip(*(_values(pdf, i) for i in range(len(self.columns)))):
-                if best is None or self._rank(row) >= self._rank(best):
-                    best = row
-        yield from self._change(key, best)
+        frames = list(rows)
+        new = list(zip(*([v for pdf in frames for v in _values(pdf, f"value{i}")] for i in range(len(self.columns)))))
+        out: list[tuple] = []
+        for one, at in self._by_key(frames).items():
+            held = self.rows.getValue(one)
+            last = best = None if held is None else tuple(held)
+            for i in at:
+                if best is None or self._rank(new[i]) >= self._rank(best):
+                    best = new[i]
+            if change := self._change(one, last, best):
+                self.rows.updateValue(one, best)
+                out += change
+        yield from self._out(out)
 
 
 def latest_changes(stream: DataFrame, keys: list[str], order: list[str], update_before: bool = True) -> DataFrame:
@@ -259,8 +421,8 @@ def latest_changes(stream: DataFrame, keys: list[str], order: list[str], update_
     columns = [c for c in stream.columns if c not in keys]
     if missing := set(order) - set(columns):
         raise ValueError(f"no such columns: {sorted(missing)}")
-    processor = _Latest(keys, columns, order, _text(columns, kinds), update_before)
-    return _stateful(_flagged(stream, keys, columns), keys, processor, f"op string, {_text(keys, kinds)}, {_text(columns, kinds)}")
+    processor = _Latest(keys, _key_schema(keys, kinds), columns, order, _text(columns, kinds), update_before)
+    return _stateful(_flagged(stream, keys, columns), processor, f"op string, {_text(keys, kinds)}, {_text(columns, kinds)}")
 
 
 def replayed(log: DataFrame, op: str = "op") -> DataFrame:
