@@ -83,3 +83,11 @@ def test_long_sets_are_dealt_over_parts_and_match_brute_force():
     given(processor, frame([1] * len(held), held, ["-D"] * len(held)))
     assert not handle.maps[0].held and not handle.maps[1].held
     assert {op for op, *_ in log} <= {"+I", "-U", "+U", "-D"}
+
+
+def test_a_short_group_costs_one_read_and_one_write():
+    handle, processor = group({"n": ("count", "*"), "high": ("max", "v"), "kinds": ("count_distinct", "v")}, False)
+    keys = [i % 100 for i in range(700)]
+    assert given(processor, frame(keys, [float(i) for i in range(700)])) == [("+I", k, 7, 600.0 + k, 7) for k in range(100)]
+    assert handle.maps[0].calls == 200 and handle.maps[1].calls == 0
+    assert given(processor, frame([3], [3.0])) == [("-U", 3, 7, 603.0, 7), ("+U", 3, 8, 603.0, 7)]
