@@ -100,3 +100,14 @@ def test_a_row_costs_the_same_in_long_frames():
             frame.save()
         costs[span] = handle.cost[0] / 4000
     assert costs[1000] < 1.1 * costs[10] < 25
+
+
+def test_times_that_come_and_go_between_load_and_save_cost_the_state_nothing():
+    handle = Handle()
+    frame = stateful._Frame(handle, ALL, KINDS)
+    frame.load()
+    for at in range(1000):
+        frame.drop(at - 5)
+        frame.add(at, [json.dumps({"v": at * 0.5, "w": at, "s": str(at % 3)})])
+    frame.save()
+    assert handle.cost[0] <= 20 and len(handle.maps[0].held) == 6

@@ -25,6 +25,10 @@ from tidemill.streaming.changelog import ExactSum
 Gate = Callable[[dict, dict], tuple[bool, bool]]
 
 
+#: Rows of a frame handed on.
+FRAME = 10_000
+
+
 def always(new: dict, old: dict) -> tuple[bool, bool]:
     return True, True
 
@@ -204,6 +208,48 @@ FRAME_FUNCTIONS: dict[str, tuple[str, Callable[[str], str]]] = {
 _STAYS: dict[str, Callable[[Any, Any], Any]] = {"max": lambda a, b: max(a, b), "min": lambda a, b: min(a, b), "first": lambda a, b: a, "last": lambda a, b: b}
 
 
+class Waiting:
+    """The rows of a key that wait for the watermark, as a list, and one timer: for the earliest of them, or for what else is to be done."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.rows = handle.getListState("waiting", "at long, row string")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def wake(self, at: int) -> None:
+        """Set the timer, unless it is set to an earlier time."""
+        if self.timer.exists():
+            before = self.timer.get()[0]
+            if before <= at:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def add(self, rows: list[tuple[int, str]]) -> None:
+        if rows:
+            self.rows.appendList(rows)
+            self.wake(min(at for at, _ in rows))
+
+    def due(self, watermark: int) -> list[tuple[int, list[str]]]:
+        """When the timer has expired: the rows that the watermark has reached, by time; the others go on waiting."""
+        self.timer.clear()
+        out: dict[int, list[str]] = {}
+        left = []
+        for at, row in self.rows.get() if self.rows.exists() else ():
+            if at <= watermark:
+                out.setdefault(at, []).append(row)
+            else:
+                left.append((at, row))
+        if left:
+            if out:
+                self.rows.put(left)
+            self.wake(min(at for at, _ in left))
+        elif out:
+            self.rows.clear()
+        return sorted(out.items())
+
+
 class _Frame:
     """The rows of a range by time, with aggregates that follow as times come and go.
 
@@ -213,6 +259,9 @@ class _Frame:
     end of their stack, the younger ones one for all of them; when the older
     stack runs out the younger one is turned over.  So a time costs the same,
     however long the frame is, but for results that are lists of the frame.
+
+    From load to save what is read and changed is kept here, so that a time
+    that comes and goes between the two costs the state nothing.
     """
 
     def __init__(self, handle: StatefulProcessorHandle, aggregates: dict[str, tuple[str, str]], kinds: dict[str, str]):
@@ -228,19 +277,49 @@ class _Frame:
     def load(self) -> None:
         empty = {"head": None, "tail": None, "flip": None, "back": None, "n": 0, "count": {}, "sum": {}, "distinct": {}}
         self.now = json.loads(self.state.get()[0]) if self.state.exists() else empty
+        # Of times and of (column, value): whether the state has it, what it is to hold (None: nothing), and what was read.
+        self.was: dict[Any, bool] = {}
+        self.near: dict[Any, Any] = {}
+        self.seen: dict[Any, Any] = {}
 
     def save(self) -> None:
+        for place, value in self.near.items():
+            state, key = (self.values, place) if isinstance(place, tuple) else (self.buckets, (place,))
+            if value is None:
+                if self.was[place]:
+                    state.removeKey(key)
+            elif state is self.values:
+                state.updateValue(key, (value,))
+            else:
+                following, held, front = value
+                state.updateValue(key, (following, json.dumps(held), json.dumps(front) if front is not None else None))
+        self.near, self.seen = {}, {}
         if self.now["head"] is None:
             self.state.clear()
         else:
             self.state.update((json.dumps(self.now),))
 
     def _bucket(self, at: int) -> tuple[int | None, dict, list | None]:
-        following, held, front = tuple(self.buckets.getValue((at,)))
-        return following, json.loads(held), json.loads(front) if front else None
+        if at in self.near:
+            return self.near[at]
+        if at not in self.seen:
+            following, held, front = tuple(self.buckets.getValue((at,)))
+            self.seen[at] = following, json.loads(held), json.loads(front) if front else None
+            self.was[at] = True
+        return self.seen[at]
 
     def _put(self, at: int, following: int | None, held: dict, front: list | None) -> None:
-        self.buckets.updateValue((at,), (following, json.dumps(held), json.dumps(front) if front is not None else None))
+        self.was.setdefault(at, False)
+        self.near[at] = following, held, front
+
+    def _held(self, place: tuple[str, str]) -> int:
+        """How often a value is in the frame."""
+        if place in self.near:
+            return self.near[place] or 0
+        if place not in self.seen:
+            self.was[place] = self.values.containsKey(place)
+            self.seen[place] = self.values.getValue(place)[0] if self.was[place] else 0
+        return self.seen[place]
 
     def _both(self, older: list | None, later: list | None) -> list | None:
         if older is None or later is None:
@@ -270,11 +349,8 @@ class _Frame:
                 text = json.dumps(v, sort_keys=True)
                 change[text] = change.get(text, 0) + sign
             for text, d in change.items():
-                before = self.values.getValue((c, text))[0] if self.values.containsKey((c, text)) else 0
-                if before + d:
-                    self.values.updateValue((c, text), (before + d,))
-                else:
-                    self.values.removeKey((c, text))
+                before = self._held((c, text))
+                self.near[c, text] = before + d or None
                 now["distinct"][c] = now["distinct"].get(c, 0) + (before + d > 0) - (before > 0)
 
     def add(self, at: int, rows: list[str]) -> None:
@@ -296,7 +372,7 @@ class _Frame:
         now = self.now
         while now["head"] is not None and now["head"] < before:
             following, held, _ = self._bucket(now["head"])
-            self.buckets.removeKey((now["head"],))
+            self.near[now["head"]] = None
             self._count(held, -1)
             now["head"] = following
             if following is None:
@@ -360,11 +436,11 @@ class _Rolling(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.frame = _Frame(handle, self.aggregates, self.kinds)
-        self.waiting = handle.getMapState("waiting", "at long", "rows array<string>")
+        self.waiting = Waiting(handle)
 
-    def _out(self, key: Any, at: int, rows: list[str]) -> pd.DataFrame:
+    def _rows(self, key: Any, at: int, rows: list[str]) -> list[dict]:
         values = self.frame.results()
-        return pd.DataFrame([{self.key: key[0], "time_ms": at, "row": row} | values for row in rows], dtype=object)
+        return [{self.key: key[0], "time_ms": at, "row": row} | values for row in rows]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if not self.event_time:
@@ -375,32 +451,31 @@ class _Rolling(StatefulProcessor):
             # Two batches of one millisecond are a millisecond apart.
             self.frame.add(max(now, (self.frame.now["tail"] or 0) + 1), new)
             self.frame.save()
-            yield self._out(key, now, new)
+            yield pd.DataFrame(self._rows(key, now, new), dtype=object)
             return
         watermark = timerValues.getCurrentWatermarkInMs()
-        came: dict[int, list[str]] = {}
-        for pdf in rows:
-            for at, row in zip(pdf["time_ms"].astype("int64"), pdf["row"]):
-                if at > watermark:  # later rows are dropped
-                    came.setdefault(int(at), []).append(row)
-        for at, new in came.items():
-            held = list(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
-            if not held:
-                self.handle.registerTimer(at)
-            self.waiting.updateValue((at,), (held + new,))
+        # Later rows are dropped.
+        self.waiting.add([(at, row) for pdf in rows for at, row in zip(pdf["time_ms"].astype("int64").tolist(), pdf["row"]) if at > watermark])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # Timers expire in the order of their times.
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        due = self.waiting.due(watermark)
         self.frame.load()
-        self.frame.drop(at - self.range)
-        rows = list(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
-        if rows:
-            self.waiting.removeKey((at,))
+        out: list[dict] = []
+        for at, rows in due:
+            self.frame.drop(at - self.range)
             self.frame.add(at, rows)
-            self.handle.registerTimer(at + self.range + 1)  # then these rows leave, though no others come
-            yield self._out(key, at, rows)
+            out += self._rows(key, at, rows)
+            if len(out) >= FRAME:
+                yield pd.DataFrame(out, dtype=object)
+                out = []
+        # Rows that no row to come can have in its frame leave, though no others come.
+        self.frame.drop(watermark - self.range)
         self.frame.save()
+        if self.frame.now["tail"] is not None:
+            self.waiting.wake(self.frame.now["tail"] + self.range + 1)
+        if out:
+            yield pd.DataFrame(out, dtype=object)
 
     def close(self) -> None:
         pass
