@@ -8,7 +8,7 @@ leaves with the version of its time.  Versions that no later row can need go.
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,72 +17,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemill.streaming.stateful import FRAME, Waiting
+
 
 class _AsOf(StatefulProcessor):
     def __init__(self, key: str, inner: bool, valid_ms: int | None):
         self.key, self.inner, self.valid = key, inner, valid_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.versions = handle.getMapState("versions", "at long", "row string, seq long, gone boolean")
-        self.waiting = handle.getMapState("waiting", "at long", "rows array<string>")
-
-    def _version(self, at: int) -> tuple[int, str, bool] | None:
-        """The version that holds at a time: (its time, its row, whether it is a deletion)."""
-        times = [t for t in (k[0] for k in self.versions.keys()) if t <= at]
-        if not times:
-            return None
-        row, _, gone = tuple(self.versions.getValue((max(times),)))
-        return max(times), row, gone
+        self.waiting = Waiting(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
         watermark = timerValues.getCurrentWatermarkInMs()
-        came: dict[int, list[str]] = {}
-        late: dict[int, None] = {}
+        came: list[tuple[int, str]] = []
+        new: dict[int, tuple[str, int, bool]] = {}
         for pdf in rows:
-            for fact, at, row, seq, gone in zip(pdf["fact"], pdf["time_ms"].astype("int64"), pdf["row"], pdf["seq"].astype("int64"), pdf["gone"]):
-                at = int(at)
+            for fact, at, row, seq, gone in zip(pdf["fact"], pdf["time_ms"].astype("int64").tolist(), pdf["row"], pdf["seq"].astype("int64").tolist(), pdf["gone"]):
                 if not fact:
                     # Of versions of one time the last by seq holds; a late one holds for rows that still wait or come.
-                    held = tuple(self.versions.getValue((at,))) if self.versions.containsKey((at,)) else None
-                    if held is None or int(seq) >= held[1]:
-                        self.versions.updateValue((at,), (row, int(seq), bool(gone)))
-                    if at <= watermark:
-                        late[at] = None
+                    if at not in new or seq >= new[at][1]:
+                        new[at] = row, seq, bool(gone)
                 elif at > watermark:  # rows behind the watermark are dropped
-                    came.setdefault(at, []).append(row)
-        for at, new in came.items():
-            held = list(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
-            if not held:
-                self.handle.registerTimer(at)
-            self.waiting.updateValue((at,), (held + new,))
-        if late:
-            self._forget(watermark)
-        elif not came and self.versions.exists():
-            # A key of which only versions come: old ones go when the watermark has passed the newest.
-            self.handle.registerTimer(max(k[0] for k in self.versions.keys()))
+                    came.append((at, row))
+        for at, version in new.items():
+            held = self.versions.getValue((at,))
+            if held is None or version[1] >= held[1]:
+                self.versions.updateValue((at,), version)
+        self.waiting.add(came)
+        if any(at <= watermark for at in new):
+            self._forget(self._held(), watermark)
+        if new and max(new) > watermark:
+            # Where only versions come: old ones go when the watermark has passed the newest.
+            self.waiting.wake(max(new))
         return iter(())
 
-    def _forget(self, at: int) -> None:
+    def _held(self) -> list[tuple[int, tuple[str, int, bool]]]:
+        """The versions by time."""
+        return sorted((at, tuple(version)) for (at,), version in self.versions.iterator()) if self.versions.exists() else []
+
+    def _forget(self, held: list[tuple[int, tuple[str, int, bool]]], at: int) -> None:
         """Versions that don't hold at this time or later go; so does a deletion that nothing came after."""
-        old = sorted(k[0] for k in self.versions.keys() if k[0] <= at)
-        for t in old[:-1]:
-            self.versions.removeKey((t,))
-        if old and self.versions.getValue((old[-1],))[2]:
-            self.versions.removeKey((old[-1],))
+        old = held[: bisect_right(held, at, key=lambda v: v[0])]
+        for t, version in old:
+            if t < old[-1][0] or version[2]:
+                self.versions.removeKey((t,))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        rows = list(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
-        found = self._version(at)
-        if found and (found[2] or self.valid is not None and at - found[0] > self.valid):
-            found = None
-        if rows:
-            self.waiting.removeKey((at,))
-            if found or not self.inner:
-                yield pd.DataFrame([{self.key: key[0], "time_ms": at, "row": r, "since_ms": found[0] if found else None, "version": found[1] if found else None} for r in rows], dtype=object)
-        # Timers expire in the order of their times: no row of an earlier time is left.
-        self._forget(at)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        due, held, out = self.waiting.due(watermark), self._held(), []
+        for at, rows in due:
+            place = bisect_right(held, at, key=lambda v: v[0])
+            since, (version, _, gone) = held[place - 1] if place else (None, (None, 0, True))
+            if gone or self.valid is not None and at - since > self.valid:
+                since = version = None
+            if version is not None or not self.inner:
+                out += [{self.key: key[0], "time_ms": at, "row": r, "since_ms": since, "version": version} for r in rows]
+        # No row of an earlier time than the watermark's is left.
+        self._forget(held, watermark)
+        if held and held[-1][0] > watermark:
+            self.waiting.wake(held[-1][0])
+        for i in range(0, len(out), FRAME):
+            yield pd.DataFrame(out[i : i + FRAME], dtype=object)
 
     def close(self) -> None:
         pass
