@@ -225,3 +225,16 @@ def test_shares_stay_exact_for_large_counts():
     counts = np.array([0, 1, 2**33, 10**13, 3 * 10**14], np.int64)
     total, v = int(counts.sum()), 5
     assert sa.shares(counts, total, v).tolist() == [1 + 10**9 * (int(c) + 1) // (total + v) for c in counts]
+
+
+def test_no_token_of_a_page_is_left_out_of_the_mining(spark):
+    # Twelve tokens tell more than x and y, which decide only together.
+    rows = []
+    for i in range(400):
+        block = i % 2 == 0
+        marks = [f"t{k:02}" for k in range(12) if (i * 7 + k) % 20 < (19 if block else 1)] if i >= 80 else [f"t{k:02}" for k in range(12)]
+        both = block if i < 80 else False
+        rows.append((sorted(marks + (["x", "y"] if both else ["x"] if i % 3 == 0 else ["y"])), "block" if block else "allow"))
+    got = {(tuple(r.combination), r.verdict): (r.confidence, r.pages) for r in uf.mined_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()}
+    assert got[("x", "y"), "block"] == (1.0, 40)
+    assert not any({"x", "y"} < set(c) for c, v in got if v == "block")

@@ -20,8 +20,8 @@ from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, written
 
 #: Least share of labelled pages that hold a combination and its label, and least confidence of a rule.
 SUPPORT, CONFIDENCE = 0.02, 0.8
-#: So many tokens of a labelled URL, the most telling, enter the mining; it bounds the combinations of one URL.
-TELLING = 12
+#: So many tokens of a labelled URL, the most telling, enter the mining; None: all of them.
+TELLING = None
 #: What a page is that neither a listed nor a mined rule decides.
 DEFAULT = "allow"
 #: The listed rules (verdict, host and path).
@@ -75,33 +75,42 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.contains(said, F.lit("://")), F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<string>"))
 
 
-def transactions(labelled: DataFrame) -> DataFrame:
-    """items of each labelled page: its most telling tokens and its label.
+def frequent_tokens(labelled: DataFrame) -> DataFrame:
+    """token, n and b (labelled pages that have it, blocked ones among them), all_n: of the tokens that are frequent and tell something.
 
-    labelled: tokens, verdict (allow or block).  A token tells as much as the
-    blocked pages that have it differ from their expected number.
+    labelled: tokens, verdict (allow or block).  A token tells nothing if the
+    blocked pages that have it are as many as is to be expected.
     """
     counts = labelled.select(F.explode("tokens").alias("token"), (F.col("verdict") == "block").cast("int").alias("blocked")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b"))
     totals = labelled.agg(F.count(F.lit(1)).alias("all_n"), F.count_if(F.col("verdict") == "block").alias("all_b"))
     wide = lambda c: F.col(c).cast("decimal(18,0)")
-    told = counts.join(F.broadcast(totals), F.lit(True)).select("token", F.abs(wide("b") * wide("all_n") - wide("n") * wide("all_b")).cast("decimal(38,0)").alias("gain"))
     # A token of too few pages is in no frequent combination.
-    often = counts.join(F.broadcast(totals), F.lit(True)).where(F.col("n") >= F.ceil(F.col("all_n") * F.lit(SUPPORT))).select("token")
-    told = written(told.join(often, "token", "left_semi").where("gain > 0"), "telling")
+    found = counts.join(F.broadcast(totals), F.lit(True)).where((F.col("n") >= F.ceil(F.col("all_n") * F.lit(SUPPORT))) & (wide("b") * wide("all_n") != wide("n") * wide("all_b")))
+    return found.select("token", "n", "b", "all_n")
+
+
+def transactions(labelled: DataFrame, tokens: DataFrame) -> DataFrame:
+    """items of each labelled page: those of its tokens that are among the given (token), and its label."""
     one = labelled.withColumn("row", F.monotonically_increasing_id()).select("row", "verdict", F.explode_outer("tokens").alias("token"))
     # Frequent tokens: at most the mean number of tokens over SUPPORT, whatever the input's size.
-    held = one.join(maybe_broadcast(told, told.count(), BROADCAST_ROWS), "token", "left").groupBy("row", "verdict").agg(F.collect_list(F.when(F.col("gain").isNotNull(), F.struct((-F.col("gain")).alias("gain"), "token"))).alias("told"))
-    best = F.transform(F.slice(F.array_sort("told"), 1, TELLING), lambda x: x["token"])
-    return held.select(F.concat(best, F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
+    held = one.join(maybe_broadcast(tokens.select("token", F.lit(True).alias("told")), tokens.count(), BROADCAST_ROWS), "token", "left").groupBy("row", "verdict").agg(F.array_sort(F.collect_list(F.when(F.col("told"), F.col("token")))).alias("items"))
+    return held.select(F.concat("items", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
 
 
 def mined_rules(labelled: DataFrame) -> DataFrame:
     """combination (sorted tokens), verdict, confidence, pages (that hold both): what FP-growth finds in labelled (tokens, verdict).
 
     A rule stays if its support and confidence suffice and no rule for the same verdict on a part of its tokens is at least as sure.
+
+    All frequent tokens of a page count.  A token that only pages of one label
+    have is a rule that no longer one with it can surpass, so it stays out of
+    the mining, which loses no rule and leaves fewer combinations.
     """
     schema = "combination array<string>, verdict string, confidence double, pages long"
-    items = written(transactions(written(labelled.select("tokens", "verdict"), "labelled")), "transactions")
+    labelled = written(labelled.select("tokens", "verdict"), "labelled")
+    tokens = written(frequent_tokens(labelled), "telling")
+    sure = (F.col("b") == 0) | (F.col("b") == F.col("n"))
+    items = written(transactions(labelled, tokens.where(~sure)), "transactions")
     n = items.count()
     if not n:
         return labelled.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ") for x in schema.split(", "))])
@@ -109,7 +118,8 @@ def mined_rules(labelled: DataFrame) -> DataFrame:
     found = model.associationRules.select(F.array_sort("antecedent").alias("combination"), F.element_at("consequent", 1).alias("said"), "confidence", F.round(F.col("support") * n).cast("long").alias("pages"))
     # The label is never part of a combination.
     found = found.where(F.startswith("said", F.lit(_LABEL)) & ~F.exists("combination", lambda x: F.startswith(x, F.lit(_LABEL)))).select("combination", F.substr("said", F.lit(len(_LABEL) + 1)).alias("verdict"), "confidence", "pages")
-    found = written(found, "rules")
+    alone = tokens.where(sure).select(F.array("token").alias("combination"), F.when(F.col("b") == 0, "allow").otherwise("block").alias("verdict"), F.lit(1.0).alias("confidence"), F.col("n").alias("pages"))
+    found = written(found.unionByName(alone), "rules")
     rules = found.select("*", F.concat_ws("\n", "combination").alias("rule"))
     part = rules.select(F.explode("combination").alias("token"), F.col("rule").alias("shorter"), F.col("combination").alias("less"), F.col("confidence").alias("sure"), F.col("verdict").alias("same"))
     # Parts are found as pages find their rules: by the first token of the part.
