@@ -25,6 +25,8 @@ from tidemill.streaming.windows import changes, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Bytes of a row group where a large file is one step of a stream, so that several tasks read it.
+BLOCK = 4 << 20
 
 
 def query(sql: str | None = None):
@@ -281,7 +283,7 @@ def run_once(spark, stream, name, **options):
 def stream_group_changelog(spark, sf_dir):
     """The change log of a GROUP BY over a table that grows in four steps; replayed, it is the GROUP BY."""
     orders, path = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"), scratch(spark, "orders")
-    orders.repartitionByRange(4, "o_orderkey").write.parquet(path)
+    orders.repartitionByRange(4, "o_orderkey").write.option("parquet.block.size", BLOCK).parquet(path)
     log = changelog.group_changes(replay(spark, path, orders.schema), ["o_custkey"], {"n": ("count", "*"), "keys": ("sum", "o_orderkey"), "largest": ("max", "o_totalprice"), "kinds": ("count_distinct", "o_orderstatus")})
     return changelog.replayed(run_once(spark, log, "changes"))
 
@@ -731,7 +733,7 @@ def run_once(spark, stream, name, **options):
 def stream_group_changelog(spark, sf_dir):
     """The change log of a GROUP BY over a table that grows in four steps; replayed, it is the GROUP BY."""
     orders, path = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"), scratch(spark, "orders")
-    orders.repartitionByRange(4, "o_orderkey").write.parquet(path)
+    orders.repartitionByRange(4, "o_orderkey").write.option("parquet.block.size", BLOCK).parquet(path)
     log = changelog.group_changes(replay(spark, path, orders.schema), ["o_custkey"], {"n": ("count", "*"), "keys": ("sum", "o_orderkey"), "largest": ("max", "o_totalprice"), "kinds": ("count_distinct", "o_orderstatus")})
     return changelog.replayed(run_once(spark, log, "changes"))
 
