@@ -85,3 +85,11 @@ def test_states_by_key_give_the_same_table(spark, folder):
     rows = spark.read.schema(schema).parquet(f"{folder}/in")
     want = rows.groupBy("g").agg(F.count("*"), F.max("at"), F.avg("v"), F.count_distinct("v")).collect()
     assert tables[0] == tables[1] == tables[2] == sorted((tuple(r) for r in want), key=str)
+
+
+def test_a_table_grows_in_as_many_steps_however_many_files_it_has(spark, folder):
+    from tidemill.plans.catalog import a_step
+
+    for files, step in ((1, 1), (4, 1), (9, 3), (16, 4)):
+        spark.range(0, 100, 1, files).write.parquet(f"{folder}/{files}")
+        assert a_step(spark, f"{folder}/{files}", 4) == step
